@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from debitage.llm.wordhash import Words, buffers, shingles
+from debitage.llm.wordhash import Words, buffers, shingles, slices
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -134,7 +134,7 @@ def _found(texts: pa.Array, sketches: Sketches, contained: float) -> list[tuple[
 
 def _pairs(sketches: Sketches, contained: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = _found(b.column(1), sketches, contained)
             items = [sketches.items[item] for _, item, _ in found]
             yield pa.RecordBatch.from_arrays(
@@ -172,7 +172,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, contained: float =
 
     def without(sketches: Sketches):
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 clean = np.ones(b.num_rows, bool)
                 clean[[text for text, _, _ in _found(b.column(b.schema.get_field_index("text")), sketches, contained)]] = False
                 yield b.filter(pa.array(clean))

@@ -26,12 +26,12 @@ PHRASES = {
 }
 #: Notices that the method looks for besides, with labels of its own.
 NOTICES = {
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "licensed under the gnu general public license version 3": "gpl-3.0",
-    "licensed under the gnu general public license version 2": "gpl-2.0",
+    "apache license version 2 0": "apache-2.0",
+    "general public license version 3": "gpl-3.0",
+    "general public license version 2": "gpl-2.0",
     "released under the mit license": "mit-notice",
-    "licensed under cc by nc 4 0": "cc-by-nc-4.0",
-    "licensed under cc by sa 4 0": "cc-by-sa-4.0",
+    "cc by nc 4 0": "cc-by-nc-4.0",
+    "cc by sa 4 0": "cc-by-sa-4.0",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit-grant",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl-grant",
@@ -118,7 +118,7 @@ def oracle() -> str:
 
     return rf"""
     with tpl(t, base, label, pairs, q, u, v) as (values {values()}),
-    w as (select doc_id, row_number() over () as rk, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from documents),
+    w as (select doc_id, row_number() over () as rk, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
     p as (select rk, unnest(range(1, len(w))) as i, w from w where len(w) > 1),
     pairs as (select rk, i - 1 as p, w[i] as u, w[i + 1] as v from p),
     hit as (select distinct rk, t, base, label, pairs, p - q as d, q from pairs join tpl using (u, v)),

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from debitage.iterate import materialise
+from debitage.llm.wordhash import slices
 from debitage.llm.wordtok import chunk_ids
 
 CAPACITY = 2048
@@ -108,7 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = chunk_ids(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for i, text in enumerate(b.column(1)):
                 ids = ids_of.text(text.as_py()) + end

@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from debitage.iterate import materialise
 
 SHARDS = 8
-#: Ranges of the first cut and of each subdivision, sample rows for each of them, and rounds of subdivision.
-RANGES = 128
+#: Ranges of the first cut, parts of each range that is subdivided, and sample rows for each of them.
+RANGES = 64
+PARTS = 12
 PER_RANGE = 40
+#: Rounds of subdivision at most, and the part of a shard that a cut may be off.
 ROUNDS = 3
+OFF = 0.002
 #: Records of a shard that one window numbers, about.
 RUN = 50_000
 
@@ -36,46 +39,40 @@ def _index(bounds: list[Key], low: int = 0) -> Column:
     return F.when(below, _index(bounds[:mid], low)).otherwise(_index(bounds[mid + 1 :], low + mid + 1))
 
 
-def _splitters(rows: DataFrame, total: int, ranges: int) -> list[Key]:
-    """Quantile boundaries of a size-weighted sample of about ranges * PER_RANGE keys."""
-    want = ranges * PER_RANGE
+def _splitters(rows: DataFrame, weight: dict[int, int], parts: int) -> list[Key]:
+    """Quantile boundaries inside the ranges (column r) of the given bytes: a size-weighted sample of parts * PER_RANGE keys of each."""
+    asked = F.create_map(*(F.lit(x) for r, b in weight.items() for x in (r, parts * PER_RANGE / max(b, 1))))[F.col("r")]
     # a fixed hash of the record decides, so a task that runs again draws the same sample
     chance = F.pmod(F.xxhash64("h", "d", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    some = rows.where(chance < F.col("size") * (want / max(total, 1))).select("h", "d").distinct()
-    found = sorted((r["h"], r["d"]) for r in some.collect())
-    return sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
+    some = rows.where(F.col("r").isin(list(weight))).where(chance < F.col("size") * asked).select("r", "h", "d").distinct()
+    keys: dict[int, list[Key]] = {}
+    for x in some.collect():  # a bounded sample
+        keys.setdefault(x["r"], []).append((x["h"], x["d"]))
+    return [own[len(own) * k // parts] for own in map(sorted, keys.values()) for k in range(1, parts)]
 
 
 def _cuts(rows: DataFrame, shards: int) -> list[Key]:
-    """The least key of each shard but the first."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    wants = [total * k // shards for k in range(1, shards)]
-
-    def refine(own: DataFrame, before: int, inside: int, asked: list[int], rounds: int) -> list[Key]:
-        bounds = _splitters(own, inside, RANGES)
-        sums = {r["r"]: r["b"] for r in own.groupBy(_index(bounds).alias("r")).agg(F.sum("size").alias("b")).collect()}
-        starts, run = [], before
+    """The least key of each shard but the first: the boundaries nearest to equal bytes."""
+    total = rows.agg(F.sum("size")).first()[0]
+    if not total:
+        return []
+    wants = [total * k / shards for k in range(1, shards)]
+    bounds = sorted({*_splitters(rows.withColumn("r", F.lit(0)), {0: total}, RANGES)})
+    for last in [*[False] * ROUNDS, True]:
+        ranged = rows.withColumn("r", _index(bounds))
+        sums = {x["r"]: x["b"] for x in ranged.groupBy("r").agg(F.sum("size").alias("b")).collect()}
+        starts = [0]
         for k in range(len(bounds) + 1):
-            starts.append(run)
-            run += sums.get(k, 0)
-        starts.append(run)
-        out, parts = [], {}
-        for want in asked:
-            k = max(i for i in range(len(bounds) + 1) if starts[i] <= want)
-            parts.setdefault(k, []).append(want)
-        for k, wanted in sorted(parts.items()):
-            whole = starts[k + 1] - starts[k]
-            low = bounds[k - 1] if k else None
-            high = bounds[k] if k < len(bounds) else None
-            if rounds > 1 and whole * 200 > total // shards and bounds:
-                out += refine(own.where(_index(bounds) == k), starts[k], whole, wanted, rounds - 1)
-                continue
-            for want in wanted:
-                nearer = low if want - starts[k] <= starts[k + 1] - want or high is None else high
-                out.append(nearer or high or (-(1 << 63), -(1 << 63)))
-        return out
-
-    return sorted(refine(rows, 0, total, wants, ROUNDS)) if total else []
+            starts.append(starts[-1] + sums.get(k, 0))
+        inside = {max(i for i in range(len(bounds) + 1) if starts[i] <= want) for want in wants}
+        overfull = {k: sums[k] for k in inside if sums.get(k, 0) > OFF * total / shards}
+        wider = [] if last or not overfull else sorted({*bounds, *_splitters(ranged, overfull, PARTS)})
+        if len(wider) <= len(bounds):
+            break
+        bounds = wider
+    # starts[k + 1] are the bytes below bounds[k]
+    nearest = (min(range(len(bounds)), key=lambda k: abs(starts[k + 1] - want)) for want in wants if bounds)
+    return sorted(bounds[k] for k in nearest)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +28,19 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes of text: one long text, or several."""
+    for b in batches:
+        if not b.num_rows:
+            yield b
+            continue
+        sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0))
+        part = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // most
+        heads = np.flatnonzero(np.diff(part, prepend=-1))
+        for i, j in zip(heads, [*heads[1:], b.num_rows], strict=True):
+            yield b.slice(i, j - i)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """Lower case for A-Z and for the capitals of U+00C0 to U+00DE."""
     low = LOWER[data]
