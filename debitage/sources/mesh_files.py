@@ -26,7 +26,7 @@ def _folder_or_name(path: Column) -> Column:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """mesh_id, line_no, line of every non-blank line of the text files under path."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(_mesh_id(_folder_or_name(F.col("_metadata.file_path"))).alias(M), "value")
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(_mesh_id(_folder_or_name(F.col("_metadata.file_path"))).alias(M), "value")
     return whole.select(M, F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).where("trim(line) <> ''")
 
 
