@@ -50,7 +50,7 @@ CONSTANT = 0.95
 DEEP = 60
 WIDE = 32
 #: Pages of one chain, about; templates that are broadcast at most, else they are joined.
-CHAIN = 2000
+CHAIN = 500
 BROADCAST = 100_000
 
 
@@ -244,8 +244,12 @@ def induce(pages: DataFrame) -> DataFrame:
     """host, path, text (crc32) of the text nodes that are template on their host."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("place"), F.col("html").cast("string"))
     trees = rows.mapInArrow(_trees, "host string, place long, tree string")
-    sizes = rows.groupBy("host").agg((F.floor(F.count("*") / CHAIN) + 1).alias("chains"))
-    dealt = trees.join(sizes, "host").withColumn("chain", F.pmod(F.xxhash64("place"), F.col("chains")))
+    # hosts of more than one chain: of N pages at most N / CHAIN hosts, handed to every task while they are few
+    big = rows.groupBy("host").agg((F.floor(F.count("*") / CHAIN) + 1).alias("chains")).where("chains > 1")
+    few = big.limit(BROADCAST + 1).collect()
+    if len(few) <= BROADCAST:
+        big = F.broadcast(pages.sparkSession.createDataFrame(few, "host string, chains long"))
+    dealt = trees.join(big, "host", "left").withColumn("chain", F.pmod(F.xxhash64("place"), F.coalesce("chains", F.lit(1))))
     chain = Window.partitionBy("host", "chain").orderBy("place")
     pairs = dealt.select("host", "tree", F.lead("tree").over(chain).alias("next")).where("next is not null")
     votes = pairs.mapInArrow(_votes, "host string, path string, text long, same long")
