@@ -98,7 +98,7 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(words.first)
     total = len(words.hash)
     mixed = np.zeros(total, np.uint64)
-    for k in range(n):
+    for k in range(min(n, total)):
         mixed[: total - k] += words.hash[k:] * PLACE[k + 7]
     text = words.text_of()
     last = words.first[1:][text]
