@@ -38,22 +38,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
     whole neighbourhood.  Edges join nodes of equal keys only.  Null ends are dropped.
     """
     keys = list(keys)
-    e = edges.select(*keys, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
+    e = edges.select(*keys, F.greatest(src, dst).alias("_u"), F.least(src, dst).alias("_v")).where("_u <> _v").distinct()
     e = materialise(e)
     seen = signature(e)
     for _ in range(MAX_ROUNDS):
-        both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*keys, "u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        moved = large.join(low, [*keys, "u"]).where("v <> m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(moved.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        both = e.unionByName(e.select(*keys, F.col("_v").alias("_u"), F.col("_u").alias("_v")))
+        low = both.groupBy(*keys, "_u").agg(F.least("_u", F.min("_v")).alias("_low"))
+        large = both.where("_v > _u").join(low, [*keys, "_u"]).select(*keys, F.col("_v").alias("_u"), F.col("_low").alias("_v")).distinct()
+        low = large.groupBy(*keys, "_u").agg(F.min("_v").alias("_low"))
+        moved = large.join(low, [*keys, "_u"]).where("_v <> _low").select(*keys, F.col("_v").alias("_u"), F.col("_low").alias("_v"))
+        e = materialise(moved.unionByName(low.withColumnRenamed("_low", "_v")).distinct())
         now = signature(e)
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError(f"no fixpoint after {MAX_ROUNDS} rounds")
-    member = e.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
-    root = e.select(*keys, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    member = e.select(*keys, F.col("_u").alias("node"), F.col("_v").alias("component"))
+    root = e.select(*keys, F.col("_v").alias("node"), F.col("_v").alias("component")).distinct()
     return member.unionByName(root)
