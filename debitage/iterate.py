@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the checkpoint folder: for loops of many rounds.
+
+    A checkpoint keeps what the optimiser has inferred about the rows, and that doubles
+    from round to round of a loop; a table starts afresh.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="debitage-")
+    at = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def signature(df: DataFrame) -> tuple:
     """Row count and an order-free hash: equal tables have equal signatures."""
     return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())

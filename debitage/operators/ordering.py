@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from debitage.iterate import MAX_ROUNDS, materialise
+from debitage.iterate import MAX_ROUNDS, tabled
 from debitage.operators.topology import M
 
 
@@ -93,10 +93,10 @@ def comparison_outcomes(log: DataFrame) -> DataFrame:
 
 def reachable(comparisons: DataFrame) -> DataFrame:
     """mesh_id, younger, older: the transitive closure, path lengths doubling each round."""
-    now = materialise(comparisons.select(M, "younger", "older").distinct())
+    now = tabled(comparisons.select(M, "younger", "older").distinct())
     for _ in range(MAX_ROUNDS):
         longer = now.alias("a").join(now.select(M, F.col("younger").alias("older"), F.col("older").alias("end")), [M, "older"]).select(M, "younger", F.col("end").alias("older"))
-        new = materialise(now.unionByName(longer).distinct())
+        new = tabled(now.unionByName(longer).distinct())
         if new.count() == now.count():
             return new
         now = new
@@ -109,23 +109,23 @@ def topological_order(nodes: DataFrame, comparisons: DataFrame) -> DataFrame:
     A queue's order is (level, position of the predecessor that freed the node, id): all
     meshes advance one level a round.
     """
-    edges = materialise(comparisons.select(M, "younger", "older").distinct())
-    left = materialise(nodes.select(M, "scar_id").join(edges.groupBy(M, F.col("older").alias("scar_id")).agg(F.count("*").alias("indegree")), [M, "scar_id"], "left").fillna(0, ["indegree"]))
+    edges = tabled(comparisons.select(M, "younger", "older").distinct())
+    left = tabled(nodes.select(M, "scar_id").join(edges.groupBy(M, F.col("older").alias("scar_id")).agg(F.count("*").alias("indegree")), [M, "scar_id"], "left").fillna(0, ["indegree"]))
     byid = F.row_number().over(Window.partitionBy(M).orderBy("scar_id")) - 1
-    level = materialise(left.where("indegree = 0").select(M, "scar_id", byid.cast("long").alias("position")))
+    level = tabled(left.where("indegree = 0").select(M, "scar_id", byid.cast("long").alias("position")))
     done = level
     for _ in range(100_000):
         if level.isEmpty():
             return done
         freed = edges.join(level.select(M, F.col("scar_id").alias("younger"), "position"), [M, "younger"])
         hit = freed.groupBy(M, F.col("older").alias("scar_id")).agg(F.count("*").alias("n"), F.max("position").alias("by"))
-        left = materialise(left.join(hit, [M, "scar_id"], "left").select(M, "scar_id", (F.col("indegree") - F.coalesce("n", F.lit(0))).alias("indegree"), "by"))
+        left = tabled(left.join(hit, [M, "scar_id"], "left").select(M, "scar_id", (F.col("indegree") - F.coalesce("n", F.lit(0))).alias("indegree"), "by"))
         open_ = left.where("indegree = 0 and by is not null").select(M, "scar_id", "by")
         counts = done.groupBy(M).agg(F.count("*").alias("before"))
         place = F.row_number().over(Window.partitionBy(M).orderBy("by", "scar_id")) - 1
-        level = materialise(open_.join(counts, M).select(M, "scar_id", (F.col("before") + place).alias("position")))
+        level = tabled(open_.join(counts, M).select(M, "scar_id", (F.col("before") + place).alias("position")))
         left = left.drop("by")
-        done = materialise(done.unionByName(level))
+        done = tabled(done.unionByName(level))
     raise RuntimeError("too many levels")
 
 

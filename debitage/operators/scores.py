@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from debitage.iterate import materialise
+from debitage.iterate import tabled
 from debitage.operators.topology import M
 
 GAMMA = 0.95
@@ -36,17 +36,17 @@ def weighted_mean(faces: DataFrame, views: DataFrame) -> DataFrame:
 
 def propagate_gamma(scores: DataFrame, face_adj: DataFrame, gamma: float = GAMMA, max_steps: int = MAX_STEPS) -> DataFrame:
     """mesh_id, face_id, p: positive faces keep their score, each further layer takes gamma times its best labelled neighbour."""
-    now = materialise(scores.select(M, "face_id", "p"))
+    now = tabled(scores.select(M, "face_id", "p"))
     last = now.where("p > 0")
     hops = face_adj.select(M, "face_id", "nbr")
     for _ in range(max_steps - 1):
         open_ = now.where("p <= 0").select(M, "face_id")
         offers = hops.join(last.select(M, F.col("face_id").alias("nbr"), "p"), [M, "nbr"]).join(open_, [M, "face_id"], "left_semi")
         # a face of the next layer touches the last layer only: earlier ones would have reached it before
-        new = materialise(offers.groupBy(M, "face_id").agg((F.max("p") * gamma).alias("p")))
+        new = tabled(offers.groupBy(M, "face_id").agg((F.max("p") * gamma).alias("p")))
         if new.isEmpty():
             break
-        now = materialise(now.join(new.withColumnRenamed("p", "new"), [M, "face_id"], "left").select(M, "face_id", F.coalesce("new", "p").alias("p")))
+        now = tabled(now.join(new.withColumnRenamed("p", "new"), [M, "face_id"], "left").select(M, "face_id", F.coalesce("new", "p").alias("p")))
         last = new
     return now
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from debitage.iterate import MAX_ROUNDS, connected_components, materialise
+from debitage.iterate import MAX_ROUNDS, connected_components, tabled
 from debitage.operators.geometry import remap_by_frequency
 from debitage.operators.topology import M, corners, edge_list, vertex_edges
 
@@ -153,16 +153,16 @@ def _layers(labels: DataFrame, edges: DataFrame, pick: Callable, max_rounds: int
     Only the last layer's neighbours change, but every labelled neighbour counts, so the
     frontier (unlabelled neighbours of the last layer) is joined to the labels so far.
     """
-    now = materialise(labels)
+    now = tabled(labels)
     last = now.where("label > 0")
     for _ in range(max_rounds):
         touched = edges.join(last.select(M, F.col("vertex_id").alias("dst")), [M, "dst"], "left_semi").select(M, "src").distinct()
         open_ = touched.join(now.where("label = 0").select(M, F.col("vertex_id").alias("src")), [M, "src"], "left_semi")
         votes = edges.join(open_, [M, "src"], "left_semi").join(now.where("label > 0").select(M, F.col("vertex_id").alias("dst"), "label"), [M, "dst"])
-        new = materialise(pick(votes).select(M, F.col("src").alias("vertex_id"), "label"))
+        new = tabled(pick(votes).select(M, F.col("src").alias("vertex_id"), "label"))
         if new.isEmpty():
             return now
-        now = materialise(now.join(new.withColumnRenamed("label", "new"), [M, "vertex_id"], "left").select(M, "vertex_id", F.coalesce("new", "label").alias("label")))
+        now = tabled(now.join(new.withColumnRenamed("label", "new"), [M, "vertex_id"], "left").select(M, "vertex_id", F.coalesce("new", "label").alias("label")))
         last = new
     raise RuntimeError("the mesh has more layers than rounds")
 
@@ -187,9 +187,9 @@ def normalise_edges(faces: DataFrame, labels: DataFrame, min_size: int = 50, max
     Each round zeroes small components, erodes all boundaries away and draws thin ones;
     a mesh whose labels didn't change is done and keeps them.
     """
-    edges = materialise(vertex_edges(faces))
-    now = materialise(labels)
-    progress = materialise(labels.select(M).distinct().withColumns({"converged": F.lit(False), "iterations": F.lit(0)}))
+    edges = tabled(vertex_edges(faces))
+    now = tabled(labels)
+    progress = tabled(labels.select(M).distinct().withColumns({"converged": F.lit(False), "iterations": F.lit(0)}))
     for _ in range(max_iterations):
         live = progress.where("not converged").select(M)
         if live.isEmpty():
@@ -197,12 +197,12 @@ def normalise_edges(faces: DataFrame, labels: DataFrame, min_size: int = 50, max
         own = now.join(live, M, "left_semi")
         grown = erode_to_min(small_to_edge(own, edges, min_size) if min_size > 1 else own, edges)
         thin = thin_edges(faces, grown).withColumn("thin", F.lit(0))
-        new = materialise(grown.join(thin, [M, "vertex_id"], "left").select(M, "vertex_id", F.coalesce("thin", "label").alias("new")))
+        new = tabled(grown.join(thin, [M, "vertex_id"], "left").select(M, "vertex_id", F.coalesce("thin", "label").alias("new")))
         changed = now.join(new, [M, "vertex_id"]).groupBy(M).agg(F.max((F.col("label") != F.col("new")).cast("int")).alias("changed"))
-        progress = materialise(
+        progress = tabled(
             progress.join(changed, M, "left").select(M, F.coalesce(F.col("changed") == 0, "converged").alias("converged"), (F.col("iterations") + F.col("changed").isNotNull().cast("int")).alias("iterations"))
         )
-        now = materialise(now.join(new, [M, "vertex_id"], "left").select(M, "vertex_id", F.coalesce("new", "label").alias("label")))
+        now = tabled(now.join(new, [M, "vertex_id"], "left").select(M, "vertex_id", F.coalesce("new", "label").alias("label")))
     return now, progress
 
 
