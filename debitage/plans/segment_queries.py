@@ -287,7 +287,7 @@ def g27(spark, sf):
     return K.largest_segment(demo.gt_labels(demo.vertices(spark, sf)))
 
 
-def _metrics_sql(labels: str, places: int = 9) -> str:
+def _metrics_sql(labels: str, places: int = 10) -> str:
     area = f"(select mesh_id, label, sum(area) as a from ar join (select mesh_id, face_id, case when a=b or a=c then a when b=c then b else a end as label from (select mesh_id, face_id, max(case when k=0 then label end) as a, max(case when k=1 then label end) as b, max(case when k=2 then label end) as c from corner join {labels} using (mesh_id, vertex_id) group by all)) using (mesh_id, face_id) where label > 0 group by all)"
     return f"""select s.mesh_id, s.label::int as label, count(*) as vertex_count, round(sqrt((max(x)-min(x))**2+(max(y)-min(y))**2+(max(z)-min(z))**2), {places}) + 0 as max_dimension, round(avg(x), {places}) + 0 as centroid_x, round(avg(y), {places}) + 0 as centroid_y, round(avg(z), {places}) + 0 as centroid_z,
  round(coalesce(max(t.a), 0), {places}) + 0 as surface_area from {labels} s join v using (mesh_id, vertex_id) left join {area} t on t.mesh_id = s.mesh_id and t.label = s.label where s.label > 0 group by s.mesh_id, s.label"""
@@ -296,7 +296,7 @@ def _metrics_sql(labels: str, places: int = 9) -> str:
 @query("a11_segment_metrics", sql(_metrics_sql("seg"), FLOOD, recursive=True))
 def a11(spark, sf):
     v, f = _vf(spark, sf)
-    return rounded(S.segment_metrics(v, f, flood(spark, sf)), 9)
+    return rounded(S.segment_metrics(v, f, flood(spark, sf)), 10)
 
 
 def regions(spark, sf):
@@ -309,9 +309,9 @@ def regions(spark, sf):
     return S.scar_metrics(v, f, w, G.vertex_max_angles(v, G.edge_angles(G.face_normals(G.face_points(f, v)))), order)
 
 
-@query("a15_scar_metrics", sql(f"select mesh_id, scar_id, x.vertex_count, max_dimension, centroid_x, centroid_y, centroid_z, surface_area, mean_curvature from ({_metrics_sql('l8')}) x join sc using (mesh_id, label) join (select mesh_id, label, round(avg(angle), 9) + 0 as mean_curvature from l8 join va using (mesh_id, vertex_id) where label > 0 group by all) using (mesh_id, label)", MAJ, SCARS))
+@query("a15_scar_metrics", sql(f"select mesh_id, scar_id, x.vertex_count, max_dimension, centroid_x, centroid_y, centroid_z, surface_area, mean_curvature from ({_metrics_sql('l8')}) x join sc using (mesh_id, label) join (select mesh_id, label, round(avg(angle), 10) + 0 as mean_curvature from l8 join va using (mesh_id, vertex_id) where label > 0 group by all) using (mesh_id, label)", MAJ, SCARS))
 def a15(spark, sf):
-    return rounded(regions(spark, sf).drop("temporal_order"), 9)
+    return rounded(regions(spark, sf).drop("temporal_order"), 10)
 
 
 PLAIN = "rg as (select mesh_id, label as scar_id, count(*) as vertex_count, avg(z) as metric from gt join v using (mesh_id, vertex_id) where label > 0 group by all)"
@@ -368,7 +368,7 @@ def w8(spark, sf):
     return R.available(_plain(spark, sf))
 
 
-@query("s9_metric_report", sql("select mesh_id, (row_number() over (partition by mesh_id order by surface_area desc nulls last, scar_id))::int as rank, vertex_count as vertices, round(surface_area * 100, 2) + 0 as area, round(max_dimension * 10, 2) + 0 as max_dimension, round(degrees(mean_curvature), 2) + 0 as mean_curvature_deg from (select mesh_id, scar_id, x.vertex_count, max_dimension, surface_area, mean_curvature from (" + _metrics_sql("l8", 9) + ") x join sc using (mesh_id, label) join (select mesh_id, label, avg(angle) as mean_curvature from l8 join va using (mesh_id, vertex_id) where label > 0 group by all) using (mesh_id, label))", MAJ, SCARS))
+@query("s9_metric_report", sql("select mesh_id, (row_number() over (partition by mesh_id order by surface_area desc nulls last, scar_id))::int as rank, vertex_count as vertices, round(round(surface_area * 100, 4), 2) + 0 as area, round(round(max_dimension * 10, 4), 2) + 0 as max_dimension, round(degrees(mean_curvature), 2) + 0 as mean_curvature_deg from (select mesh_id, scar_id, x.vertex_count, max_dimension, surface_area, mean_curvature from (" + _metrics_sql("l8", 9) + ") x join sc using (mesh_id, label) join (select mesh_id, label, avg(angle) as mean_curvature from l8 join va using (mesh_id, vertex_id) where label > 0 group by all) using (mesh_id, label))", MAJ, SCARS))
 def s9(spark, sf):
     return rounded(R.report(regions(spark, sf), "surface_area", F.lit("cm"), F.lit("mm")).drop("order"), 2)
 
@@ -473,5 +473,5 @@ FLAGSHIP = f"select mesh_id, label, vertex_count, surface_area, max_dimension, (
 @query("flagship_ranked_segments", sql(FLAGSHIP, FLOOD, recursive=True))
 def flagship(spark, sf):
     v, f = _vf(spark, sf)
-    rows = rounded(S.segment_metrics(v, f, flood(spark, sf)), 9)
+    rows = rounded(S.segment_metrics(v, f, flood(spark, sf)), 10)
     return R.ranked(rows, "vertex_count", key="label").select("mesh_id", "label", "vertex_count", "surface_area", "max_dimension", "rank")
