@@ -57,6 +57,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
 
+def _row_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [fingerprint(t.as_py()) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), b.column(2)], ["doc_id", "fp", "row"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every row."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
@@ -148,13 +154,14 @@ def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component the row of the smallest doc_id stays, once.
+    """docs without rows of linked fingerprints: of each component the row of the smallest doc_id stays, once.
 
-    Rows of a null doc_id stay only if nothing else is in their component.
+    Fingerprints are linked whatever their doc_ids: null and repeated ones too.
     """
-    kept = near_duplicates(docs).groupBy("component_id").agg(F.count("*").alias("_copies")).withColumnRenamed("component_id", "_kept")
-    from pyspark.sql import Window
+    from debitage.llm.nearcopies import keep_least
 
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return joined.withColumn("_first", first).where("_first = 1").select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(*docs.columns).alias("row"))
+    rows = materialise(rows.mapInArrow(_row_fingerprints, "doc_id long, fp long, row long"))
+    distinct = materialise(rows.select("fp", F.col("fp").alias("rep")).distinct())
+    found = connected_components(links(distinct)).withColumnRenamed("node", "fp")
+    return keep_least(docs, rows.join(found, "fp", "left").select("doc_id", "row", F.coalesce("component", "fp").alias("component")))
