@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from debitage.llm.wordhash import slices
-from debitage.llm.wordtok import chunk_ids
+from debitage.llm.wordtok import PART, closed, text_ids
 
 WINDOW = 512
 END = 0
@@ -62,52 +62,64 @@ def slots(rows: DataFrame, n: int, key: int = KEY) -> DataFrame:
 
 def sequences(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """part, row, doc_id, piece, length, ids_crc32, record: the sequences in reading order."""
-    end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, row = chunk_ids(tokenizer), TaskContext.get().partitionId(), 0
-        for b in slices(batches):
-            at, piece, length, crc, record = [], [], [], [], []
-            for i, text in enumerate(b.column(1)):
-                ids = np.frombuffer(ids_of.text(text.as_py()) + end, "<u4")
-                for k in range(0, len(ids), window):
-                    own = ids[k : k + window]
-                    full = np.full(window, END, "<u2")
-                    full[: len(own)] = own
-                    at.append(i)
-                    piece.append(k // window)
-                    length.append(len(own))
-                    crc.append(zlib.crc32(own.tobytes()))
-                    record.append(full.tobytes())
+        ids_of, part, row = text_ids(tokenizer), TaskContext.get().partitionId(), 0
+        if len(ids_of.closing) > 1 << 16:
+            raise ValueError("records hold unsigned 16-bit ids; the vocabulary has larger ones")
+        for b in slices(batches, most=PART):
+            ids, first = closed(*ids_of.batch(b.column(1)), END)
+            pieces = -(-np.diff(first) // window)
+            at = np.repeat(np.arange(b.num_rows), pieces)
+            piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            begin = first[at] + window * piece
+            length = np.minimum(window, first[at + 1] - begin)
+            raw = memoryview(ids.astype("<u4").view(np.uint8))
+            crc = [zlib.crc32(raw[i:j]) for i, j in zip((4 * begin).tolist(), (4 * (begin + length)).tolist(), strict=True)]
+            full = np.full(len(at) * window, END, "<u2")
+            # each text's ids fill its records from the first on
+            full[np.arange(len(ids)) + np.repeat((np.cumsum(pieces) - pieces) * window - first[:-1], np.diff(first))] = ids
+            record = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * window), len(at), [None, pa.py_buffer(full)]).cast(pa.binary())
             rows = np.arange(row, row + len(at), dtype=np.int64)
             row += len(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), part, np.int32)), pa.array(rows), b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(record, pa.binary())],
+                [pa.array(np.full(len(at), part, np.int32)), pa.array(rows), b.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), record],
                 ["part", "row", "doc_id", "piece", "length", "ids_crc32", "record"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "part int, row long, doc_id long, piece int, length int, ids_crc32 long, record binary")
 
 
-def ordered(docs: DataFrame, tokenizer: str, folder: str, window: int = WINDOW, shard: int = SHARD, key: int = KEY) -> DataFrame:
+def _stored(spark: SparkSession, at: str) -> DataFrame | None:
+    """The table at a path, if it was written to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    return spark.read.parquet(at) if mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark) else None
+
+
+def ordered(docs: DataFrame, tokenizer: str, folder: str, window: int = WINDOW, shard: int = SHARD, key: int = KEY, run: str | None = None) -> DataFrame:
     """doc_id, piece, length, ids_crc32, slot, shard, byte_offset, record of every sequence, in training order.
 
     ``folder`` (shared by all executors) gets the sequences once, as a table in reading
     order; that table fixes every index, so a task that runs again finds the same slots.
+    The reading order follows the files of docs: name a ``run`` to keep one order for
+    good; its table is read again where it was written to its end.
     Null and empty texts are one sequence of the end id; repeated rows and null doc_ids
     have sequences of their own; an empty table gives an empty one; further columns
     are ignored.
     """
-    at = f"{folder.rstrip('/')}/sequences-{uuid.uuid4().hex}"
-    sequences(docs, tokenizer, window).write.option("compression", "zstd").parquet(at)
-    rows = docs.sparkSession.read.parquet(at)
+    spark = docs.sparkSession
+    at = f"{folder.rstrip('/')}/sequences-{run or uuid.uuid4().hex}"
+    rows = _stored(spark, at) if run else None
+    if rows is None:
+        sequences(docs, tokenizer, window).write.option("compression", "zstd").mode("overwrite").parquet(at)
+        rows = spark.read.parquet(at)
     # one row a task of the scan
     parts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
     n, bases = 0, []
     for part, count in parts:
         bases.append((part, n))
         n += count
-    base = docs.sparkSession.createDataFrame(bases, "part int, base long")
+    base = spark.createDataFrame(bases, "part int, base long")
     numbered = rows.join(F.broadcast(base), "part").withColumn("index", F.col("base") + F.col("row"))  # a row for each task
     placed = slots(numbered, n, key).withColumn("shard", F.floor(F.col("slot") / shard).cast("int"))
     dealt = placed.repartitionById(max(1, -(-n // shard)), F.col("shard")).sortWithinPartitions("slot")

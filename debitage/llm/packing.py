@@ -4,9 +4,9 @@ Only lengths matter for a plan, and there are at most ``CAPACITY`` of them, so t
 histogram of lengths is the whole problem.  Each bin starts from the longest length
 left; a bitset subset-sum over the available lengths finds the fullest feasible
 combination around it, which is then removed as often as the counts allow.  Spark
-counts the lengths, numbers the pieces of each length without gaps (salted, so that
-a length shared by a third of all rows is many small windows) and looks every
-number up in the plan.
+counts the lengths, numbers the pieces of each length without gaps (each task numbers
+its own, the counts by task and length give where it begins) and looks every number
+up in the plan.
 """
 
 from __future__ import annotations
@@ -17,17 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from debitage.iterate import materialise
 from debitage.llm.wordhash import slices
-from debitage.llm.wordtok import chunk_ids
+from debitage.llm.wordtok import PART, closed, text_ids
 
 CAPACITY = 2048
 END = 0
-#: Pieces of one length that one window numbers, about.
-RUN = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -104,32 +103,46 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces (columns of PIECES) of each document's ids and the end id."""
-    end = np.array([END], "<u4").tobytes()
+    """The pieces (columns of PIECES) of each document's ids and the end id.
+
+    part, own: the task that cut the piece, and the piece's number among those of its
+    length there; they tell any two rows apart once the rows are stored.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = chunk_ids(tokenizer)
-        for b in slices(batches):
-            rows = []
-            for i, text in enumerate(b.column(1)):
-                ids = ids_of.text(text.as_py()) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    rows.append((i, k, at // 4, len(own) // 4, zlib.crc32(own)))
-            at, piece, start, length, crc = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 5
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
-
-
-def numbered(pieces: DataFrame, most: int) -> DataFrame:
-    """pieces with ``number``: gapless from 0 among those of its length."""
-    salts = max(1, -(-most // RUN))
-    dealt = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    return dealt.withColumn("own", own).join(base, ["length", "salt"]).withColumn("number", F.col("base") + F.col("own")).drop("salt", "own", "base")
+        ids_of, part = text_ids(tokenizer), TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, np.int64)
+        for b in slices(batches, most=PART):
+            ids, first = closed(*ids_of.batch(b.column(1)), END)
+            pieces = -(-np.diff(first) // capacity)
+            at = np.repeat(np.arange(b.num_rows), pieces)
+            piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = capacity * piece
+            length = np.minimum(capacity, np.diff(first)[at] - start)
+            raw = memoryview(ids.astype("<u4").view(np.uint8))
+            begin = 4 * (first[at] + start)
+            crc = [zlib.crc32(raw[i:j]) for i, j in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
+            order = np.argsort(length, kind="stable")
+            ranked, many = length[order], np.bincount(length, minlength=capacity + 1)
+            own = np.empty(len(at), np.int64)
+            own[order] = seen[ranked] + np.arange(len(at)) - (np.cumsum(many) - many)[ranked]
+            seen += many
+            columns = [pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(at), part, np.int32)), pa.array(own)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *columns], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "own"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES + ", part int, own long")
+
+
+def numbered(pieces: DataFrame) -> DataFrame:
+    """pieces with ``number``: gapless from 0 among those of its length.
+
+    No rows are sorted: only the counts by task and length are, so a length that a
+    third of all rows share is as many small groups as tasks cut it.
+    """
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    base = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return pieces.join(base, ["length", "part"]).withColumn("number", F.col("base") + F.col("own")).drop("part", "own", "base")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -149,4 +162,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
             sequence, offset = bins.place(length, number)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return numbered(pieces, max(histogram.values(), default=0)).select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return numbered(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(place, PIECES + ", sequence_id long, offset long")

@@ -26,14 +26,22 @@ def words(rng, n, of=500):
 
 # tokens
 
-def test_chunk_ids_equal_the_library():
+def test_text_ids_equal_the_library(monkeypatch):
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = tokenizer_path()
-    whole, own = Tokenizer.from_file(path), wordtok.ChunkIds(path)
+    whole, own = Tokenizer.from_file(path), wordtok.TextIds(path)
     texts = [t or "" for t in ODD] + ["don't I'LL ''s", "a\x1cb \x00x\x7f", "Ünïcode ΣΑΣ İST <|endoftext|>x", "你好 👍🏽 ﬁ ²", "it's 12,34.5!! --- ok", "À ̀a K Ω नमस्ते"]
-    for t in texts:
-        assert own.text(t) == np.asarray(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    rng = random.Random(12)
+    kinds = (range(1, 128), range(1, 0x300), range(0x300, 0x600), range(0x2000, 0x2100), (39, 115, 60, 124, 32))
+    texts += ["".join(chr(rng.choice(rng.choice(kinds))) for _ in range(60)) for _ in range(300)] + ["words in parts " * 40]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for part, cache in ((wordtok.PART, wordtok.CACHE_BYTES), (100, 2000)):  # long texts in parts, a cache that starts anew
+        monkeypatch.setattr(wordtok, "PART", part)
+        monkeypatch.setattr(wordtok, "CACHE_BYTES", cache)
+        ids, first = own.batch(pa.array([None, *texts]).slice(1))
+        assert [ids[i:j].tolist() for i, j in zip(first[:-1], first[1:], strict=True)] == want
 
 
 # 9
@@ -136,6 +144,28 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, []), tokenizer_path()).count() == 0
 
 
+def test_packing_of_repeated_and_null_ids(spark):
+    texts = ["one and the same"] * 300 + [None] * 50 + ["long " * 3000] * 3
+    d = docs(spark, texts, [7] * 200 + [None] * 153).repartition(5)
+    rows = packing.pack(d, tokenizer_path()).collect()
+    assert len(rows) == 350 + 6
+    places = {(r["sequence_id"], r["offset"]) for r in rows}
+    assert len(places) == len(rows)  # every row has a place of its own
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in bins.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+
+
+def test_token_order_of_a_named_run_stays(spark, tmp_path):
+    texts = [f"text {k} " * (k % 40) for k in range(200)]
+    order = lambda d: sorted((r["slot"], r["doc_id"], r["piece"]) for r in binout.ordered(d, tokenizer_path(), str(tmp_path), window=64, run="one").collect())
+    first = order(docs(spark, texts).repartition(3))
+    assert order(docs(spark, texts).repartition(7)) == first
+
+
 def test_fullest_is_an_exact_subset_sum():
     rng = random.Random(2)
     for _ in range(200):
@@ -261,7 +291,9 @@ def test_token_shards_round_trip(spark, tmp_path):
     reading = [r["slot"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"]))]
     assert reading != sorted(reading)
     files = {r["shard"]: r for r in binout.write_shards(dealt, str(tmp_path / "bin")).collect()}
-    own = wordtok.ChunkIds(tokenizer_path())
+    import pyarrow as pa
+
+    ids_of, first = wordtok.TextIds(tokenizer_path()).batch(pa.array(texts))
     text = {}
     for r in rows:
         path = files[r["shard"]]["path"]
@@ -270,9 +302,9 @@ def test_token_shards_round_trip(spark, tmp_path):
             ids = np.frombuffer(f.read(128), "<u2")
         assert r["byte_offset"] == r["slot"] % 32 * 128 and r["shard"] == r["slot"] // 32
         text.setdefault(r["doc_id"], {})[r["piece"]] = ids[: r["length"]]
-    for i, t in enumerate(texts):
+    for i in range(len(texts)):
         whole = np.concatenate([text[i][k] for k in sorted(text[i])])
-        assert whole.tolist() == [*np.frombuffer(own.text(t), "<u4").tolist(), 0]
+        assert whole.tolist() == [*ids_of[first[i] : first[i + 1]].tolist(), 0]
     assert binout.ordered(docs(spark, []), tokenizer_path(), str(tmp_path / "none")).count() == 0
 
 
