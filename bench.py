@@ -16,6 +16,7 @@ HEADLINE = (
     "e12_vertex_classes",
     "i2_weighted_mean",
     "st1_current_edge_set",
+    "s3_large_obj_scan",
 )
 
 

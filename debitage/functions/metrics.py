@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from debitage.functions.scalars import converted
+from debitage.functions.scalars import SYMBOLS, converted
 from debitage.operators.topology import M
 
 
 @dataclass(frozen=True)
 class Metric:
-    """column: of the region table; kind: count, length, area, angle or order; header: of reports."""
+    """column: of the region table; kind: count, length, area, angle or order; header: of reports, with a place for the unit's symbol."""
 
     column: str
     kind: str
@@ -25,15 +25,19 @@ class Metric:
             return F.round(converted(F.col(self.column), source, target, 2 if self.kind == "area" else 1), 4)
         return F.round(F.degrees(self.column), 2) if self.kind == "angle" else F.col(self.column)
 
+    def titled(self, unit: str) -> str:
+        return self.header.format(SYMBOLS.get(unit, ""))
 
+
+# The headers.
 REGISTRY = {
     m.column: m
     for m in (
-        Metric("vertex_count", "count", "vertices"),
-        Metric("surface_area", "area", "area"),
-        Metric("max_dimension", "length", "max_dimension"),
+        Metric("vertex_count", "count", "vertex_count"),
+        Metric("surface_area", "area", "surface_area_{}2"),
+        Metric("max_dimension", "length", "max_dimension_{}"),
         Metric("mean_curvature", "angle", "mean_curvature_deg"),
-        Metric("temporal_order", "order", "order"),
+        Metric("temporal_order", "order", "temporal_order"),
     )
 }
 
@@ -64,10 +68,10 @@ def percent_of_max(regions: DataFrame, metric: str, key: str = "scar_id") -> Dat
     return regions.withColumn("_top", top).where("_top > 0").select(M, key, (F.coalesce(metric, F.lit(0)) / F.col("_top") * 100).alias("percent"))
 
 
-def report(regions: DataFrame, metric: str, source: Column, target: Column) -> DataFrame:
-    """mesh_id, rank and every registered metric in the target unit, best first."""
+def report(regions: DataFrame, metric: str, source: Column, unit: str) -> DataFrame:
+    """mesh_id, rank and every registered metric in the given unit, best first; headers name the unit."""
     names = [n for n in REGISTRY if n in regions.columns]
-    return ranked(regions, metric).select(M, "rank", *(REGISTRY[n].value(source, target).alias(REGISTRY[n].header) for n in names))
+    return ranked(regions, metric).select(M, "rank", *(REGISTRY[n].value(source, F.lit(unit)).alias(REGISTRY[n].titled(unit)) for n in names))
 
 
 def boundary_averages(scar_edges: DataFrame, comparisons: DataFrame) -> DataFrame:

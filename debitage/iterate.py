@@ -6,36 +6,50 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Star rounds halve the longest chain at least, so this is far beyond any graph.
 MAX_ROUNDS = 100
+#: Edges of a group (a mesh, say) that one task solves by itself; larger ones go by rounds of joins.
+SMALL = 200_000
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's; only where it is unset (tests on one machine) a
-    temporary one is made.  A lost executor loses nothing that was cut here.
+    Only a session on one machine makes a temporary one where it is unset.
     """
-    sc = SparkSession.getActiveSession().sparkContext if SparkSession.getActiveSession() else df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder: a lost executor loses nothing that was cut here."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="debitage-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def tabled(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the checkpoint folder: for loops of many rounds.
+    """Cut the lineage with a table in the shared folder: for loops of many rounds.
 
     A checkpoint keeps what the optimiser has inferred about the rows, and that doubles
     from round to round of a loop; a table starts afresh.
     """
-    spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="debitage-")
-    at = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def signature(df: DataFrame) -> tuple:
@@ -43,17 +57,61 @@ def signature(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", keys: Sequence[str] = ()) -> DataFrame:
+def _least_reached(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0 .. n-1 with edges u-v the least node of each one's component."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[u], root[v])
+        step = root.copy()
+        np.minimum.at(step, root[u], low)
+        np.minimum.at(step, root[v], low)
+        step = step[step]
+        if (step == root).all():
+            return root
+        root = step
+
+
+def _solved(e: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, component of groups that are small enough for a task."""
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        nodes, at = np.unique(np.concatenate([g["_u"].to_numpy(), g["_v"].to_numpy()]), return_inverse=True)
+        low = _least_reached(at[: len(g)], at[len(g) :], len(nodes))
+        out = pd.DataFrame({"node": nodes, "component": nodes[low]})
+        for k in keys:
+            out[k] = g[k].iloc[0]
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in e.schema}
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*((k, kinds[k]) for k in keys), ("node", kinds["_u"]), ("component", kinds["_u"])])
+    return e.groupBy(*keys).applyInPandas(lambda g: solve(g)[[*keys, "node", "component"]], schema)
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", keys: Sequence[str] = (), small: int = SMALL) -> DataFrame:
     """Component of every node that has an edge, as its smallest node.
 
-    Returns ``keys``, ``node``, ``component``.  Alternating large and small stars:
-    each round hangs every node's larger neighbours, then its smaller ones, on the
-    smallest node it sees; the minima combine map-side, so a hub costs no task its
-    whole neighbourhood.  Edges join nodes of equal keys only.  Null ends are dropped.
+    Returns ``keys``, ``node``, ``component``.  Edges join nodes of equal keys only; null
+    ends and keys are dropped.  Groups of at most ``small`` edges are solved in a task
+    each.  Larger ones (all edges, without keys) go by alternating large and small
+    stars: each round hangs every node's larger neighbours, then its smaller ones, on
+    the smallest node it sees.
     """
     keys = list(keys)
     e = edges.select(*keys, F.greatest(src, dst).alias("_u"), F.least(src, dst).alias("_v")).where("_u <> _v").distinct()
-    e = materialise(e)
+    e = materialise(e.dropna(subset=keys) if keys else e)
+    found = None
+    if keys:
+        sizes = e.groupBy(*keys).agg(F.count("*").alias("_n"))
+        if sizes.where(F.col("_n") > small).isEmpty():
+            return _solved(e, keys)
+        sizes = materialise(sizes)
+        found = _solved(e.join(sizes.where(F.col("_n") <= small), keys, "left_semi"), keys)
+        e = materialise(e.join(sizes.where(F.col("_n") > small), keys, "left_semi"))
+    by_stars = _stars(e, keys)
+    return by_stars if found is None else found.unionByName(by_stars)
+
+
+def _stars(e: DataFrame, keys: list[str]) -> DataFrame:
     seen = signature(e)
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(*keys, F.col("_v").alias("_u"), F.col("_u").alias("_v")))

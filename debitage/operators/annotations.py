@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from debitage.functions.scalars import YEAR_2000_MS
+from debitage.functions.scalars import YEAR_2000_MS, YEAR_2100_MS, csv_escape
+from debitage.iterate import materialise
 from debitage.operators.topology import M
 
 A = "annotation_id"
-#: Metadata keys that belong to the annotation.
-ANNOTATION_KEYS = ("annotation", "annotator", "annotation_date", "annotation_version", "annotation_source")
+# Metadata keys that hold an annotation's metadata as an object, and others that belong to it.
+NESTED_KEYS = ("annotation-metadata", "state-metadata")
+ANNOTATION_KEYS = ("evaluation", "model_params", "annotator", "annotation_date", "annotation_source")
 HISTORY = 100
 
 
@@ -114,38 +119,68 @@ def sync_status(annotations: DataFrame) -> DataFrame:
 
 
 def history_states(log: DataFrame, keep: int = HISTORY) -> DataFrame:
-    """mesh_id, position, seq: the undo stack, oldest first, after a log of act, undo and redo (seq, op).
+    """mesh_id, position, seq, undone: the undo stack, oldest first, then what can be redone, after a log of act, undo and redo (seq, op).
 
-    An act clears what could be redone; the newest ``keep`` acts are kept.  A fold of one
-    mesh's log in order.
+    An act clears what could be redone; the newest ``keep`` acts are kept.  Logs are dealt
+    and sorted by mesh and stream through their task, which holds one pair of stacks.
+    Rows without a mesh_id are left out.
     """
     kind = dict(log.dtypes)[M]
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        undo: list[int] = []
-        redo: list[int] = []
-        for r in g.sort_values("seq").itertuples(index=False):
-            if r.op == "act":
-                undo = [*undo, r.seq][-keep:]
-                redo = []
-            elif r.op == "undo" and undo:
-                redo.append(undo.pop())
-            elif r.op == "redo" and redo:
-                undo.append(redo.pop())
-        rows = [*undo, *redo[::-1]]
-        return pd.DataFrame({M: [g[M].iloc[0]] * len(rows), "position": range(1, len(rows) + 1), "seq": rows, "undone": [i >= len(undo) for i in range(len(rows))]})
-
-    return log.groupBy(M).applyInPandas(fold, f"{M} {kind}, position int, seq long, undone boolean")
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, undo, redo = None, deque(maxlen=keep), []
+
+        def rows() -> pd.DataFrame:
+            seq = [*undo, *redo[::-1]]
+            return pd.DataFrame({M: [now] * len(seq), "position": range(1, len(seq) + 1), "seq": seq, "undone": [i >= len(undo) for i in range(len(seq))]})
+
+        for f in frames:
+            for mesh, seq, op in zip(f[M], f["seq"], f["op"], strict=True):
+                if mesh != now:
+                    if now is not None:
+                        yield rows()
+                    now, undo, redo = mesh, deque(maxlen=keep), []
+                if op == "act":
+                    undo.append(seq)
+                    redo = []
+                elif op == "undo" and undo:
+                    redo.append(undo.pop())
+                elif op == "redo" and redo:
+                    undo.append(redo.pop())
+        if now is not None:
+            yield rows()
+
+    dealt = log.where(F.col(M).isNotNull()).select(M, "seq", "op").repartition(M).sortWithinPartitions(M, "seq")
+    return dealt.mapInPandas(fold, f"{M} {kind}, position int, seq long, undone boolean")
 
 
 def split_metadata(entries: DataFrame) -> DataFrame:
-    """entries (mesh_id, key, value) with ``side``: annotation or mesh."""
-    return entries.withColumn("side", F.when(F.col("key").isin(*ANNOTATION_KEYS), "annotation").otherwise("mesh"))
+    """mesh_id, key, value, side (annotation or mesh) of entries (mesh_id, key, value).
+
+    The members of an object under a nested key become entries of the annotation;
+    anything else under such a key is dropped.  A member that is also an entry of its
+    own stays twice.
+    """
+    nested = F.col("key").isin(*NESTED_KEYS)
+    member = F.from_json(F.when(nested & F.ltrim("value").startswith("{"), F.col("value")), "map<string, string>")
+    own = F.when(~nested, F.create_map("key", "value"))
+    side = F.when(nested | F.col("key").isin(*ANNOTATION_KEYS), "annotation").otherwise("mesh")
+    return entries.where("key is not null").select(M, side.alias("side"), F.explode(F.coalesce(member, own)).alias("key", "value")).select(M, "key", "value", "side")
+
+
+def as_json(text: Column) -> Column:
+    """A value as JSON: objects, arrays, numbers, true and false as they are, other text quoted, null null."""
+    bare = text.rlike(r"^\s*[\[{].*[\]}]\s*$") & F.try_parse_json(text).isNotNull() | text.rlike(r"^(true|false|-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?)$")
+    quoted = F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    return F.when(text.isNull(), "null").when(bare, text).otherwise(quoted)
 
 
 def combine_metadata(entries: DataFrame) -> DataFrame:
-    """mesh_id, key, value with annotation keys under ``annotation.``."""
-    return entries.select(M, F.when(F.col("side") == "annotation", F.concat(F.lit("annotation."), F.col("key"))).otherwise(F.col("key")).alias("key"), "value")
+    """mesh_id, key, value: mesh entries, and those of the annotation as one object under ``annotation-metadata``, if any."""
+    member = F.concat(F.regexp_extract(F.to_json(F.struct(F.col("key").alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit(":"), as_json(F.col("value")))
+    own = entries.where("side = 'annotation'").groupBy(M).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    nested = own.select(M, F.lit("annotation-metadata").alias("key"), F.concat(F.lit("{"), F.array_join("members", ","), F.lit("}")).alias("value"))
+    return entries.where("side = 'mesh'").select(M, "key", "value").unionByName(nested)
 
 
 def metadata_lines(entries: DataFrame) -> DataFrame:
@@ -155,20 +190,38 @@ def metadata_lines(entries: DataFrame) -> DataFrame:
     return rows.select(M, F.concat(mark, F.col("key"), F.lit(" "), F.col("value")).alias("line"))
 
 
-def flatten_metadata(documents: DataFrame, key: str = M, max_depth: int = 32) -> DataFrame:
-    """key, path, value (text) of nested JSON objects (column ``json``): dotted paths; arrays and null are leaves."""
-    level = documents.select(key, F.lit("").alias("path"), F.expr("try_parse_json(json)").alias("v")).where("v is not null")
-    leaves = None
-    for _ in range(max_depth):
-        inner = level.where("schema_of_variant(v) like 'OBJECT%' and to_json(v) <> '{}'")
-        own = level.where("not (schema_of_variant(v) like 'OBJECT%' and to_json(v) <> '{}')").select(key, "path", F.to_json("v").alias("value"))
+def flatten_metadata(documents: DataFrame, key: str = M) -> DataFrame:
+    """key, path, value (JSON) of nested JSON objects (column ``json``): dotted paths, of any depth.
+
+    Arrays and null are leaves; an empty object has none.
+    """
+    tvf = documents.sparkSession.tvf
+    level = documents.select(key, F.lit(None).cast("string").alias("path"), F.try_parse_json("json").alias("v"))
+    level, leaves = level.where("schema_of_variant(v) like 'OBJECT%'"), None
+    while True:  # one round a level of nesting
+        members = level.withColumnRenamed(key, "_id").lateralJoin(tvf.variant_explode(F.col("v").outer()))
+        members = materialise(members.select(F.col("_id").alias(key), F.concat_ws(".", "path", "key").alias("path"), F.col("value").alias("v")))
+        own = members.where("v is null or schema_of_variant(v) not like 'OBJECT%'").select(key, "path", F.coalesce(F.to_json("v"), F.lit("null")).alias("value"))
         leaves = own if leaves is None else leaves.unionByName(own)
-        if inner.isEmpty():
-            break
-        inner.createOrReplaceTempView("_flatten")
-        sql = f"select {key}, case when path = '' then t.key else path || '.' || t.key end as path, t.value as v from _flatten, lateral variant_explode(v) as t"
-        level = documents.sparkSession.sql(sql)
-    return leaves
+        level = members.where("schema_of_variant(v) like 'OBJECT%'")
+        if level.isEmpty():
+            return leaves
+
+
+def metadata_csv(mesh: DataFrame, annotation: DataFrame, sources: DataFrame, at: Column) -> DataFrame:
+    """mesh_id, header, row: the flat CSV of each mesh of sources (mesh_id, source_file).
+
+    mesh, annotation: metadata as JSON objects (mesh_id, json); nested keys are dotted, those
+    of the annotation begin with ``annotation.``; ``exportedAt`` and ``sourceFile`` come
+    last.  Fields with commas, quotes or line breaks are quoted; null is empty.
+    """
+    text = F.when(F.col("value").startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v")).when(F.col("value") == "null", "").otherwise(F.col("value"))
+    flat = lambda df, rank, prefix: flatten_metadata(df).select(M, F.lit(rank).alias("rank"), F.concat(F.lit(prefix), "path").alias("path"), text.alias("text"))
+    tail = sources.select(M, F.explode(F.array(F.struct(F.lit(2).alias("rank"), F.lit("exportedAt").alias("path"), at.alias("text")), F.struct(F.lit(3).alias("rank"), F.lit("sourceFile").alias("path"), F.coalesce("source_file", F.lit("")).alias("text")))).alias("t")).select(M, "t.*")
+    rows = flat(mesh, 0, "").unionByName(flat(annotation, 1, "annotation.")).unionByName(tail)
+    fields = rows.groupBy(M).agg(F.array_sort(F.collect_list(F.struct("rank", "path", "text"))).alias("f"))
+    line = lambda c: F.array_join(F.transform("f", lambda x: csv_escape(x[c])), ",")
+    return fields.select(M, line("path").alias("header"), line("text").alias("row"))
 
 
 def review_queue(items: DataFrame, pending_only: bool) -> DataFrame:
@@ -208,5 +261,5 @@ def name_search(items: DataFrame, term: str) -> DataFrame:
 
 
 def known_times(entries: DataFrame) -> DataFrame:
-    """entries (key, number) with ``at``: numbers that are times in milliseconds."""
-    return entries.where(F.col("number") >= YEAR_2000_MS).withColumn("at", F.timestamp_millis(F.col("number").cast("long")))
+    """entries (key, number) with ``at``: numbers that are times in milliseconds, from 2000 to 2100."""
+    return entries.where(F.col("number").between(YEAR_2000_MS, YEAR_2100_MS)).withColumn("at", F.timestamp_millis(F.col("number").cast("long")))

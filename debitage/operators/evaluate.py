@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from debitage.functions.scalars import fixed
 from debitage.iterate import connected_components
 from debitage.operators.topology import M
 
@@ -160,26 +161,31 @@ def boundary_errors(matches: DataFrame) -> DataFrame:
 
 
 def vertex_classes(labelled: DataFrame, matches: DataFrame, over: DataFrame, under: DataFrame, missing_gt: DataFrame, missing_pred: DataFrame) -> DataFrame:
-    """mesh_id, vertex_id, gt, pred, error: the first class that holds."""
+    """mesh_id, vertex_id, gt, pred, error: the first class that holds.
+
+    The class depends on the two labels alone, so the distinct pairs are classified and
+    the vertices looked up once.
+    """
 
     def flag(df: DataFrame, side: str, name: str) -> DataFrame:
         return df.select(M, side).distinct().withColumn(name, F.lit(True))
 
-    rows = labelled
-    for df, side, name in ((missing_gt, "gt", "_mg"), (missing_pred, "pred", "_mp"), (over, "gt", "_o"), (under, "pred", "_u"), (matches, "gt", "_hg"), (matches, "pred", "_hp")):
+    rows = labelled.select(M, "gt", "pred").distinct()
+    for df, side, name in ((missing_gt, "gt", "_mg"), (missing_pred, "pred", "_mp"), (over, "gt", "_o"), (under, "pred", "_u")):
         rows = rows.join(flag(df, side, name), [M, side], "left")
+    # a match's two labels are each other's only ones, so a matched pair is all that matters of them
     rows = rows.join(matches.select(M, "gt", "pred").withColumn("_pair", F.lit(True)), [M, "gt", "pred"], "left")
-    on = lambda n: F.coalesce(n, F.lit(False))
     kind = (
         F.when((F.col("gt") == 0) & (F.col("pred") == 0), "none")
-        .when(on("_mg"), "missing_gt")
-        .when(on("_mp"), "missing_pred")
-        .when(on("_o"), "over_segmentation")
-        .when(on("_u"), "under_segmentation")
-        .when(on("_hg") & on("_hp") & on("_pair"), "matched")
+        .when(F.col("_mg"), "missing_gt")
+        .when(F.col("_mp"), "missing_pred")
+        .when(F.col("_o"), "over_segmentation")
+        .when(F.col("_u"), "under_segmentation")
+        .when(F.col("_pair"), "matched")
         .otherwise("boundary")
     )
-    return rows.select(M, "vertex_id", "gt", "pred", kind.alias("error"))
+    classes = rows.select(M, "gt", "pred", kind.alias("error"))
+    return labelled.join(classes, [M, "gt", "pred"]).select(M, "vertex_id", "gt", "pred", "error")
 
 
 def error_rollup(classes: DataFrame) -> DataFrame:
@@ -212,23 +218,70 @@ def fragment_index(labelled: DataFrame, errors: DataFrame, side: str) -> DataFra
     return own.join(parts, [M, side, other], "left").select(M, "vertex_id", F.coalesce("fragment", F.lit(-1)).alias("fragment"))
 
 
-def summary_line(precision: Column, recall: Column, f1: Column, mean_iou: Column, pq: Column) -> Column:
-    """One line of text, N/A for NaN."""
-    show = lambda c: F.when(F.isnan(c), "N/A").otherwise(F.format_string("%.3f", c))
-    return F.concat_ws(" ", *(F.concat(F.lit(n + " "), show(c)) for n, c in (("P", precision), ("R", recall), ("F1", f1), ("IoU", mean_iou), ("PQ", pq))))
+def error_counts(labelled: DataFrame, over: DataFrame, under: DataFrame, missing_gt: DataFrame, missing_pred: DataFrame) -> DataFrame:
+    """mesh_id and, for each kind of error, its labels, their vertices and the share of valid vertices (either label non-zero)."""
+    rows = labelled.groupBy(M).agg(F.count(F.when((F.col("gt") != 0) | (F.col("pred") != 0), 1)).alias("valid"))
+    parts = {"over_gt": (over, "affected"), "under_pred": (under, "affected"), "missing_gt": (missing_gt, "area"), "missing_pred": (missing_pred, "area")}
+    for name, (df, of) in parts.items():
+        rows = rows.join(df.groupBy(M).agg(F.count("*").alias(f"n_{name}"), F.sum(of).alias(f"{name}_vertices")), M, "left")
+    rows = rows.fillna(0, [c for c in rows.columns if c != M])
+    return rows.select("*", *(F.when(F.col("valid") > 0, F.col(f"{n}_vertices") / F.col("valid")).otherwise(0.0).alias(f"{n}_frac") for n in parts))
+
+
+def summary_report(metrics: DataFrame, errors: DataFrame) -> DataFrame:
+    """mesh_id, report: eleven lines of text from panoptic() and error_counts(); N/A for a mean over nothing."""
+    three = lambda c: fixed(F.col(c), 3)
+    share = lambda n: F.concat(F.lit("("), fixed(F.col(f"{n}_frac") * 100, 1), F.lit("% vertices)"))
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    n = F.col
+    rows = metrics.join(errors, M, "left").fillna(0, [c for c in errors.columns if c != M])
+    # The wording of the report
+    return rows.select(
+        M,
+        F.concat_ws(
+            "\n",
+            F.lit("=== Instance Segmentation Summary ==="),
+            line("GT instances: ", n("n_gt"), ", Pred instances: ", n("n_pred")),
+            line("TP: ", n("tp"), ", FP: ", n("fp"), ", FN: ", n("fn")),
+            line("Precision: ", three("precision"), ", Recall: ", three("recall"), ", F1: ", three("f1")),
+            line("PQ: ", three("pq"), ", RQ: ", three("rq"), ", SQ: ", F.when(F.isnan("sq"), "N/A").otherwise(three("sq"))),
+            F.lit(""),
+            F.lit("=== Error Breakdown ==="),
+            line("Over-segmentation: ", n("n_over_gt"), " GT instances split ", share("over_gt")),
+            line("Under-segmentation: ", n("n_under_pred"), " pred instances merge multiple GT ", share("under_pred")),
+            line("Missing GT (false negatives): ", n("n_missing_gt"), " instances ", share("missing_gt")),
+            line("Hallucinated pred (false positives): ", n("n_missing_pred"), " instances ", share("missing_pred")),
+        ).alias("report"),
+    )
+
 
+def metric_record(metrics: DataFrame, errors: DataFrame, described: DataFrame, at: Column, iou: float = IOU, over: float = OVER, under: float = UNDER) -> DataFrame:
+    """mesh_id, record: panoptic() and error_counts() as nested JSON, NaN null.
 
-def metric_record(metrics: DataFrame, iou: float = IOU, over: float = OVER, under: float = UNDER) -> DataFrame:
-    """mesh_id, record: the metrics as nested JSON, NaN left out."""
-    clean = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return metrics.select(
+    described: mesh_id, gt_description, pred_description; at: the time of the computation in milliseconds.
+    """
+    clean = lambda c: F.when(~F.isnan(c), F.col(c))
+    rows = metrics.join(errors, M, "left").fillna(0, [c for c in errors.columns if c != M]).join(described, M, "left")
+    # The names of the record's fields
+    return rows.select(
         M,
         F.to_json(
             F.struct(
-                F.struct("n_gt", "n_pred").alias("general"),
-                F.struct("tp", "fp", "fn", "precision", "recall", "f1", clean("mean_iou")).alias("detection"),
-                F.struct("pq", clean("sq"), "rq").alias("panoptic"),
-                F.struct(F.lit(iou).alias("iou"), F.lit(over).alias("over"), F.lit(under).alias("under")).alias("thresholds"),
-            )
+                F.struct(at.alias("computedAt"), F.col("gt_description").alias("gtDescription"), F.col("pred_description").alias("predDescription"), F.col("n_gt").alias("nGtInstances"), F.col("n_pred").alias("nPredInstances")).alias("general"),
+                F.struct(*(F.col(c).alias(c.upper()) for c in ("tp", "fp", "fn")), "precision", "recall", "f1").alias("detection"),
+                F.struct(F.col("pq").alias("PQ"), F.col("rq").alias("RQ"), clean("sq").alias("SQ")).alias("panoptic"),
+                F.struct(
+                    F.col("n_over_gt").alias("nOversegGt"),
+                    F.col("over_gt_frac").alias("oversegFrac"),
+                    F.col("n_under_pred").alias("nUndersegPred"),
+                    F.col("under_pred_frac").alias("undersegFrac"),
+                    F.col("n_missing_gt").alias("nMissingGt"),
+                    F.col("missing_gt_frac").alias("missingGtFrac"),
+                    F.col("n_missing_pred").alias("nMissingPred"),
+                    F.col("missing_pred_frac").alias("missingPredFrac"),
+                ).alias("errors"),
+                F.struct(F.lit(iou).alias("iouThresh"), F.lit(over).alias("oversegThresh"), F.lit(under).alias("undersegThresh")).alias("thresholds"),
+            ),
+            {"ignoreNullFields": "false"},
         ).alias("record"),
     )

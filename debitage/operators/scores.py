@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,19 +37,22 @@ def weighted_mean(faces: DataFrame, views: DataFrame) -> DataFrame:
 
 def propagate_gamma(scores: DataFrame, face_adj: DataFrame, gamma: float = GAMMA, max_steps: int = MAX_STEPS) -> DataFrame:
     """mesh_id, face_id, p: positive faces keep their score, each further layer takes gamma times its best labelled neighbour."""
-    now = tabled(scores.select(M, "face_id", "p"))
-    last = now.where("p > 0")
-    hops = face_adj.select(M, "face_id", "nbr")
+    # a face of the next layer touches the last layer only: earlier ones would have reached it before
+    open_ = scores.where("p <= 0").select(M, "face_id")
+    hops = tabled(face_adj.select(M, "face_id", "nbr").join(open_, [M, "face_id"], "left_semi"))
+    last, layers = scores.where("p > 0").select(M, "face_id", "p"), []
     for _ in range(max_steps - 1):
-        open_ = now.where("p <= 0").select(M, "face_id")
-        offers = hops.join(last.select(M, F.col("face_id").alias("nbr"), "p"), [M, "nbr"]).join(open_, [M, "face_id"], "left_semi")
-        # a face of the next layer touches the last layer only: earlier ones would have reached it before
-        new = tabled(offers.groupBy(M, "face_id").agg((F.max("p") * gamma).alias("p")))
-        if new.isEmpty():
+        offers = hops.join(last.withColumnRenamed("face_id", "nbr"), [M, "nbr"])
+        for before in layers[-2:]:
+            offers = offers.join(before.select(M, "face_id"), [M, "face_id"], "left_anti")
+        last = tabled(offers.groupBy(M, "face_id").agg((F.max("p") * gamma).alias("p")))
+        if last.isEmpty():
             break
-        now = tabled(now.join(new.withColumnRenamed("p", "new"), [M, "face_id"], "left").select(M, "face_id", F.coalesce("new", "p").alias("p")))
-        last = new
-    return now
+        layers.append(last)
+    if not layers:
+        return scores.select(M, "face_id", "p")
+    new = functools.reduce(DataFrame.unionByName, layers).withColumnRenamed("p", "new")
+    return tabled(scores.select(M, "face_id", "p").join(new, [M, "face_id"], "left").select(M, "face_id", F.coalesce("new", "p").alias("p")))
 
 
 def _matrix(ax: float, ay: float, az: float) -> list[list[float]]:

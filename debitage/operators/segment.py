@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pandas as pd
@@ -76,8 +77,9 @@ def capped_components(faces: DataFrame, costs: DataFrame, max_merge_cost: float
 def cleaned_up(segments: DataFrame, costs: DataFrame, min_segment_size: int = 50) -> DataFrame:
     """segments (face_id, root) after merging, over all edges ascending, wherever either side has under min_segment_size faces.
 
-    Sizes only grow, so the first edge of each segment pair alone can act: the mesh is
-    contracted to one row a pair before the ordered fold.
+    Sizes only grow, so of each segment pair the first edge alone can act, and only if one
+    of the two is small from the start: the mesh is contracted to those pairs, and each
+    component of them is folded in order in a task.
     """
     if min_segment_size <= 1:
         return segments
@@ -93,6 +95,9 @@ def cleaned_up(segments: DataFrame, costs: DataFrame, min_segment_size: int = 50
     )
     sizes = segments.groupBy(M, "root").agg(F.count("*").alias("n"))
     sized = first.join(sizes.select(M, F.col("root").alias("a"), F.col("n").alias("na")), [M, "a"]).join(sizes.select(M, F.col("root").alias("b"), F.col("n").alias("nb")), [M, "b"])
+    live = sized.where(F.least("na", "nb") < min_segment_size)
+    parts = connected_components(live, "a", "b", [M]).withColumnRenamed("node", "a")
+    live = live.join(parts, [M, "a"])
     kind = dict(segments.dtypes)[M]
 
     def fold(edges: pd.DataFrame) -> pd.DataFrame:
@@ -101,7 +106,7 @@ def cleaned_up(segments: DataFrame, costs: DataFrame, min_segment_size: int = 50
         found = _fold(lambda x, y: x < min_segment_size or y < min_segment_size, edges, n)
         return pd.DataFrame({M: edges[M].iloc[0], "root": list(found), "new_root": list(found.values())})
 
-    found = sized.groupBy(M).applyInPandas(fold, f"{M} {kind}, root long, new_root long")
+    found = live.groupBy(M, "component").applyInPandas(fold, f"{M} {kind}, root long, new_root long")
     return segments.join(found, [M, "root"], "left").select(M, "face_id", F.coalesce("new_root", "root").alias("root"))
 
 
@@ -150,21 +155,26 @@ def small_to_edge(labels: DataFrame, edges: DataFrame, min_size: int) -> DataFra
 def _layers(labels: DataFrame, edges: DataFrame, pick: Callable, max_rounds: int = MAX_ROUNDS * 100) -> DataFrame:
     """Label unlabelled vertices layer by layer; pick aggregates the labelled neighbours of earlier layers.
 
-    Only the last layer's neighbours change, but every labelled neighbour counts, so the
-    frontier (unlabelled neighbours of the last layer) is joined to the labels so far.
+    A vertex of layer k has no neighbour of a layer before k - 1 (it would have been
+    labelled sooner), so a round joins the last layer alone and stores the new one.
     """
-    now = tabled(labels)
-    last = now.where("label > 0")
+    open_ = labels.where("label = 0").select(M, F.col("vertex_id").alias("src"))
+    hops = tabled(edges.join(open_, [M, "src"], "left_semi"))
+    last, layers = labels.where("label > 0").select(M, "vertex_id", "label"), []
     for _ in range(max_rounds):
-        touched = edges.join(last.select(M, F.col("vertex_id").alias("dst")), [M, "dst"], "left_semi").select(M, "src").distinct()
-        open_ = touched.join(now.where("label = 0").select(M, F.col("vertex_id").alias("src")), [M, "src"], "left_semi")
-        votes = edges.join(open_, [M, "src"], "left_semi").join(now.where("label > 0").select(M, F.col("vertex_id").alias("dst"), "label"), [M, "dst"])
-        new = tabled(pick(votes).select(M, F.col("src").alias("vertex_id"), "label"))
-        if new.isEmpty():
-            return now
-        now = tabled(now.join(new.withColumnRenamed("label", "new"), [M, "vertex_id"], "left").select(M, "vertex_id", F.coalesce("new", "label").alias("label")))
-        last = new
-    raise RuntimeError("the mesh has more layers than rounds")
+        votes = hops.join(last.withColumnRenamed("vertex_id", "dst"), [M, "dst"])
+        for before in layers[-2:]:
+            votes = votes.join(before.select(M, F.col("vertex_id").alias("src")), [M, "src"], "left_anti")
+        last = tabled(pick(votes).select(M, F.col("src").alias("vertex_id"), "label"))
+        if last.isEmpty():
+            break
+        layers.append(last)
+    else:
+        raise RuntimeError("the mesh has more layers than rounds")
+    if not layers:
+        return labels
+    new = functools.reduce(DataFrame.unionByName, layers).withColumnRenamed("label", "new")
+    return tabled(labels.join(new, [M, "vertex_id"], "left").select(M, "vertex_id", F.coalesce("new", "label").alias("label")))
 
 
 def erode_to_min(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -100,9 +100,9 @@ def w6(spark, sf):
     return A.newest_first(_library(spark, sf).withColumn("mesh_id", F.col("annotation_id") % 3)).select("mesh_id", "annotation_id", "shown")
 
 
-@query("m6_import_by_cloud_id", f"with {LIB}, {LIVE} select i.cloud_id, coalesce(annotation_id, i.cloud_id + 1000000) as annotation_id, case when annotation_id is null then 'insert' else 'update' end as action from (select distinct event_id as cloud_id from events where event_id % 25 = 0) i left join lb using (cloud_id)")
+@query("m6_import_by_cloud_id", f"with {LIB}, {LIVE} select i.cloud_id, coalesce(annotation_id, i.cloud_id + 1000000) as annotation_id, case when annotation_id is null then 'insert' else 'update' end as action from (select distinct event_id as cloud_id from events) i left join lb using (cloud_id)")
 def m6(spark, sf):
-    incoming = table(spark, sf, "events").where("event_id % 25 = 0").select(F.col("event_id").alias("cloud_id"), (F.col("event_id") + 1_000_000).alias("new_id")).distinct()
+    incoming = table(spark, sf, "events").select(F.col("event_id").alias("cloud_id"), (F.col("event_id") + 1_000_000).alias("new_id")).distinct()
     return A.import_by_cloud_id(incoming, _library(spark, sf))
 
 
@@ -119,23 +119,29 @@ def m8(spark, sf):
 
 # metadata: events.props as JSON, event types as keys
 
-META = "mt as (select event_id as mesh_id, case event_id % 6 when 0 then 'annotator' when 1 then 'annotation_date' when 2 then 'two words' else event_type end as key, case when event_id % 11 = 0 then null when event_id % 3 = 0 then props else event_type end as value from events)"
+KEY = "case event_id % 8 when 0 then 'annotator' when 1 then 'annotation_date' when 2 then 'two words' when 3 then 'annotation-metadata' when 4 then 'state-metadata' when 5 then 'annotation' else event_type end"
+VALUE_OF = "case when event_id % 11 = 0 then null when event_id % 8 = 3 or event_id % 3 = 0 then props else event_type end"
+META = f"mt as (select event_id as mesh_id, {KEY} as key, {VALUE_OF} as value from events)"
+SPLIT = """sp as (select mesh_id, j.k as key, json_extract_string(mt.value, '$.' || j.k) as value, 'annotation' as side from mt, lateral (select unnest(json_keys(case when mt.value like '{%' then mt.value else '{}' end)) as k) j where mt.key in ('annotation-metadata', 'state-metadata') and value like '{%'
+ union all select mesh_id, key, value, case when key in ('evaluation', 'model_params', 'annotator', 'annotation_date', 'annotation_source') then 'annotation' else 'mesh' end from mt where key not in ('annotation-metadata', 'state-metadata'))"""
 
 
 def _meta(spark, sf):
-    key = F.expr("case event_id % 6 when 0 then 'annotator' when 1 then 'annotation_date' when 2 then 'two words' else event_type end")
-    value = F.expr("case when event_id % 11 = 0 then null when event_id % 3 = 0 then props else event_type end")
-    return table(spark, sf, "events").select(F.col("event_id").alias("mesh_id"), key.alias("key"), value.alias("value"))
+    return table(spark, sf, "events").select(F.col("event_id").alias("mesh_id"), F.expr(KEY).alias("key"), F.expr(VALUE_OF).alias("value"))
 
 
-@query("m1_split_metadata", f"with {META} select mesh_id, key, value, case when key in ('annotator', 'annotation_date') then 'annotation' else 'mesh' end as side from mt")
+@query("m1_split_metadata", f"with {META}, {SPLIT} select mesh_id, key, value, side from sp")
 def m1(spark, sf):
     return A.split_metadata(_meta(spark, sf))
 
 
-@query("m2_combine_metadata", f"with {META} select mesh_id, case when key in ('annotator', 'annotation_date') then 'annotation.' || key else key end as key, value from mt")
+# two events share a mesh, so an annotation can have two members
+BOTH = "case when value is null then 'null' when value like '{%' then value when regexp_full_match(value, '[0-9]+') then value else '\"' || value || '\"' end"
+
+
+@query("m2_combine_metadata", f"with {META}, {SPLIT}, tw as (select mesh_id // 2 as mesh_id, key, value, side from sp) select mesh_id, key, value from tw where side = 'mesh' union all select mesh_id, 'annotation-metadata', '{{' || string_agg('\"' || key || '\":' || {BOTH}, ',' order by key, value) || '}}' from tw where side = 'annotation' group by mesh_id")
 def m2(spark, sf):
-    return A.combine_metadata(A.split_metadata(_meta(spark, sf)))
+    return A.combine_metadata(A.split_metadata(_meta(spark, sf)).withColumn("mesh_id", F.floor(F.col("mesh_id") / 2)))
 
 
 @query("m3_metadata_lines", f"with {META} select mesh_id, case when regexp_matches(value, '^\\s*[\\[{{]') then 'comment metadata:json ' else 'comment metadata ' end || key || ' ' || value as line from mt where value is not null and not regexp_matches(key, '\\s')")
@@ -143,9 +149,15 @@ def m3(spark, sf):
     return A.metadata_lines(_meta(spark, sf))
 
 
-@query("m4_s10_flatten_metadata", None)
+DEEP = 40
+
+
+@query("m4_s10_flatten_metadata", f"select event_id as mesh_id, 'outer.' || repeat('d.', {DEEP}) || 'k' as path, json_extract_string(props, '$.k') as value from events where props is not null union all select event_id, 'outer.list', '[1,2]' from events where props is not null union all select event_id, 'type', '\"' || event_type || '\"' from events where props is not null")
 def m4(spark, sf):
-    return A.flatten_metadata(table(spark, sf, "events").select(F.col("event_id").alias("mesh_id"), F.concat(F.lit('{"outer": {"props": '), F.coalesce("props", F.lit("null")), F.lit(', "list": [1, 2]}, "type": "'), "event_type", F.lit('"}')).alias("json")))
+    inner = F.concat(F.lit('{"d":' * DEEP), "props", F.lit("}" * DEEP))
+    e = table(spark, sf, "events").where("props is not null")
+    # the object in props lies under forty others
+    return A.flatten_metadata(e.select(F.col("event_id").alias("mesh_id"), F.concat(F.lit('{"outer": '), F.regexp_replace(inner, r"\}$", ', "list": [1, 2], "none": {}}'), F.lit(', "type": "'), "event_type", F.lit('"}')).alias("json")))
 
 
 ITEMS = "it as (select c_nationkey::bigint as dataset, c_custkey as item, c_name as original_name, 'f' || c_custkey as filename, case when c_acctbal < 0 then 'reject' when c_acctbal > 5000 then 'accept' end as verdict from customer)"
@@ -207,18 +219,24 @@ def x1(spark, sf):
 
 
 UNITS = "case c_custkey % 6 when 0 then 'um' when 1 then 'mm' when 2 then 'cm' when 3 then 'm' when 4 then 'in' else 'raw' end"
-METRES = "case u when 'um' then 1e-6 when 'mm' then 1e-3 when 'cm' then 1e-2 when 'm' then 1 when 'in' then 0.0254 end"
+FACTOR = "case u when 'um' then 0.001 when 'cm' then 10 when 'm' then 1000 when 'in' then 25.4 else 1 end::double"
 
 
-@query("x2_unit_conversion", f"select c_custkey, round(c_acctbal * coalesce({METRES}::double / 0.001, 1), 3) as length, round(c_acctbal / 1000 * coalesce({METRES}::double / 0.001, 1) ** 2, 3) as area from (select *, {UNITS} as u from customer)")
+@query("x2_unit_conversion", f"select c_custkey, round(c_acctbal * {FACTOR}, 3) + 0 as length, round(c_acctbal / 1000 * {FACTOR} * {FACTOR}, 3) + 0 as area, round(c_acctbal / {FACTOR}, 3) + 0 as back from (select *, case when c_custkey % 7 = 0 then 'furlong' else {UNITS} end as u from customer)")
 def x2(spark, sf):
-    c = table(spark, sf, "customer").withColumn("u", F.expr(UNITS))
-    return c.select("c_custkey", F.round(X.converted(F.col("c_acctbal"), F.col("u"), F.lit("mm")), 3).alias("length"), F.round(X.converted(F.col("c_acctbal") / 1000, F.col("u"), F.lit("mm"), 2), 3).alias("area"))
+    c = table(spark, sf, "customer").withColumn("u", F.expr(f"case when c_custkey % 7 = 0 then 'furlong' else {UNITS} end"))
+    mm = F.lit("mm")
+    return rounded(c.select("c_custkey", X.converted(F.col("c_acctbal"), F.col("u"), mm).alias("length"), X.converted(F.col("c_acctbal") / 1000, F.col("u"), mm, 2).alias("area"), X.converted(F.col("c_acctbal"), mm, F.col("u")).alias("back")), 3)
+
 
+# ties of one decimal are the values whose quadruple is odd
+SHOWN = "case u when 'um' then case when abs(c_acctbal * 4) % 2 = 1 then format('{:.1f} μm', round(c_acctbal, 1)) else format('{:.1f} μm', c_acctbal) end when 'mm' then format('{:.2f} mm', c_acctbal) when 'cm' then format('{:.3f} cm', c_acctbal) when 'm' then format('{:.4f} m', c_acctbal) when 'in' then format('{:.3f} in', c_acctbal) else format('{:.2f}', c_acctbal) end"
 
-@query("x3_value_with_symbol", None)
+
+@query("x3_value_with_symbol", f"select c_custkey, {SHOWN} as shown, {SHOWN} || case when u = 'raw' then '' else '²' end as area from (select *, {UNITS} as u from customer)")
 def x3(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", X.with_symbol(F.col("c_acctbal"), F.expr(UNITS)).alias("shown"))
+    shown = lambda power: X.with_symbol(F.col("c_acctbal"), F.expr(UNITS), power)
+    return table(spark, sf, "customer").select("c_custkey", shown(1).alias("shown"), shown(2).alias("area"))
 
 
 @query("x4_effective_unit", f"select c_custkey, coalesce(nullif(case when c_custkey % 2 = 0 then 'auto' else {UNITS} end, 'auto'), case when c_custkey % 4 = 0 then 'cm' end, 'mm') as unit from customer")
@@ -232,16 +250,36 @@ def x6(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", k["lo"].alias("lo"), k["hi"].alias("hi"))
 
 
-@query("x7_colour_maps", "select l_orderkey, l_linenumber, t, floor(255 * least(1, greatest(0, t * 12.5 - 0.1)) + 0.5)::int as grey from (select *, l_discount as t from lineitem)")
+# The stops of the colour maps
+MAPS = {
+    "blueRed": "[[0.23, 0.30, 0.75], [0.13, 0.70, 0.80], [0.55, 0.83, 0.35], [0.95, 0.85, 0.20], [0.84, 0.19, 0.15]]",
+    "viridis": "[[0.27, 0.00, 0.33], [0.28, 0.22, 0.55], [0.13, 0.40, 0.55], [0.15, 0.58, 0.43], [0.48, 0.73, 0.22], [0.99, 0.91, 0.14]]",
+    "plasma": "[[0.05, 0.03, 0.53], [0.42, 0.00, 0.66], [0.72, 0.10, 0.54], [0.95, 0.35, 0.24], [0.98, 0.72, 0.08], [0.94, 0.97, 0.13]]",
+    "coolwarm": "[[0.23, 0.30, 0.75], [0.55, 0.60, 0.88], [0.87, 0.87, 0.87], [0.88, 0.55, 0.50], [0.75, 0.15, 0.15]]",
+    "turbo": "[[0.19, 0.07, 0.23], [0.14, 0.40, 0.82], [0.06, 0.72, 0.65], [0.35, 0.88, 0.30], [0.78, 0.87, 0.14], [0.98, 0.58, 0.07], [0.84, 0.19, 0.15]]",
+}
+
+
+def _channel(stops: str, k: int) -> str:
+    n = stops.count("[") - 2
+    i = f"least(floor(t * {n}), {n - 1})::int"
+    low, high = f"({stops}::double[][])[{i} + 1][{k}]", f"({stops}::double[][])[{i} + 2][{k}]"
+    return f"({low} + ({high} - {low}) * (t * {n} - {i}))"
+
+
+CLAMPED = "(select *, greatest(0, least(1, l_discount * 12.5 - 0.1))::double as t from lineitem)"
+
+
+@query("x7_colour_maps", "select l_orderkey, l_linenumber, " + ", ".join(f"round({_channel(s, k)}, 9) as {n}_{c}" for n, s in MAPS.items() for k, c in enumerate(("red", "green", "blue"), 1)) + f" from {CLAMPED}")
 def x7(spark, sf):
-    rgb = X.colour("grey", F.col("l_discount") * 12.5 - 0.1)
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("t"), rgb["red"].alias("grey"))
+    t = F.col("l_discount") * 12.5 - 0.1
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(X.colour(n, t)[c], 9).alias(f"{n}_{c}") for n in MAPS for c in ("red", "green", "blue")))
 
 
-@query("x7_colour_hex", None)
+@query("x7_colour_hex", "select l_orderkey, l_linenumber, " + ", ".join("'#' || " + " || ".join(f"format('{{:02x}}', floor({_channel(s, k)} * 255 + 0.5)::int)" for k in (1, 2, 3)) + f" as {n}" for n, s in MAPS.items()) + f" from {CLAMPED}")
 def x7_hex(spark, sf):
-    li = table(spark, sf, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", *(X.hex_colour(X.colour(n, F.col("l_discount") * 10)).alias(n) for n in X.COLOUR_STOPS))
+    t = F.col("l_discount") * 12.5 - 0.1
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *(X.hex_colour(X.colour(n, t)).alias(n) for n in MAPS))
 
 
 @query("x8_score_hue", "select l_orderkey, l_linenumber, round((1 - l_discount) * 0.667, 6) as hue from lineitem")
@@ -258,27 +296,39 @@ def x9(spark, sf):
     return table(spark, sf, "events").select("event_id", t["kind"].alias("kind"), t["flag"].alias("flag"))
 
 
-@query("x10_json_or_text", "select event_id, case when event_id % 2 = 0 then 'object' else 'string' end as kind from events where props is not null")
+TYPED = "case event_id % 12 when 0 then 'true' when 1 then '' when 2 then ' ' when 3 then ' -1.5e3 ' when 4 then '0x1F' when 5 then props when 6 then '[1, {}]' when 7 then '{broken}' when 8 then 'True' when 9 then '\"quoted\"' when 10 then 'null' else '12.' end"
+TYPED_AS = "case event_id % 12 when 0 then 'true' when 1 then '\"\"' when 2 then '0' when 3 then '-1500' when 4 then '31' when 5 then replace(props, ' ', '') when 6 then '[1,{}]' when 7 then '\"{broken}\"' when 8 then '\"True\"' when 9 then '\"\\\"quoted\\\"\"' when 10 then '\"null\"' else '12' end"
+
+
+@query("x10_parsed_values", f"select event_id, {TYPED_AS} as value from events where props is not null")
 def x10(spark, sf):
-    v = X.json_or_text(F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit("<"), "props")))
-    kind = F.schema_of_variant(v)
-    return table(spark, sf, "events").where("props is not null").select("event_id", F.when(kind.startswith("OBJECT"), "object").otherwise(F.lower(kind)).alias("kind"))
+    value = F.regexp_replace(F.to_json(X.parsed_value(F.expr(TYPED))), r"\.0$", "")
+    return table(spark, sf, "events").where("props is not null").select("event_id", value.alias("value"))
+
 
+TIME_KEY = "case event_id % 6 when 0 then 'createdAt' when 1 then 'exportedAt' when 2 then 'updatedAt' when 3 then 'count' when 4 then 'created' else 'upload_Date' end"
+MILLIS = "case when event_id % 5 = 0 then 4102444800001 when event_id % 5 = 1 then 946684799999 else epoch_ms(ts) end"
 
-@query("x11_timestamps", "select event_id, epoch_ms(ts) >= 946684800000 and epoch_ms(ts) <= 4102444800000 and event_type <> 'click' as is_time from events")
+
+@query("x11_timestamps", f"select event_id, k in ('createdAt', 'exportedAt') and ms between 946684800000 and 4102444800000 as is_time, k in ('createdAt', 'exportedAt', 'updatedAt', 'created', 'upload_Date') and ms between 946684800000 and 4102444800000 as shows_time from (select event_id, {TIME_KEY} as k, {MILLIS} as ms from events)")
 def x11(spark, sf):
     e = table(spark, sf, "events")
-    return e.select("event_id", X.is_time(F.when(F.col("event_type") != "click", "created_at").otherwise("other"), F.unix_millis(F.col("ts").cast("timestamp"))).alias("is_time"))
+    key, ms = F.expr(TIME_KEY), F.expr(MILLIS.replace("epoch_ms(ts)", "unix_millis(cast(ts as timestamp))"))
+    return e.select("event_id", X.is_time(key, ms).alias("is_time"), X.shows_time(key, ms).alias("shows_time"))
+
+
+ODD_NAME = r"case doc_id % 3 when 0 then chr(9) || chr(160) || ' ' || chr(1) || ' ' || coalesce(text, '') when 1 then text else text || chr(8232) end"
 
 
-@query("x12_clean_names", r"select doc_id, substring(trim(regexp_replace(coalesce(text, ''), '[\x00-\x1F\x7F]', '', 'g'), ' '), 1, 200) as name from documents")
+@query("x12_clean_names", r"select doc_id, substring(regexp_replace(regexp_replace(coalesce(t, ''), '^[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g'), '[\x00-\x1F\x7F]', '', 'g'), 1, 200) as name from (select doc_id, " + ODD_NAME + " as t from documents)")
 def x12(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.clean_name(F.coalesce("text", F.lit(""))).alias("name"))
+    odd = F.expr(ODD_NAME.replace("chr(160)", "'\u00a0'").replace("chr(8232)", "'\u2028'"))
+    return table(spark, sf, "documents").select("doc_id", X.clean_name(odd).alias("name"))
 
 
-@query("x13_html_escape", "select page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') as escaped from pages")
+@query("x13_html_escape", "select page_id, replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), chr(160), '&nbsp;'), '<', '&lt;'), '>', '&gt;') as inside, replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '\"', '&quot;'), chr(39), '&#39;'), '<', '&lt;'), '>', '&gt;') as attribute from pages")
 def x13(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.html_escape(F.col("url")).alias("escaped"))
+    return table(spark, sf, "pages").select("page_id", X.html_escape(F.col("html")).alias("inside"), X.attribute_escape(F.col("html")).alias("attribute"))
 
 
 @query("x14_csv_escape", "select doc_id, case when regexp_matches(text, '[\",\\n\\r]') then '\"' || replace(text, '\"', '\"\"') || '\"' else text end as field from documents")
@@ -286,8 +336,6 @@ def x14(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.csv_escape(F.col("text")).alias("field"))
 
 
-@query("x15_previews", "select doc_id, case when length(text) > 80 then substring(text, 1, 80) || '...' else text end as preview from documents")
+@query("x15_previews", "select doc_id, case when length(text) > 80 then substring(text, 1, 77) || '...' else text end as preview, case when length(text) > 60 then substring(text, 1, 57) || '...' else text end as json_preview from documents")
 def x15(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.preview(F.col("text"), 80).alias("preview"))
-
-
+    return table(spark, sf, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"), X.preview(F.col("text"), 60).alias("json_preview"))

@@ -17,8 +17,16 @@ ga as (select mesh_id, gt, count(*) as gt_area from lp where gt <> 0 group by al
 ov as (select mesh_id, gt, pred, count(*) as intersection, any_value(gt_area) as gt_area, any_value(pred_area) as pred_area, count(*) / (any_value(gt_area) + any_value(pred_area) - count(*)) as iou, count(*) / any_value(gt_area) as gt_coverage, count(*) / any_value(pred_area) as pred_coverage
   from lp join ga using (mesh_id, gt) join pa using (mesh_id, pred) group by mesh_id, gt, pred)"""
 GAPS = BASE.replace("join pred p", "join predg p")
-#: IoU over one half can only be the optimum's when it is the best of its row and column by far: the demo's matches at .6.
-SURE = "mt as (select * from ov where iou > 0.6667)"
+#: The matching of largest total IoU by dynamic programming over sets of taken predictions (labels 1 to 6).
+_STEPS = ", ".join(
+    ["d0 as (select distinct mesh_id, 0 as taken, 0.0::double as total, []::bigint[] as picks from lp)"]
+    + [
+        f"d{g} as (select mesh_id, taken, max(total) as total, arg_max(picks, total) as picks from (select * from d{g - 1} union all select d.mesh_id, d.taken | (1 << o.pred), d.total + o.iou, list_append(d.picks, {g} * 100 + o.pred) from d{g - 1} d join ov o on o.mesh_id = d.mesh_id and o.gt = {g} where (d.taken >> o.pred) & 1 = 0) group by mesh_id, taken)"
+        for g in range(1, 7)
+    ]
+)
+BEST = _STEPS + """, dm as (select mesh_id, unnest(arg_max(picks, total)) as pick from d6 group by mesh_id),
+mt as (select ov.* from ov join dm on dm.mesh_id = ov.mesh_id and pick = gt * 100 + pred where iou >= 0.5)"""
 
 
 def _labelled(spark, sf, gaps=False):
@@ -36,12 +44,12 @@ def e2(spark, sf):
     return rounded(E.overlaps(_labelled(spark, sf)).select("mesh_id", "gt", "pred", "iou", "gt_coverage", "pred_coverage"))
 
 
-@query("e3_optimal_matching", None)
+@query("e3_optimal_matching", sql("select mesh_id, gt, pred, round(iou, 6) as iou from mt", BASE, BEST))
 def e3(spark, sf):
-    return rounded(E.optimal_matches(E.overlaps(_labelled(spark, sf))))
+    return rounded(E.optimal_matches(E.overlaps(_labelled(spark, sf))).select("mesh_id", "gt", "pred", "iou"))
 
 
-@query("e3_sure_matches", sql("select mesh_id, gt, pred, round(iou, 6) as iou from mt", BASE, SURE))
+@query("e3_sure_matches", sql("select mesh_id, gt, pred, round(iou, 6) as iou from ov where iou > 0.6667", BASE))
 def e3_sure(spark, sf):
     # a pair over two thirds belongs to every optimum: it beats any two pairs that it excludes
     return rounded(E.optimal_matches(E.overlaps(_labelled(spark, sf)), 0.6667).select("mesh_id", "gt", "pred", "iou"))
@@ -55,10 +63,10 @@ PANOPTIC = """select m.mesh_id, n_gt, n_pred, tp, n_pred - tp as fp, n_gt - tp a
 def _panoptic(spark, sf):
     v = demo.vertices(spark, sf)
     lp = _labelled(spark, sf)
-    return E.panoptic(demo.meshes(v), lp, E.optimal_matches(E.overlaps(lp), 0.6667))
+    return E.panoptic(demo.meshes(v), lp, E.optimal_matches(E.overlaps(lp)))
 
 
-@query("e4_e5_panoptic_metrics", sql(PANOPTIC, BASE, SURE))
+@query("e4_e5_panoptic_metrics", sql(PANOPTIC, BASE, BEST))
 def e4(spark, sf):
     return rounded(_panoptic(spark, sf).select("mesh_id", "n_gt", "n_pred", "tp", "fp", "fn", "precision", "recall", "pq", "rq"))
 
@@ -94,9 +102,9 @@ def e9(spark, sf):
     return rounded(E.missing(lp, E.overlaps(lp), "pred", E.UNDER))
 
 
-@query("e10_boundary_errors", sql("select mesh_id, gt, pred, round(iou, 6) as iou, intersection, gt_area - intersection as gt_only, pred_area - intersection as pred_only, gt_area, pred_area from mt", BASE, SURE))
+@query("e10_boundary_errors", sql("select mesh_id, gt, pred, round(iou, 6) as iou, intersection, gt_area - intersection as gt_only, pred_area - intersection as pred_only, gt_area, pred_area from mt", BASE, BEST))
 def e10(spark, sf):
-    return rounded(E.boundary_errors(E.optimal_matches(E.overlaps(_labelled(spark, sf)), 0.6667)))
+    return rounded(E.boundary_errors(E.optimal_matches(E.overlaps(_labelled(spark, sf)))))
 
 
 CLASSES = """mg as (select a.mesh_id, a.gt from ga a left join ov on ov.mesh_id = a.mesh_id and ov.gt = a.gt group by all having coalesce(max(gt_coverage), 0) < 0.1),
@@ -109,49 +117,91 @@ cls as (select mesh_id, vertex_id, gt, pred, case when gt = 0 and pred = 0 then
 def _classes(spark, sf, gaps=True):
     lp = _labelled(spark, sf, gaps)
     ov = E.overlaps(lp)
-    matches = E.optimal_matches(ov, 0.6667)
+    matches = E.optimal_matches(ov)
     parts = [E.split_errors(ov, "gt", E.OVER), E.split_errors(ov, "pred", E.UNDER), E.missing(lp, ov, "gt", E.OVER), E.missing(lp, ov, "pred", E.UNDER)]
     return lp, matches, parts, E.vertex_classes(lp, matches, *parts)
 
 
-@query("e12_vertex_classes", sql("select * from cls", GAPS, SURE, CLASSES))
+@query("e12_vertex_classes", sql("select * from cls", GAPS, BEST, CLASSES))
 def e12(spark, sf):
     return _classes(spark, sf)[3]
 
 
-@query("e11_error_rollup", sql("select mesh_id, count(*) filter (where gt <> 0 or pred <> 0) as valid, " + ", ".join(f"count(*) filter (where error = '{n}') as {n}" for n in ("matched", "boundary", "missing_gt", "missing_pred", "over_segmentation", "under_segmentation")) + ", " + ", ".join(f"round(count(*) filter (where error = '{n}') / greatest(count(*) filter (where gt <> 0 or pred <> 0), 1), 6) as {n}_share" for n in ("matched", "boundary", "missing_gt", "missing_pred", "over_segmentation", "under_segmentation")) + " from cls group by mesh_id", GAPS, SURE, CLASSES))
+@query("e11_error_rollup", sql("select mesh_id, count(*) filter (where gt <> 0 or pred <> 0) as valid, " + ", ".join(f"count(*) filter (where error = '{n}') as {n}" for n in ("matched", "boundary", "missing_gt", "missing_pred", "over_segmentation", "under_segmentation")) + ", " + ", ".join(f"round(count(*) filter (where error = '{n}') / greatest(count(*) filter (where gt <> 0 or pred <> 0), 1), 6) as {n}_share" for n in ("matched", "boundary", "missing_gt", "missing_pred", "over_segmentation", "under_segmentation")) + " from cls group by mesh_id", GAPS, BEST, CLASSES))
 def e11(spark, sf):
     return rounded(E.error_rollup(_classes(spark, sf)[3]))
 
 
-@query("f9_error_selection", sql("select * from cls where error in ('matched', 'missing_gt')", GAPS, SURE, CLASSES))
+@query("f9_error_selection", sql("select * from cls where error in ('matched', 'missing_gt')", GAPS, BEST, CLASSES))
 def f9(spark, sf):
     return E.of_class(_classes(spark, sf)[3], "matched", "missing_gt")
 
 
-@query("e15_match_details", sql("select mesh_id, vertex_id, case when error = 'matched' then 'matched' when g and not p then 'gt_only' when p and not g then 'pred_only' else 'other' end as detail from (select *, (mesh_id, gt) in (select (mesh_id, gt) from mt) as g, (mesh_id, pred) in (select (mesh_id, pred) from mt) as p from cls) where error in ('matched', 'boundary')", GAPS, SURE, CLASSES))
+@query("e15_match_details", sql("select mesh_id, vertex_id, case when error = 'matched' then 'matched' when g and not p then 'gt_only' when p and not g then 'pred_only' else 'other' end as detail from (select *, (mesh_id, gt) in (select (mesh_id, gt) from mt) as g, (mesh_id, pred) in (select (mesh_id, pred) from mt) as p from cls) where error in ('matched', 'boundary')", GAPS, BEST, CLASSES))
 def e15(spark, sf):
     _, matches, _, classes = _classes(spark, sf)
     return E.match_details(classes, matches)
 
 
-@query("e17_fragment_index", sql("select mesh_id, vertex_id, coalesce(i, -1)::int as fragment from lp join og using (mesh_id, gt) left join (select mesh_id, gt, pred, (row_number() over (partition by mesh_id, gt order by pred) - 1)::int as i from ov where gt_coverage >= 0.1) using (mesh_id, gt, pred)", GAPS, SURE, CLASSES))
+@query("e17_fragment_index", sql("select mesh_id, vertex_id, coalesce(i, -1)::int as fragment from lp join og using (mesh_id, gt) left join (select mesh_id, gt, pred, (row_number() over (partition by mesh_id, gt order by pred) - 1)::int as i from ov where gt_coverage >= 0.1) using (mesh_id, gt, pred)", GAPS, BEST, CLASSES))
 def e17(spark, sf):
     lp, _, parts, _ = _classes(spark, sf)
     return E.fragment_index(lp, parts[0], "gt")
 
 
-@query("e13_summary_lines", None)
+KINDS = {"over_gt": ("og2", "n", "affected"), "under_pred": ("up2", "n", "affected"), "missing_gt": ("mg2", "n", "area"), "missing_pred": ("mp2", "n", "area")}
+ERRORS = """og2 as (select mesh_id, count(*) as n, sum(affected)::bigint as s from (select mesh_id, gt, sum(intersection) as affected from ov where gt_coverage >= 0.1 group by all having count(*) > 1) group by mesh_id),
+up2 as (select mesh_id, count(*) as n, sum(affected)::bigint as s from (select mesh_id, pred, sum(intersection) as affected from ov where pred_coverage >= 0.1 group by all having count(*) > 1) group by mesh_id),
+mg2 as (select mesh_id, count(*) as n, sum(gt_area)::bigint as s from mg join ga using (mesh_id, gt) group by mesh_id), mp2 as (select mesh_id, count(*) as n, sum(pred_area)::bigint as s from mp join pa using (mesh_id, pred) group by mesh_id),
+er as (select mesh_id, valid, """ + ", ".join(f"coalesce({t}.n, 0) as n_{k}, coalesce({t}.s, 0) as {k}_vertices, case when valid > 0 then coalesce({t}.s, 0) / valid else 0 end as {k}_frac" for k, (t, *_) in KINDS.items()) + " from (select mesh_id, count(*) filter (where gt <> 0 or pred <> 0) as valid from lp group by mesh_id) " + " ".join(f"left join {t} using (mesh_id)" for t, *_ in KINDS.values()) + ")"
+F1 = "case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end"
+FULL = "pm as (select *, case when tp > 0 then s / tp end as sq from (select *, (select count(*) from mt where mt.mesh_id = p.mesh_id) as hits, coalesce((select sum(iou) from mt where mt.mesh_id = p.mesh_id), 0) as s from (" + PANOPTIC.replace(", 6)", ", 15)") + ") p))"
+
+
+def _evaluated(spark, sf):
+    lp, matches, parts, _ = _classes(spark, sf)
+    return E.panoptic(demo.meshes(demo.vertices(spark, sf)), lp, matches), E.error_counts(lp, *parts)
+
+
+def _fixed(value: str, d: int) -> str:
+    """Ties go away from zero."""
+    return f"format('{{:.{d}f}}', round({value}, {d}))"
+
+
+REPORT = " || ".join(
+    f"'{part}'" if k % 2 == 0 else part
+    for k, part in enumerate(
+        (
+            "=== Instance Segmentation Summary ===\nGT instances: ", "n_gt", ", Pred instances: ", "n_pred", "\nTP: ", "tp", ", FP: ", "fp", ", FN: ", "fn",
+            "\nPrecision: ", _fixed("precision", 3), ", Recall: ", _fixed("recall", 3), ", F1: ", _fixed(F1, 3),
+            "\nPQ: ", _fixed("pq", 3), ", RQ: ", _fixed("rq", 3), ", SQ: ", f"coalesce({_fixed('sq', 3)}, 'N/A')",
+            "\n\n=== Error Breakdown ===\nOver-segmentation: ", "n_over_gt", " GT instances split (", _fixed("over_gt_frac * 100", 1),
+            "% vertices)\nUnder-segmentation: ", "n_under_pred", " pred instances merge multiple GT (", _fixed("under_pred_frac * 100", 1),
+            "% vertices)\nMissing GT (false negatives): ", "n_missing_gt", " instances (", _fixed("missing_gt_frac * 100", 1),
+            "% vertices)\nHallucinated pred (false positives): ", "n_missing_pred", " instances (", _fixed("missing_pred_frac * 100", 1), "% vertices)",
+        )
+    )
+)
+
+
+@query("e13_summary_report", sql(f"select mesh_id, {REPORT} as report from pm join er using (mesh_id)", GAPS, BEST, CLASSES, ERRORS, FULL))
 def e13(spark, sf):
-    m = _panoptic(spark, sf)
-    return m.select("mesh_id", E.summary_line(*(F.col(c) for c in ("precision", "recall", "f1", "mean_iou", "pq"))).alias("line"))
+    return E.summary_report(*_evaluated(spark, sf))
+
+
+FIELDS = {"$.general.nGtInstances": "n_gt", "$.general.nPredInstances": "n_pred", "$.detection.TP": "tp", "$.detection.FP": "fp", "$.detection.FN": "fn", "$.errors.nOversegGt": "n_over_gt", "$.errors.nUndersegPred": "n_under_pred", "$.errors.nMissingGt": "n_missing_gt", "$.errors.nMissingPred": "n_missing_pred"}
+SHARES = {"$.detection.precision": "precision", "$.detection.recall": "recall", "$.panoptic.PQ": "pq", "$.panoptic.RQ": "rq", "$.panoptic.SQ": "sq", "$.errors.oversegFrac": "over_gt_frac", "$.errors.undersegFrac": "under_pred_frac", "$.errors.missingGtFrac": "missing_gt_frac", "$.errors.missingPredFrac": "missing_pred_frac", "$.thresholds.iouThresh": "0.5::double"}
 
 
-@query("e14_metric_records", sql("select mesh_id, tp, fp, fn from (" + PANOPTIC + ")", BASE, SURE))
+@query("e14_metric_records", sql("select mesh_id, " + ", ".join(f"{c}::bigint as {p.rsplit('.', 1)[1]}" for p, c in FIELDS.items()) + ", " + ", ".join(f"round({c}, 6) as {p.rsplit('.', 1)[1]}" for p, c in SHARES.items()) + ", 'truth' as described from pm join er using (mesh_id)", GAPS, BEST, CLASSES, ERRORS, FULL))
 def e14(spark, sf):
-    r = E.metric_record(_panoptic(spark, sf))
-    at = lambda k: F.get_json_object("record", f"$.detection.{k}").cast("long").alias(k)
-    return r.select("mesh_id", at("tp"), at("fp"), at("fn"))
+    metrics, errors = _evaluated(spark, sf)
+    described = metrics.select("mesh_id", F.lit("truth").alias("gt_description"), F.lit("model").alias("pred_description"))
+    r = E.metric_record(metrics, errors, described, F.lit(1704067200000))
+    at = lambda p, kind: F.get_json_object("record", p).cast(kind)
+    whole = [at(p, "long").alias(p.rsplit(".", 1)[1]) for p in FIELDS]
+    parts = [at(p, "double").alias(p.rsplit(".", 1)[1]) for p in SHARES]
+    return rounded(r.select("mesh_id", *whole, *parts, F.get_json_object("record", "$.general.gtDescription").alias("described")))
 
 
 @query("e18_evaluate_annotations", None)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from debitage.iterate import shared_folder
+from debitage.operators import annotations as A
 from debitage.operators import scars as S
 from debitage.operators import topology as T
 from debitage.plans import demo
@@ -17,8 +18,7 @@ from debitage.sources import mesh_files as P
 
 def shared(spark, name):
     """A new folder that all executors share."""
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="debitage-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _vf(spark, sf):
@@ -45,7 +45,7 @@ def _byid():
 
 @query("s1_s7_labelled_ply_round_trip", sql("select v.mesh_id, v.vertex_id, round(x, 6) as x, round(y, 6) as y, round(z, 6) + 0 as z, label from v join gt using (mesh_id, vertex_id)"))
 def s1(spark, sf):
-    return rounded(_labelled(spark, sf)["vertices"].withColumn("mesh_id", F.col("mesh_id").cast("long")))
+    return rounded(_labelled(spark, sf)["vertices"].drop("label_id").withColumn("mesh_id", F.col("mesh_id").cast("long")))
 
 
 @query("s1_s8_ply_faces_round_trip", sql("select mesh_id, (row_number() over (partition by mesh_id order by face_id) - 1) as face_id, v0, v1, v2 from f"))
@@ -66,6 +66,21 @@ def s3(spark, sf):
     return P.scan_obj(spark, at)["faces"].withColumn("mesh_id", F.col("mesh_id").cast("long"))
 
 
+@query(
+    "s3_large_obj_scan",
+    "select mesh_id, (w * w)::bigint as n_vertices, (2 * (w - 1) * (w - 1))::bigint as n_faces, 0::bigint as n_errors from (select o_orderkey % 16 as mesh_id, floor(sqrt(count(*))) as w from orders group by 1)",
+)
+def s3_large(spark, sf):
+    """The large meshes written as OBJ files and scanned again."""
+    v = demo.large_vertices(spark, sf)
+    at = shared(spark, "obj")
+    P.write_text_files(P.obj_lines(v, demo.faces(v)), at)
+    got = P.scan_obj(spark, at)
+    n = lambda part, name: got[part].groupBy("mesh_id").agg(F.count("*").alias(name))
+    rows = n("vertices", "n_vertices").join(n("faces", "n_faces"), "mesh_id").join(n("errors", "n_errors"), "mesh_id", "left").fillna(0)
+    return rows.withColumn("mesh_id", F.col("mesh_id").cast("long"))
+
+
 @query("s6_bulk_corpus_split", sql("select m.mesh_id, (select count(*) from v where v.mesh_id = m.mesh_id) as n_vertices, (select count(*) from f where f.mesh_id = m.mesh_id) as n_faces, (select count(*) from gt where gt.mesh_id = m.mesh_id and label <> 0) as n_annotated from m"))
 def s6(spark, sf):
     geometry, _, annotation = P.split_corpus(_labelled(spark, sf))
@@ -83,12 +98,12 @@ def s11(spark, sf):
     return P.ply_lines(sv.select(name.alias("mesh_id"), "vertex_id", *(F.round(a, 6).alias(a) for a in "xyz")), sfaces.select(name.alias("mesh_id"), order.alias("face_id"), F.col("i0").alias("v0"), F.col("i1").alias("v1"), F.col("i2").alias("v2")))
 
 
-@query("s12_parquet_tables", sql("select mesh_id, vertex_id, x, y, z from v where mesh_id < 10"))
+@query("s12_parquet_tables", sql("select mesh_id, vertex_id, x, y, z from v"))
 def s12(spark, sf):
     v = demo.vertices(spark, sf)
     at = shared(spark, "tables")
     v.select("mesh_id", "vertex_id", "x", "y", "z").write.partitionBy("mesh_id").parquet(at)
-    return spark.read.parquet(at).where("mesh_id < 10").withColumn("mesh_id", F.col("mesh_id").cast("long"))
+    return spark.read.parquet(at).withColumn("mesh_id", F.col("mesh_id").cast("long"))
 
 
 @query("s9_s10_csv_sinks", sql("select mesh_id, count(*) as n, round(sum(z), 4) as total from v group by mesh_id"))
@@ -97,3 +112,44 @@ def s9_csv(spark, sf):
     at = shared(spark, "csv")
     v.groupBy("mesh_id").agg(F.count("*").alias("n"), F.round(F.sum("z"), 4).alias("total")).write.option("header", True).option("escape", '"').csv(at)
     return spark.read.option("header", True).schema("mesh_id long, n long, total double").csv(at)
+
+
+# each event is a mesh: its properties are the mesh's metadata, its type and value the annotation's
+
+@query(
+    "s10_metadata_csv",
+    "select event_id as mesh_id, 'k,annotation.tool.name,annotation.tool.note,annotation.value,exportedAt,sourceFile' as header, json_extract_string(props, '$.k') || ',' || event_type || ',\"a, \"\"b\"\"\",' || (event_id % 100) || ',2024-01-01T00:00:00.000Z,m' || event_id || '.ply' as \"row\" from events where props is not null",
+)
+def s10_csv(spark, sf):
+    e = demo.table(spark, sf, "events").where("props is not null").withColumnRenamed("event_id", "mesh_id")
+    notes = F.to_json(F.struct(F.struct(F.col("event_type").alias("name"), F.lit('a, "b"').alias("note")).alias("tool"), (F.col("mesh_id") % 100).alias("value")))
+    files = e.select("mesh_id", F.concat(F.lit("m"), "mesh_id", F.lit(".ply")).alias("source_file"))
+    rows = A.metadata_csv(e.select("mesh_id", F.col("props").alias("json")), e.select("mesh_id", notes.alias("json")), files, F.lit("2024-01-01T00:00:00.000Z"))
+    at = shared(spark, "metadata")
+    rows.write.mode("overwrite").json(at)
+    return spark.read.schema("mesh_id long, header string, row string").json(at)
+
+
+BROKEN = ["ply", "format ascii 1.0", "element vertex 3", "property float x", "property float y", "property float z", "property int labelid", "element face 3", "property list uchar int vertex_indices", "end_header"]
+
+
+@query(
+    "s1_s6_broken_files",
+    "select c_nationkey::bigint as mesh_id, 3::bigint as n_vertices, 3::bigint as n_labelled, 2::bigint as n_faces, (1 + count(*) filter (where c_acctbal < 0))::bigint as n_errors from customer group by 1",
+)
+def s6_broken(spark, sf):
+    """A quad, a pentagon and a short face for each nation, and as many short vertex lines as it has debtors."""
+    c = demo.table(spark, sf, "customer")
+    n = c.groupBy(F.col("c_nationkey").cast("string").alias("mesh_id")).agg(F.count(F.when(F.col("c_acctbal") < 0, 1)).alias("n"))
+    good = [*BROKEN, "0 0 0 7", "1 0 0 7", "0 1 0 8", "4 0 1 2 0", "5 0 1 2 0 1", "3 0 1"]
+    head = n.select("mesh_id", F.posexplode(F.array(*map(F.lit, good))).alias("id", "line"), F.lit(0).alias("section"))
+    # short lines of a second kind of file, one more for each debtor
+    short = n.where("n > 0").select("mesh_id", F.explode(F.sequence(F.lit(1), "n")).alias("id"), F.lit("v 1").alias("line"), F.lit(0).alias("section"))
+    at, obj = shared(spark, "broken"), shared(spark, "short")
+    P.write_text_files(head, at)
+    P.write_text_files(short, obj)
+    got, more = P.scan_ply(spark, at), P.scan_obj(spark, obj)
+    v = got["vertices"].groupBy("mesh_id").agg(F.count("x").alias("n_vertices"), F.count("label_id").alias("n_labelled"))
+    f = got["faces"].groupBy("mesh_id").agg(F.count("*").alias("n_faces"))
+    errors = got["errors"].unionByName(more["errors"]).groupBy("mesh_id").agg(F.count("*").alias("n_errors"))
+    return v.join(f, "mesh_id").join(errors, "mesh_id").withColumn("mesh_id", F.col("mesh_id").cast("long"))

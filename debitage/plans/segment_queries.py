@@ -244,7 +244,7 @@ def g20(spark, sf):
 @query("g21_polyline", None)
 def g21(spark, sf):
     v, f = _vf(spark, sf)
-    way = v.where("vertex_id % 17 = 0 and vertex_id < 60").select(F.col("mesh_id").cast("string").alias("line"), "mesh_id", (F.col("vertex_id") / 17).cast("int").alias("pos"), "vertex_id")
+    way = v.where("vertex_id % 17 = 0").select(F.col("mesh_id").cast("string").alias("line"), "mesh_id", (F.col("vertex_id") / 17).cast("int").alias("pos"), "vertex_id")
     return P.complete_polyline(way, _ring_costs(v, f))
 
 
@@ -368,9 +368,9 @@ def w8(spark, sf):
     return R.available(_plain(spark, sf))
 
 
-@query("s9_metric_report", sql("select mesh_id, (row_number() over (partition by mesh_id order by surface_area desc nulls last, scar_id))::int as rank, vertex_count as vertices, round(round(surface_area * 100, 4), 2) + 0 as area, round(round(max_dimension * 10, 4), 2) + 0 as max_dimension, round(degrees(mean_curvature), 2) + 0 as mean_curvature_deg from (select mesh_id, scar_id, x.vertex_count, max_dimension, surface_area, mean_curvature from (" + _metrics_sql("l8", 9) + ") x join sc using (mesh_id, label) join (select mesh_id, label, avg(angle) as mean_curvature from l8 join va using (mesh_id, vertex_id) where label > 0 group by all) using (mesh_id, label))", MAJ, SCARS))
+@query("s9_metric_report", sql("select mesh_id, (row_number() over (partition by mesh_id order by surface_area desc nulls last, scar_id))::int as rank, vertex_count, round(round(surface_area * 100, 4), 2) + 0 as surface_area_mm2, round(round(max_dimension * 10, 4), 2) + 0 as max_dimension_mm, round(degrees(mean_curvature), 2) + 0 as mean_curvature_deg from (select mesh_id, scar_id, x.vertex_count, max_dimension, surface_area, mean_curvature from (" + _metrics_sql("l8", 9) + ") x join sc using (mesh_id, label) join (select mesh_id, label, avg(angle) as mean_curvature from l8 join va using (mesh_id, vertex_id) where label > 0 group by all) using (mesh_id, label))", MAJ, SCARS))
 def s9(spark, sf):
-    return rounded(R.report(regions(spark, sf), "surface_area", F.lit("cm"), F.lit("mm")).drop("order"), 2)
+    return rounded(R.report(regions(spark, sf), "surface_area", F.lit("cm"), "mm").drop("temporal_order"), 2)
 
 
 PRE = "ps as (select p.mesh_id, case when a.vertex_count <= b.vertex_count then scar_a else scar_b end as younger, case when a.vertex_count <= b.vertex_count then scar_b else scar_a end as older from (select distinct mesh_id, scar_a, scar_b from bd) p join sc a on a.mesh_id = p.mesh_id and a.scar_id = scar_a join sc b on b.mesh_id = p.mesh_id and b.scar_id = scar_b)"
@@ -421,11 +421,11 @@ def d4(spark, sf):
     return O.topological_order(scars, O.preseed_by_size(pairs, scars))
 
 
-@query("d5_oldest_first", sql("select mesh_id, scar_id, representative_vertex as temporal_order from sc where mesh_id % 2 = 0", MAJ, SCARS))
+@query("d5_oldest_first", None)
 def d5(spark, sf):
     scars, pairs = _ordering(spark, sf)
     own = scars.where("mesh_id % 2 = 0").select("mesh_id", "scar_id", F.col("representative_vertex").alias("temporal_order"))
-    return O.oldest_first(O.topological_order(scars, O.preseed_by_size(pairs, scars)), own).where("mesh_id % 2 = 0")
+    return O.oldest_first(O.topological_order(scars, O.preseed_by_size(pairs, scars)), own)
 
 
 @query("d6_fully_ordered", sql("select distinct mesh_id, true as fully_ordered from sc", MAJ, SCARS))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from debitage.iterate import tabled
+
 M = "mesh_id"
 #: Names that files use for the coordinates.
 ALIASES = {"x": ("x", "px", "posx"), "y": ("y", "py", "posy"), "z": ("z", "pz", "posz")}
-LABELS = ("labels", "label", "labelid")
+# The names of a vertex's label, its label id, and an arrow's ends.
+LABEL, LABEL_ID, ENDS = "labels", "labelid", ("start_index", "end_index")
 
 
 def _mesh_id(path: Column) -> Column:
@@ -56,27 +61,37 @@ def _body(lines: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def scan_ply(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """vertices (with label where the file has one), faces, arrows and metadata of ASCII PLY files.
+    """vertices (label and label_id where the file has them), faces, arrows, metadata and errors of ASCII PLY files.
 
-    Quads split as (0,1,3), (1,2,3).  A file of another kind gives no rows.
+    Faces of three corners stay, quads split as (0,1,3), (1,2,3), others give no row.  A
+    file of another kind and a line that lacks numbers give rows of errors (mesh_id,
+    element, index, problem) and stop nothing.
     """
     lines = read_lines(spark, path)
     elements, props = ply_header(lines)
     body = _body(lines, elements)
-    places = {a: props.where((F.col("element") == "vertex") & F.col("property").isin(*names)).groupBy(M).agg(F.min("place").alias(f"p{a}")) for a, names in (ALIASES | {"label": LABELS}).items()}
-    v = body.where("element = 'vertex'")
-    for df in places.values():
-        v = v.join(df, M, "left")
-    at = lambda p: F.when(F.col(p).isNotNull(), F.get("w", F.col(p)))
-    vertices = v.select(M, F.col("index").cast("long").alias("vertex_id"), *(at(f"p{a}").try_cast("double").alias(a) for a in "xyz"), at("plabel").try_cast("double").cast("int").alias("label"))
-    f = body.where("element = 'face'").select(M, "index", F.transform(F.slice("w", 2, 1000), lambda t: t.try_cast("long")).alias("c"), F.col("w")[0].try_cast("int").alias("n"))
-    tri = lambda a, b, c: F.struct(F.col("c")[a].alias("v0"), F.col("c")[b].alias("v1"), F.col("c")[c].alias("v2"))
-    split = F.when(F.col("n") == 4, F.array(tri(0, 1, 3), tri(1, 2, 3))).otherwise(F.array(tri(0, 1, 2)))
-    faces = _number(f.select(M, "index", F.posexplode(split).alias("part", "t")))
-    arrows = body.where("element = 'arrow'").select(M, F.col("index").cast("int").alias("pos"), F.col("w")[0].try_cast("long").alias("start_index"), F.col("w")[1].try_cast("long").alias("end_index"))
+    wanted = [("vertex", a, names) for a, names in ALIASES.items()] + [("vertex", "label", (LABEL,)), ("vertex", "label_id", (LABEL_ID,))] + [("arrow", e, (e,)) for e in ENDS]
+    places = [F.min(F.when((F.col("element") == element) & F.col("property").isin(*names), F.col("place"))).alias(f"p_{a}") for element, a, names in wanted]
+    # one row a file
+    placed = body.join(props.groupBy(M).agg(*places), M, "left")
+    at = lambda p: F.when(F.col(f"p_{p}").isNotNull(), F.get("w", F.col(f"p_{p}")))
+    v = placed.where("element = 'vertex'").select(M, "index", *(at(a).try_cast("double").alias(a) for a in (*"xyz", "label", "label_id")))
+    vertices = v.select(M, F.col("index").cast("long").alias("vertex_id"), *"xyz", *(F.col(c).cast("int").alias(c) for c in ("label", "label_id")))
+    f = body.where("element = 'face'").select(M, "index", F.get("w", F.lit(0)).try_cast("int").alias("n"), F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda t: t.try_cast("long")).alias("c"))
+    f = f.withColumn("whole", F.coalesce((F.size("c") >= F.col("n")) & ~F.exists(F.slice("c", 1, F.greatest("n", F.lit(0))), F.isnull), F.lit(False)))
+    tri = lambda a, b, c: F.struct(F.get("c", F.lit(a)).alias("v0"), F.get("c", F.lit(b)).alias("v1"), F.get("c", F.lit(c)).alias("v2"))
+    split = F.when(F.col("n") == 3, F.array(tri(0, 1, 2))).when(F.col("n") == 4, F.array(tri(0, 1, 3), tri(1, 2, 3)))
+    faces = _number(f.where("whole").select(M, "index", F.posexplode(split).alias("part", "t")))
+    arrows = placed.where("element = 'arrow'").select(M, F.col("index").cast("int").alias("pos"), *(F.coalesce(at(e), F.get("w", F.lit(k))).try_cast("long").alias(e) for k, e in enumerate(ENDS)))
     notes = lines.where(F.col("line").rlike(r"^comment metadata(:json)? \S+"))
     metadata = notes.select(M, F.regexp_extract("line", r"^comment metadata(?::json)? (\S+)", 1).alias("key"), F.nullif(F.regexp_extract("line", r"^comment metadata(?::json)? \S+ (.*)$", 1), F.lit("")).alias("value"), F.col("line").startswith("comment metadata:json").alias("is_json"))
-    return {"vertices": vertices, "faces": faces, "arrows": arrows, "metadata": metadata}
+    ends = lines.groupBy(M).agg(F.max(F.col("line") == "end_header").alias("ends"), F.min(F.struct("line_no", "line"))["line"].alias("first"))
+    problem = lambda df, element, text: df.select(M, F.lit(element).alias("element"), "index", F.lit(text).alias("problem"))
+    errors = problem(ends.where("not ends or trim(first) <> 'ply'").withColumn("index", F.lit(None).cast("long")), "file", "no PLY header")
+    errors = errors.unionByName(problem(v.where("x is null or y is null or z is null"), "vertex", "fewer than three coordinates"))
+    errors = errors.unionByName(problem(f.where("not whole"), "face", "fewer corners than announced"))
+    errors = errors.unionByName(problem(arrows.where("start_index is null or end_index is null").withColumn("index", F.col("pos").cast("long")), "arrow", "fewer than two ends"))
+    return {"vertices": vertices, "faces": faces, "arrows": arrows, "metadata": metadata, "errors": errors}
 
 
 def _number(rows: DataFrame) -> DataFrame:
@@ -85,25 +100,86 @@ def _number(rows: DataFrame) -> DataFrame:
 
 
 def scan_obj(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """vertices and faces of OBJ files; polygons are fans from their first corner."""
+    """vertices, faces and errors of OBJ files; polygons are fans from their first corner.
+
+    A v line of fewer than three numbers keeps its number with null coordinates, an f line
+    with a corner that is no index gives no face; both are rows of errors (mesh_id,
+    element, index, problem).
+    """
     lines = read_lines(spark, path).withColumn("w", F.split(F.trim("line"), r"\s+"))
     order = Window.partitionBy(M).orderBy("line_no")
     v = lines.where("w[0] = 'v'")
-    vertices = v.select(M, (F.row_number().over(order) - 1).cast("long").alias("vertex_id"), *(F.col("w")[k + 1].try_cast("double").alias(a) for k, a in enumerate("xyz")))
-    corner = F.transform(F.slice("w", 2, 100_000), lambda t: F.regexp_extract(t, r"^(\d+)", 1).try_cast("long") - 1)
-    f = lines.where("w[0] = 'f' and size(w) >= 4").select(M, F.col("line_no").alias("index"), corner.alias("c"))
-    fan = F.transform(F.sequence(F.lit(1), F.size("c") - 2), lambda k: F.struct(F.col("c")[0].alias("v0"), F.get("c", k).alias("v1"), F.get("c", k + 1).alias("v2")))
-    return {"vertices": vertices, "faces": _number(f.select(M, "index", F.posexplode(fan).alias("part", "t")))}
+    vertices = v.select(M, (F.row_number().over(order) - 1).cast("long").alias("vertex_id"), *(F.get("w", F.lit(k + 1)).try_cast("double").alias(a) for k, a in enumerate("xyz")))
+    corner = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda t: F.regexp_extract(t, r"^(\d+)", 1).try_cast("long") - 1)
+    f = lines.where("w[0] = 'f'").select(M, F.col("line_no").cast("long").alias("index"), corner.alias("c")).withColumn("whole", (F.size("c") >= 3) & ~F.exists("c", F.isnull))
+    fan = F.transform(F.sequence(F.lit(1), F.size("c") - 2), lambda k: F.struct(F.get("c", F.lit(0)).alias("v0"), F.get("c", k).alias("v1"), F.get("c", k + 1).alias("v2")))
+    errors = vertices.where("x is null or y is null or z is null").select(M, F.lit("vertex").alias("element"), F.col("vertex_id").alias("index"), F.lit("fewer than three coordinates").alias("problem"))
+    errors = errors.unionByName(f.where("not whole").select(M, F.lit("face").alias("element"), "index", F.lit("fewer than three corners").alias("problem")))
+    return {"vertices": vertices, "faces": _number(f.where("whole").select(M, "index", F.posexplode(fan).alias("part", "t"))), "errors": errors}
 
 
 SIZES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
+BINARY = f"{M} string, kind string, id long, x double, y double, z double, label int, label_id int, v0 long, v1 long, v2 long, parse_error string"
 
 
-def parse_binary_ply(content: bytes) -> tuple[list[tuple], list[tuple]]:
-    """(vertices x, y, z, label) and (faces v0, v1, v2) of one binary PLY file of either byte order."""
-    import numpy as np
+def _lists(content: bytes, order: str, n: int, at: int, props: list) -> tuple[np.ndarray, np.ndarray, int]:
+    """(corners of three, their face) of n elements with list properties, and where they end.
 
-    end = content.index(b"end_header\n") + len(b"end_header\n")
+    Elements whose lists are all as long as the first's are one fixed record; else the
+    offsets are walked once and the corners gathered by length.
+    """
+    def record(lengths: list[int]) -> np.dtype:
+        fields, turn = [], iter(lengths)
+        for p, count, t in props:
+            fields += [(p, order + SIZES[t])] if count is None else [(f"n {p}", order + SIZES[count]), (p, order + SIZES[t], (next(turn),))]
+        return np.dtype(fields)
+
+    lists = [(p, count) for p, count, _ in props if count is not None]
+    corner = next((p for p, _ in lists if p in ("vertex_indices", "vertex_index")), None)
+
+    def lengths_at(start: int) -> list[int]:
+        own: list[int] = []
+        for p, count, t in props:
+            if count is not None:
+                own.append(int(np.frombuffer(content, order + SIZES[count], 1, start)[0]))
+                start += np.dtype(SIZES[count]).itemsize + own[-1] * np.dtype(SIZES[t]).itemsize
+            else:
+                start += np.dtype(SIZES[t]).itemsize
+        return own
+
+    def triangles(rows: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = rows[corner].astype(np.int64) if corner else np.zeros((len(rows), 0), np.int64)
+        if c.shape[1] == 3:
+            return c, number
+        if c.shape[1] == 4:
+            return c[:, [0, 1, 3, 1, 2, 3]].reshape(-1, 3), np.repeat(number, 2)
+        return np.zeros((0, 3), np.int64), number[:0]
+
+    if not n:
+        return np.zeros((0, 3), np.int64), np.zeros(0, np.int64), at
+    first = record(lengths_at(at))
+    if len(content) - at >= n * first.itemsize:
+        rows = np.frombuffer(content, first, n, at)
+        if all((rows[f"n {p}"] == rows[f"n {p}"][0]).all() for p, _ in lists):
+            return *triangles(rows, np.arange(n)), at + n * first.itemsize
+    groups: dict[tuple, list] = {}
+    for i in range(n):
+        own = lengths_at(at)
+        groups.setdefault(tuple(own), []).append((i, at))
+        at += record(own).itemsize
+    parts = []
+    for own, where in groups.items():
+        kind = record(list(own))
+        raw = np.frombuffer(content, np.uint8)[np.array([a for _, a in where])[:, None] + np.arange(kind.itemsize)]
+        parts.append(triangles(np.ascontiguousarray(raw).view(kind)[:, 0], np.array([i for i, _ in where])))
+    corners, number = np.concatenate([c for c, _ in parts]), np.concatenate([i for _, i in parts])
+    by = np.argsort(number, kind="stable")
+    return corners[by], number[by], at
+
+
+def parse_binary_ply(content: bytes) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(vertices x, y, z, label, label_id) and (faces v0, v1, v2) of one binary PLY file of either byte order."""
+    end = re.search(rb"end_header\r?\n", content).end()
     head = content[:end].decode("ascii", "replace").splitlines()
     order = "<" if any("binary_little_endian" in h for h in head) else ">"
     elements: list[tuple[str, int, list]] = []
@@ -113,58 +189,48 @@ def parse_binary_ply(content: bytes) -> tuple[list[tuple], list[tuple]]:
             elements.append((w[1], int(w[2]), []))
         elif w[:1] == ["property"] and elements:
             elements[-1][2].append((w[-1], w[2], w[3]) if w[1] == "list" else (w[-1], None, w[1]))
-    at, vertices, faces = end, [], []
+    at, vertices, faces = end, pd.DataFrame(columns=["x", "y", "z", "label", "label_id"]), np.zeros((0, 3), np.int64)
     for name, n, props in elements:
-        if all(c is None for _, c, _ in props):
-            kind = np.dtype([(p, order + SIZES[t]) for p, _, t in props])
-            rows = np.frombuffer(content, kind, n, at)
-            at += n * kind.itemsize
-            if name == "vertex":
-                names = kind.names or ()
-                pick = [next((p for p in ALIASES[a] if p in names), None) for a in "xyz"]
-                label = next((p for p in LABELS if p in names), None)
-                for r in rows:
-                    vertices.append((*(float(r[p]) if p else None for p in pick), int(r[label]) if label else None))
+        if any(count is not None for _, count, _ in props):
+            corners, _, at = _lists(content, order, n, at, props)
+            if name == "face":
+                faces = corners
             continue
-        for _ in range(n):
-            for p, count, t in props:
-                if count is None:
-                    at += np.dtype(SIZES[t]).itemsize
-                    continue
-                k = int(np.frombuffer(content, order + SIZES[count], 1, at)[0])
-                at += np.dtype(SIZES[count]).itemsize
-                c = np.frombuffer(content, order + SIZES[t], k, at)
-                at += k * np.dtype(SIZES[t]).itemsize
-                if name == "face" and p in ("vertex_indices", "vertex_index"):
-                    c = c.tolist()
-                    faces += [(c[0], c[1], c[3]), (c[1], c[2], c[3])] if k == 4 else [tuple(c[:3])]
-    return vertices, faces
+        kind = np.dtype([(p, order + SIZES[t]) for p, _, t in props])
+        rows = np.frombuffer(content, kind, n, at)
+        at += n * kind.itemsize
+        if name == "vertex":
+            names = kind.names or ()
+            pick = {a: next((p for p in own if p in names), None) for a, own in (ALIASES | {"label": (LABEL,), "label_id": (LABEL_ID,)}).items()}
+            vertices = pd.DataFrame({a: rows[p].astype("f8" if a in "xyz" else "i8") if p else None for a, p in pick.items()}, index=range(n))
+    return vertices, pd.DataFrame(faces, columns=["v0", "v1", "v2"])
 
 
 def scan_binary_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, faces) of binary PLY files, with parse_error on a row of its own for a bad file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(_mesh_id(F.col("path")).alias(M), "content")
-
-    def rows(kind: str):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for mesh, content in zip(f[M], f["content"], strict=True):
-                    try:
-                        v, t = parse_binary_ply(bytes(content))
-                        got, names = (v, ["x", "y", "z", "label"]) if kind == "v" else (t, ["v0", "v1", "v2"])
-                        out = pd.DataFrame(got, columns=names)
-                        out.insert(0, "id", range(len(out)))
-                        out["parse_error"] = None
-                    except Exception as e:  # noqa: BLE001  a bad file is a row, not a failed batch
-                        out = pd.DataFrame({"parse_error": [f"{type(e).__name__}: {e}"[:200]]})
-                    out.insert(0, M, mesh)
-                    yield out.reindex(columns=[M, "id", *(["x", "y", "z", "label"] if kind == "v" else ["v0", "v1", "v2"]), "parse_error"])
+    """(vertices, faces) of binary PLY files, with parse_error on a row of its own for a bad file.
 
-        return run
-
-    vertices = files.mapInPandas(rows("v"), f"{M} string, id long, x double, y double, z double, label int, parse_error string").withColumnRenamed("id", "vertex_id")
-    faces = files.mapInPandas(rows("f"), f"{M} string, id long, v0 long, v1 long, v2 long, parse_error string").withColumnRenamed("id", "face_id")
-    return vertices, faces
+    Each file is parsed once: its rows are stored in the checkpoint folder and both tables read them there.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(_mesh_id(F.col("path")).alias(M), "content")
+    names = [c.split()[0] for c in BINARY.split(", ")]
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for mesh, content in zip(f[M], f["content"], strict=True):
+                try:
+                    parts = list(zip(("vertex", "face"), parse_binary_ply(bytes(content)), strict=True))
+                except Exception as e:  # noqa: BLE001  a bad file is a row, not a failed batch
+                    parts = [(k, pd.DataFrame({"parse_error": [f"{type(e).__name__}: {e}"[:200]]})) for k in ("vertex", "face")]
+                for kind, out in parts:
+                    if "parse_error" not in out:
+                        out["id"] = range(len(out))
+                    out[M], out["kind"] = mesh, kind
+                    out = out.reindex(columns=names)
+                    yield out.astype(dict.fromkeys((M, "kind", "parse_error"), object))
+
+    stored = tabled(files.mapInPandas(rows, BINARY))
+    own = lambda kind, *columns: stored.where(F.col("kind") == kind).select(M, F.col("id").alias(f"{kind}_id"), *columns, "parse_error")
+    return own("vertex", *"xyz", "label", "label_id"), own("face", "v0", "v1", "v2")
 
 
 def ply_lines(vertices: DataFrame, faces: DataFrame, arrows: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
@@ -182,7 +248,7 @@ def ply_lines(vertices: DataFrame, faces: DataFrame, arrows: DataFrame | None =
     head = ["ply", "format ascii 1.0"]
     mid: list = [F.concat(F.lit("element vertex "), "nv"), *(F.lit(f"property double {p}") for p in props), *((F.lit("property int labels"),) if has_label else ()), F.concat(F.lit("element face "), "nf"), F.lit("property list uchar int vertex_indices")]
     if arrows is not None:
-        mid += [F.concat(F.lit("element arrow "), "na"), F.lit("property int start"), F.lit("property int end")]
+        mid += [F.concat(F.lit("element arrow "), "na"), *(F.lit(f"property int {e}") for e in ENDS)]
     mid.append(F.lit("end_header"))
     parts = [
         sizes.select(M, F.lit(0).alias("section"), F.posexplode(F.array(*map(F.lit, head))).alias("id", "line")),
@@ -214,6 +280,9 @@ def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def split_corpus(parsed: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(geometry, metadata, annotation): counts of each mesh, its metadata, and its vertices of a non-zero label."""
+    """(geometry, metadata, annotation): counts of each mesh, its metadata, and its vertices of a non-zero label.
+
+    Files with errors have what could be read; ``parsed["errors"]`` tells them.
+    """
     geometry = parsed["vertices"].groupBy(M).agg(F.count("*").alias("n_vertices")).join(parsed["faces"].groupBy(M).agg(F.count("*").alias("n_faces")), M, "left").fillna(0)
     return geometry, parsed["metadata"], parsed["vertices"].where("label is not null and label <> 0").select(M, "vertex_id")

@@ -38,12 +38,26 @@ def test_ascii_ply(spark, tmp_path):
     (tmp_path / "a.ply").write_text(PLY)
     (tmp_path / "b.ply").write_text("no mesh\n")
     got = P.scan_ply(spark, str(tmp_path))
-    assert sorted(tuple(r) for r in got["vertices"].collect()) == [("a", 0, 0.0, 0.0, 0.0, 1), ("a", 1, 1.0, 0.0, 0.0, 0), ("a", 2, 1.0, 1.0, 0.0, 0), ("a", 3, 0.0, 1.0, 0.0, 2)]
+    assert sorted(tuple(r) for r in got["vertices"].collect()) == [("a", 0, 0.0, 0.0, 0.0, 1, None), ("a", 1, 1.0, 0.0, 0.0, 0, None), ("a", 2, 1.0, 1.0, 0.0, 0, None), ("a", 3, 0.0, 1.0, 0.0, 2, None)]
     assert sorted(tuple(r) for r in got["faces"].collect()) == [("a", 0, 0, 1, 3), ("a", 1, 1, 2, 3)]
     assert [tuple(r) for r in got["arrows"].collect()] == [("a", 0, 0, 3)]
     assert {(r["key"], r["value"], r["is_json"]) for r in got["metadata"].collect()} == {("author", "John Doe", False), ("settings", '{"scale":1.5}', True), ("enabled", None, False)}
 
 
+def test_broken_ply_lines_are_told_and_stop_nothing(spark, tmp_path):
+    head = "ply\nformat ascii 1.0\nelement vertex 4\nproperty float x\nproperty float y\nproperty float z\nproperty int labelid\nelement face 4\nproperty list uchar int vertex_index\nend_header\n"
+    (tmp_path / "a.ply").write_text(head + "0 0 0 5\n1 0\n1 1 0 6\n0 1 x 7\n5 0 1 2 3 0\n3 0 1\n4 0 1 2 3\nx 1 2 3\n")
+    (tmp_path / "b.ply").write_text("no mesh\n")
+    got = P.scan_ply(spark, str(tmp_path))
+    assert sorted((r["vertex_id"], r["label"], r["label_id"]) for r in got["vertices"].collect()) == [(0, None, 5), (1, None, None), (2, None, 6), (3, None, 7)]
+    assert sorted(tuple(r) for r in got["faces"].collect()) == [("a", 0, 0, 1, 3), ("a", 1, 1, 2, 3)]  # the pentagon gives no row
+    told = sorted((r["mesh_id"], r["element"], r["index"]) for r in got["errors"].collect())
+    assert told == [("a", "face", 1), ("a", "face", 3), ("a", "vertex", 1), ("a", "vertex", 3), ("b", "file", None)]
+    (tmp_path / "c.obj").write_text("v 1 2\nv 0 0 0\nf 1 2\nf 1 2 a\nf\nv\n")
+    got = P.scan_obj(spark, str(tmp_path / "c.obj"))
+    assert got["vertices"].count() == 3 and got["faces"].count() == 0 and got["errors"].count() == 5
+
+
 def test_obj_fan_and_crlf(spark, tmp_path):
     (tmp_path / "q.obj").write_text("# c\r\nv 0 0 0\r\nv 1 0 0\r\nv 1 1 0\r\nv 0 1 0\r\nvt 0 0\r\nf 1/1/1 2//1 3 4\r\n")
     got = P.scan_obj(spark, str(tmp_path))
@@ -63,6 +77,16 @@ def test_binary_ply_both_orders_and_a_bad_file(spark, tmp_path):
     assert v.where("parse_error is not null").select("mesh_id").collect()[0][0] == "bad"
 
 
+def test_binary_ply_lists_of_mixed_lengths(spark, tmp_path):
+    head = "ply\nformat binary_little_endian 1.0\nelement vertex 5\nproperty float px\nproperty float py\nproperty float pz\nproperty int labelid\nelement face 5\nproperty uchar kind\nproperty list uchar int vertex_index\nelement extra 1\nproperty double q\nend_header\n"
+    faces = [(0, 1, 2), (0, 1, 2, 3), (0, 1, 2, 3, 4), (2, 3, 4), (0, 1)]
+    body = b"".join(struct.pack("<fffi", i, 0, 0, i) for i in range(5)) + b"".join(struct.pack(f"<BB{len(f)}i", 9, len(f), *f) for f in faces) + struct.pack("<d", 1)
+    (tmp_path / "m.ply").write_bytes(head.encode() + body)
+    v, f = P.scan_binary_ply(spark, str(tmp_path))
+    assert sorted((r["vertex_id"], r["label"], r["label_id"]) for r in v.collect()) == [(i, None, i) for i in range(5)]
+    assert sorted((r["face_id"], r["v0"], r["v1"], r["v2"]) for r in f.collect()) == [(0, 0, 1, 2), (1, 0, 1, 3), (2, 1, 2, 3), (3, 2, 3, 4)]
+
+
 EVENTS = [(1, 1, "draw", 5), (1, 2, "draw", 6), (2, 3, "draw", 5), (1, 4, "erase", 5), (2, 5, "restore", None), (2, 6, "draw", 9)]
 
 
