@@ -1,16 +1,19 @@
 """Approximate nearest neighbours with score-aware (anisotropic) quantisation.
 
-The smallest Euclidean distance is the largest inner product of (q, 1) with
-(x, -|x|^2 / 2).  Vectors are cut into subspaces of ``DIMS`` components and each is
-coded in four bits.  Codebooks are trained on a bounded sample under the anisotropic
-loss, which weighs the part of the residual along the vector more than the part
-across it, because that is what changes large inner products.  A search scans the
-four-bit codes through a table of 16 partial scores for each query and subspace, and
-each task reranks its best candidates exactly, in double precision.
+The smallest Euclidean distance is the largest inner product q.x - |x|^2 / 2.  A vector
+is its length, kept as it is, times a direction, which is cut into subspaces of ``DIMS``
+components, each coded in four bits.  Codebooks are trained on a bounded sample under
+the anisotropic loss, which weighs the part of the residual along the vector more than
+the part across it, because that is what changes large inner products.  A search scans
+the four-bit codes through a table of 16 partial scores for each query and subspace.
+Each row keeps the size of its residual, so a scan knows how far a score can be off:
+after the best candidates are reranked exactly, in double precision, every row whose
+score could still beat the k-th of them is reranked too, however many they are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from debitage.iterate import materialise
+from debitage.iterate import materialise, shared_folder
 
 CENTRES = 16
 DIMS = 2
@@ -27,11 +30,14 @@ SAMPLE = 20_000
 ROUNDS = 12
 #: Weight of the parallel part of the residual over the orthogonal one.
 PARALLEL = 4.0
-#: Queries that one scan carries, and code rows that one step scores.
-QUERY_BLOCK = 1024
+#: Queries that one scan carries (their vectors pass through the driver), and those and the code rows that one step scores.
+QUERIES = 16_384
+QUERY_BLOCK = 256
 ROWS = 8192
-#: Candidates that a task reranks for each of the k results asked for.
-RERANK = 12
+#: Candidates that are reranked first for each of the k results asked for.
+RERANK = 4
+#: Deviations by which a row's score may be off: a residual of length r changes q.x by about |q| r / sqrt(dimensions).
+DEVIATIONS = 3.0
 
 
 @dataclass
@@ -98,11 +104,6 @@ def train(x: np.ndarray, seed: int = 5) -> Codebook:
     return book
 
 
-def _augmented(x: np.ndarray, scale: float) -> np.ndarray:
-    """Rows whose inner product with (q, 1 / scale) is q.x - |x|^2 / 2."""
-    return np.concatenate([x, -scale * (x.astype(np.float64) ** 2).sum(1, keepdims=True) / 2], axis=1).astype(np.float32)
-
-
 def _pack(codes: np.ndarray) -> np.ndarray:
     """Two four-bit codes a byte."""
     if codes.shape[1] % 2:
@@ -110,80 +111,102 @@ def _pack(codes: np.ndarray) -> np.ndarray:
     return codes[:, ::2] | codes[:, 1::2] << 4
 
 
-def _best(score: np.ndarray, most: int) -> np.ndarray:
-    """Indices of the largest scores, of equal ones the first; ``most`` at most."""
-    if len(score) <= most:
-        return np.arange(len(score))
-    cut = np.partition(score, len(score) - most)[len(score) - most]
-    above = np.flatnonzero(score > cut)
-    return np.concatenate([above, np.flatnonzero(score == cut)[: most - len(above)]])
-
-
 def clean(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: the rows that take part, of the dimension that most of them have."""
-    v = F.col("embedding").cast("array<float>")
+    """vec_id, v: the rows that take part."""
+    kind = vectors.schema["embedding"].dataType
+    v = F.col("embedding").cast("array<double>" if "double" in kind.simpleString() else "array<float>")
     sound = ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)
-    rows = vectors.select(F.col("vec_id").cast("long"), v.alias("v")).where("vec_id is not null and v is not null").where(sound)
-    most = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return rows.where(F.size("v") == most["d"]) if most else rows
+    return vectors.select(F.col("vec_id").cast("long"), v.alias("v")).where("vec_id is not null and v is not null").where(sound)
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def build(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Codebook | None, float]:
-    """The index of clean rows: vec_id, v, codes; its codebook; the scale of the norm's component."""
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, lengths)."""
+    x = x.astype(np.float64)
+    top = np.abs(x).max(axis=1, keepdims=True)
+    length = top[:, 0] * np.sqrt(((x / top) ** 2).sum(axis=1))
+    return (x / length[:, None]).astype(np.float32), length
+
+
+def indexed(book: Codebook, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(packed codes, size of the residual) of the directions of x."""
+    unit, _ = directions(x)
+    codes = book.encode(unit)
+    gap = book.parts(unit) - book.centres[np.arange(len(book.centres)), codes]
+    return _pack(codes), np.sqrt((gap.astype(np.float64) ** 2).sum((1, 2)))
+
+
+def build(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Codebook]:
+    """The index of clean rows of one dimension (vec_id, v, codes, off) and its codebook."""
     n = rows.count()
-    if not n:
-        return rows.withColumn("codes", F.lit(None).cast("binary")), None, 1.0
     chance = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40)) / float(1 << 40)
     some = rows.where(chance < sample / n) if n > sample else rows
-    x = np.array([r["v"] for r in some.select("v").limit(2 * sample).collect()], np.float32)  # bounded by `sample`
-    spread = float(np.std((x.astype(np.float64) ** 2).sum(1) / 2))
-    scale = float(np.std(x)) / spread if spread > 1e-9 else 1.0
-    book = train(_augmented(x, scale))
+    # bounded by `sample`; many equal rows may all be drawn or none, so a few others always are
+    x = [r["v"] for r in some.select("v").limit(2 * sample).collect()] or [r["v"] for r in rows.select("v").limit(CENTRES).collect()]
+    book = train(directions(np.array(x))[0])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, -1)
-                packed = _pack(book.encode(_augmented(v, scale)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p.tobytes() for p in packed], pa.binary())], ["vec_id", "v", "codes"])
+                packed, off = indexed(book, _matrix(b.column(1), b.num_rows))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(off.astype(np.float32))], ["vec_id", "v", "codes", "off"])
 
-    return rows.mapInArrow(encode, "vec_id long, v array<float>, codes binary"), book, scale
+    kind = rows.schema["v"].dataType.simpleString()
+    return rows.mapInArrow(encode, f"vec_id long, v {kind}, codes binary, off float"), book
 
 
-def _scan(queries: list[tuple[int, list[float]]], book: Codebook, scale: float, k: int):
-    ids = np.array([q[0] for q in queries], np.int64)
-    q = np.array([q[1] for q in queries], np.float32)
-    full = np.concatenate([q, np.full((len(q), 1), 1 / scale, np.float32)], axis=1)
-    parts = book.parts(full)
-    # queries x subspaces x CENTRES: what each code adds to a query's score
-    luts = np.einsum("qmd,mcd->qmc", parts, book.centres).astype(np.float32)
+def search(book: Codebook, ids: np.ndarray, q: np.ndarray, vec: np.ndarray, x: np.ndarray, packed: np.ndarray, off: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, distances, vec_ids): the k nearest of the rows x (in order of vec_id) for each query."""
     m = len(book.centres)
-
+    codes = np.empty((len(vec), 2 * packed.shape[1]), np.uint8)
+    codes[:, ::2], codes[:, 1::2] = packed & 15, packed >> 4
+    flat = (codes[:, :m].astype(np.int32) + CENTRES * np.arange(m, dtype=np.int32)).T.copy()
+    x64, q64 = x.astype(np.float64), q.astype(np.float64)
+    length = directions(x)[1]
+    q_unit, q_length = directions(q)
+    slack = 2 * DEVIATIONS * length * off / np.sqrt(x.shape[1])
+    for at in range(0, len(ids), QUERY_BLOCK):
+        # queries x subspaces x CENTRES: what each code adds to a query's score
+        luts = np.einsum("qmd,mcd->qmc", book.parts(q_unit[at : at + QUERY_BLOCK]), book.centres).astype(np.float32)
+        for i in range(at, min(at + QUERY_BLOCK, len(ids))):
+            lut = luts[i - at].ravel()
+            score = lut[flat[0]]
+            for s in range(1, m):
+                score += lut[flat[s]]
+            far = length * (length - 2 * q_length[i] * score)  # the squared distance, but for |q|^2
+            far[vec == ids[i]] = np.inf
+            most = min(len(vec), k * RERANK)
+            near = np.argpartition(far, most - 1)[:most]
+            exact = lambda rows: np.sqrt(((x64[rows] - q64[i]) ** 2).sum(1))  # noqa: B023, E731
+            d = exact(near)
+            live = np.isfinite(far[near])
+            kth = np.partition(d[live], k - 1)[k - 1] if live.sum() >= k else np.inf
+            could = far - q_length[i] * slack <= kth**2 - q_length[i] ** 2
+            could[near] = False
+            more = np.flatnonzero(could & np.isfinite(far))
+            near, d = np.concatenate([near[live], more]), np.concatenate([d[live], exact(more)])
+            order = np.lexsort((vec[near], d))[:k]
+            yield i, d[order], vec[near[order]]
+
+
+def _scan(ids: np.ndarray, q: np.ndarray, book: Codebook, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple] = {}
         for own in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             order = np.argsort(own.column(0).to_numpy(), kind="stable")
             vec = own.column(0).to_numpy()[order]
-            x = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(vec), -1)[order]
+            x = _matrix(own.column(1), len(vec))[order]
             packed = np.frombuffer(b"".join(own.column(2).to_pylist()), np.uint8).reshape(len(vec), -1)[order]
-            codes = np.empty((len(vec), 2 * packed.shape[1]), np.uint8)
-            codes[:, ::2], codes[:, 1::2] = packed & 15, packed >> 4
-            flat = (codes[:, :m].astype(np.int32) + CENTRES * np.arange(m, dtype=np.int32)).T.copy()
-            x64 = x.astype(np.float64)
-            for i in range(len(ids)):
-                lut = luts[i].ravel()
-                score = lut[flat[0]]
-                for s in range(1, m):
-                    score += lut[flat[s]]
-                score[vec == ids[i]] = -np.inf
-                near = _best(score, k * RERANK)
-                exact = np.sqrt(((x64[near] - q[i].astype(np.float64)) ** 2).sum(1))
-                live = vec[near] != ids[i]
-                d, v = exact[live], vec[near][live]
+            off = own.column(3).to_numpy()[order].astype(np.float64)
+            for i, d, v in search(book, ids, q, vec, x, packed, off, k):
                 if i in best:
                     d, v = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], v])
-                order = np.lexsort((v, d))[:k]
-                best[i] = d[order], v[order]
+                    near = np.lexsort((v, d))[:k]
+                    d, v = d[near], v[near]
+                best[i] = d, v
         rows = [(ids[i], v, d) for i, (ds, vs) in best.items() for d, v in zip(ds, vs, strict=True)]
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(np.array(cols[0], np.int64)), pa.array(np.array(cols[1], np.int64)), pa.array(np.array(cols[2], np.float64))], ["query_id", "vec_id", "score"])
@@ -195,26 +218,34 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` its k nearest others.
 
     Score is the Euclidean distance of the original vectors in double precision; equal
-    ones go to the smaller vec_id.  Null, zero and non-finite vectors, those of another
-    length than most, and null vec_ids take no part; rows of a query's own vec_id are
-    not its candidates; of repeated rows each is a candidate, a repeated query is asked
-    once.  An empty table gives an empty result; further columns are ignored.
+    ones go to the smaller vec_id.  Null, empty, zero and non-finite vectors and null
+    vec_ids take no part; only vectors of the query's own length have a distance to it;
+    rows of a query's own vec_id are not its candidates; of repeated rows each is a
+    candidate, a repeated query is asked once (with its least vector).  An empty table
+    gives an empty result; further columns are ignored.
+
+    Queries go in groups of about ``QUERIES``, one scan of the codes each; what a scan
+    finds is stored before the next group's vectors pass through the driver.
     """
+    spark = vectors.sparkSession
     rows = clean(vectors)
-    index, book, scale = build(rows)
     schema = "query_id long, vec_id long, score double"
-    found = None
-    if book is not None:
-        index = materialise(index)
-        asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-        blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-        for b in range(blocks):
-            own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-            queries = [(r["vec_id"], r["v"]) for r in own.collect()]  # a block, about QUERY_BLOCK rows
-            part = index.mapInArrow(_scan(queries, book, scale, k), schema) if queries else None
-            if part is not None:
-                found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
+    at, parts = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex}", 0
+    # one row for each length of vector
+    for size in sorted(r["d"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where("n > 1").collect()):
+        own = rows.where(F.size("v") == size)
+        asked = own.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+        n = asked.count()
+        if not n:
+            continue
+        index, book = build(own)
+        groups = -(-n // QUERIES)
+        index = materialise(index) if groups > 1 else index
+        for g in range(groups):
+            some = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).collect()  # about QUERIES rows
+            ids, q = np.array([r["vec_id"] for r in some], np.int64), np.array([r["v"] for r in some])
+            index.mapInArrow(_scan(ids, q.astype(np.float32) if "float" in own.schema["v"].dataType.simpleString() else q, book, k), schema).write.parquet(f"{at}/part-{parts}")
+            parts += 1
+    found = spark.read.schema(schema).parquet(*(f"{at}/part-{p}" for p in range(parts))) if parts else spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
