@@ -4,24 +4,27 @@ Pages become small trees of block elements: runs of siblings with one signature
 into a repeat node, so a page of a thousand paragraphs is a tree of a dozen nodes.
 Pages of a host are laid in chains of hash order (salted, so a host with many pages has
 many) and each is aligned with its successor by simple tree matching, so the work
-is one alignment a page however large the host is.  A matched text node that is equal
-on both sides votes for template, one that differs for content; pairs of pages that
-agree everywhere are copies and don't vote.  Votes are summed by host and node, and a
-node that nearly always stays constant becomes the host's template.  What varies is a
-slot: slots inside navigation, headers, footers, sidebars, forms, notices, adverts and
-comments are no article, and where a page marks its article the slots outside aren't
-either.
+is one alignment a page however large the host is.  A text block that a matched node
+has on both sides votes for template; pairs of pages that share most of their text are
+copies and don't vote.  What varies is a slot.  Slots are told apart by what they hold
+over all pages of the host: those of linked words are lists of links, and the smallest
+container that has nearly all unlinked words of the host is where its articles stand.
+Kinds of elements and class names are priors only: they leave words out of that sum,
+and below the container they mark navigation, adverts, forms and comments; on the
+container itself or above it they mean nothing.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,162 +32,286 @@ from pyspark.sql import functions as F
 from debitage.iterate import materialise
 from debitage.llm.wordhash import slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
-RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp")}
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A tag to its end; quotes hide a ">", but one that isn't closed soon doesn't.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+)>")
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 # Elements by their part in a page.
+RAW = frozenset("script style noscript template textarea title iframe svg xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-NO_ARTICLE = frozenset("nav header footer aside form button select option menu head script style noscript template textarea title iframe svg xmp dialog fieldset label legend".split())
+CONTAINER = frozenset("html body main article section div center form table tbody tr td".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+CLOSES = {"p": frozenset("p"), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
+LEAVES = frozenset("p li dt dd td th option".split())
+# The priors. Class, id and role values count as whole names, or as two words of which the other is one too or a word of PARTS.
+NO_ARTICLE = frozenset("nav header footer aside form button select option menu head dialog fieldset label legend".split())
 ARTICLE = frozenset("article main".split())
 NO_ARTICLE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup share sharing social related recommended widget pagination pager login toolbar complementary contentinfo search".split()
 )
-CLOSES = {"p": frozenset("p"), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
+PARTS = frozenset("area bar block body box button buttons container content form global inner item items left link links list main menu nav page panel right section site text thread top widget wrap wrapper".split())
 
-#: Votes and the share of them for template that make a node template.
-VOTES = 5
+#: Votes for template that make a block template, as pairs of pages and as a share of them.
+VOTES = 2
 CONSTANT = 0.95
-#: Levels of a tree, and children of a node beyond which equal signatures fold even if apart.
-DEEP = 60
-WIDE = 32
-#: Pages of one chain, about; templates that are broadcast at most, else they are joined.
+#: Two pages that share so much of their text are copies of one article.
+COPY = 0.5
+#: Share of the host's unlinked words that its container has, and of a marked article to be it; share of linked words in a list of links.
+MASS, MARKED, LINKED = 0.7, 0.5, 0.6
+#: Part of a host's pages that a slot must be on to count for its wrapper: a page of n slots has at most n / RARE for its host.
+RARE = 0.02
+#: Levels of a tree; children of a node beyond which equal signatures fold even if apart and are matched by signature.
+DEEP, WIDE = 60, 16
+#: Pages of one chain, about; wrappers that are broadcast at most, else they are joined.
 CHAIN = 500
 BROADCAST = 100_000
 
 
-@dataclass
 class Node:
-    tag: str
-    names: tuple[str, ...] = ()
-    children: list[Node] = field(default_factory=list)
-    text: list[str] = field(default_factory=list)
-    block: int = -1
+    """An open element: its path, the depths of the last elements above or at it that the priors exclude, whether it is in a marked article."""
 
-    def signature(self) -> str:
-        return self.tag + "".join("." + n for n in self.names)
+    __slots__ = ("tag", "signature", "path", "depth", "bad", "soft", "marked", "children")
 
+    def __init__(self, tag: str, names: list[str], parent: Node | None):
+        self.tag, self.children = tag, []
+        self.signature = ".".join([tag, *[n for n in names if not any(c.isdigit() for c in n)][:2]]).replace("/", "_")
+        if parent is None:
+            self.path, self.depth, self.bad, self.soft, self.marked = "", 0, 0, 0, ""
+            return
+        self.depth = min(parent.depth + 1, DEEP)
+        self.path = (f"{parent.path}/{self.signature}" if parent.path else self.signature) if self.depth < DEEP else parent.path
+        self.bad, self.soft, self.marked = parent.bad, parent.soft, parent.marked
+        if tag == "header" and self.marked:
+            self.soft = self.depth  # the article's own: its headings stay
+        elif tag in NO_ARTICLE or (tag not in ("html", "body", *ARTICLE) and any(map(excluded, names))):
+            self.bad = self.depth
+        if tag in ARTICLE:
+            self.marked = self.path
 
-def _names(attributes: str) -> tuple[str, ...]:
-    return tuple(w for m in NAMES.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()) if w)
 
+def excluded(name: str) -> bool:
+    """Whether a class, id or role name tells that an element is no article."""
+    if name in NO_ARTICLE_NAMES:
+        return True
+    parts = re.split(r"[-_]+", name)
+    return len(parts) == 2 and any(a in NO_ARTICLE_NAMES and (b in PARTS or b in NO_ARTICLE_NAMES) for a, b in (parts, parts[::-1]))
 
-def _no_article(node: Node) -> bool:
-    return node.tag in NO_ARTICLE or any(n in NO_ARTICLE_NAMES for n in node.names)
 
+def _names(attributes: str) -> list[str]:
+    return [w for m in NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()] if "=" in attributes else []
 
-@dataclass
+
+@dataclass(slots=True)
 class Block:
+    """A run of text: the path of its element, the depths that priors exclude, its words and how many are linked."""
+
     text: str
-    article: bool
-    outside: bool
     path: str
+    tag: str
+    depth: int
+    bad: int
+    soft: int
+    marked: str
+    words: int
+    links: int
 
 
 def blocks(page: str | None) -> tuple[list[Block], Node]:
-    """The text blocks of a page in order, and its tree; text leaves carry their block's number."""
+    """The text blocks of a page in order, and its tree; each step costs what it reads, whatever the page."""
     page = page or ""
-    root = Node("#root")
-    stack, found, run = [root], [], []
+    root = Node("#root", [], None)
+    stack, found, run, linked = [root], [], [], []
+    open_at: dict[str, list[int]] = {}
+    link = False
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(run)).split())
-        run.clear()
-        if text:
-            leaf = Node("#text", block=len(found))
-            stack[: DEEP][-1].children.append(leaf)
-            path = "/".join(n.signature() for n in stack[1:DEEP])
-            # a heading of the article may stand in a header of its own
-            found.append(Block(text, any(n.tag in ARTICLE for n in stack), any(map(_no_article, stack)), path))
-
-    at = 0
-    while at < len(page):
-        m = TOKEN.match(page, at)
-        at = m.end()
-        if m[4] is not None:
-            run.append(m[4])
+        nonlocal run, linked
+        if not run:
+            return
+        raw = "".join(run)
+        words = (html.unescape(raw) if "&" in raw else raw).split()
+        if words:
+            node = stack[-1]
+            inside = len("".join(linked).split()) if linked else 0
+            node.children.append(len(found))
+            found.append(Block(" ".join(words), node.path, node.tag, node.depth, node.bad, node.soft, node.marked, len(words), min(inside, len(words))))
+        run, linked = [], []
+
+    def pop(k: int) -> None:
+        while len(stack) > k:
+            open_at[stack.pop().tag].pop()
+
+    at, end = 0, len(page)
+    while at < end:
+        lt = page.find("<", at)
+        if lt != at:
+            text = page[at:] if lt < 0 else page[at:lt]
+            run.append(text)
+            if link:
+                linked.append(text)
+            if lt < 0:
+                break
+        at = lt
+        nxt = page[at + 1 : at + 2]
+        if nxt in ("!", "?"):
+            close = page.find("-->", at + 4) if page.startswith("<!--", at) else page.find(">", at)
+            at = end if close < 0 else close + (3 if page.startswith("<!--", at) else 1)
             continue
-        if m[2] is None:
-            if m[0] == "<":
-                run.append("&lt;")
+        if not (nxt.isascii() and nxt.isalpha() or nxt == "/"):
+            run.append("&lt;")
+            at += 1
             continue
-        tag = m[2].lower()
+        m = TAG.match(page, at) or LOOSE.match(page, at)
+        if m is None:
+            if nxt == "/" or page.find(">", at) >= 0:  # no tag: an end tag without a name, say
+                close = page.find(">", at)
+                at = end if close < 0 else close + 1
+                continue
+            break  # a tag that never ends
+        at, tag = m.end(), m[2].lower()
         if m[1]:
             if tag in BLOCK:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                where = open_at.get(tag)
+                if where:
+                    pop(where[-1])
+                link = False
+            elif tag == "a":
+                link = False
             continue
-        if tag in RAW_END:
-            end = RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
+        if tag in RAW:
+            close = _raw_end(page, tag, at)
+            at = end if close < 0 else close
             run.append(" ")
             continue
         if tag == "br":
             run.append(" ")
+            linked.append(" ")
             continue
         if tag not in BLOCK:
+            if tag == "a":
+                link = True
             continue
         flush()
+        closes = CLOSES.get(tag, ("p",) if tag not in VOID else ())
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in CLOSES.get(tag, ("p",) if tag not in VOID else ()):
-                del stack[k:]
+            if stack[k].tag in closes:
+                pop(k)
                 break
-            if stack[k].tag not in ("p", "li", "dt", "dd", "td", "th", "option"):
+            if stack[k].tag not in LEAVES:
                 break
         if tag not in VOID:
-            node = Node(tag, _names(m[3]))
-            if len(stack) < DEEP:  # what lies deeper keeps its kind, but hangs from the node at that depth
+            node = Node(tag, _names(m[3]), stack[-1])
+            if node.depth < DEEP:  # what lies deeper keeps its kind, but hangs from the node at that depth
                 stack[-1].children.append(node)
+            else:
+                node.children = stack[-1].children
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(node)
     flush()
     return found, root
 
 
-Folded = tuple  # (signature, text hash, children)
-
-
-def fold(node: Node, texts: list[Block]) -> Folded:
-    """The tree as (signature, hash of a text leaf, children), runs of one signature folded."""
-    kids = [fold(c, texts) for c in node.children]
-    out: list[Folded] = []
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """The place behind the end tag of a raw element, -1 without one."""
+    m = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I).search(page, at)
+    return m.end() if m else -1
+
+
+Folded = list  # [signature, hashes of its own text blocks, children]
+
+
+class _Folding:
+    """A node while its siblings fold into it; children are found by signature once two have met."""
+
+    __slots__ = ("signature", "hashes", "children", "index")
+
+    def __init__(self, signature: str, hashes: list[int], children: list[_Folding]):
+        self.signature, self.hashes, self.children, self.index = signature, hashes, children, None
+
+    def take(self, other: _Folding) -> None:
+        waiting = [(self, other)]
+        while waiting:
+            into, own = waiting.pop()
+            into.hashes.extend(own.hashes)
+            if not own.children:
+                continue
+            if into.index is None:
+                kids, into.children, into.index = into.children, [], {}
+                waiting += into._gather(kids)
+            waiting += into._gather(own.children)
+
+    def _gather(self, kids: list[_Folding]) -> list:
+        """Take in children; returned are the pairs that fold."""
+        met = []
+        for k in kids:
+            had = self.index.get(k.signature)
+            if had is None:
+                self.index[k.signature] = k
+                self.children.append(k)
+            else:
+                met.append((had, k))
+        return met
+
+
+def fold(root: Node, texts: list[Block]) -> Folded:
+    """The tree as [signature, hashes of text blocks, children], runs of one signature folded."""
+    own = [zlib.crc32(t.text.encode()) for t in texts]
+    done: dict[int, _Folding] = {}
+    order, waiting = [], [root]
+    while waiting:  # no recursion: parents before children, folded backwards
+        node = waiting.pop()
+        order.append(node)
+        waiting += [c for c in node.children if isinstance(c, Node)]
+    for node in reversed(order):
+        out: list[_Folding] = []
+        for c in node.children:
+            if isinstance(c, int):
+                continue
+            k = done.pop(id(c))
+            if out and k.signature == out[-1].signature:
+                out[-1].take(k)
+            else:
+                out.append(k)
+        folding = _Folding(node.signature, [own[c] for c in node.children if isinstance(c, int)], [] if len(out) > WIDE else out)
+        if len(out) > WIDE:
+            folding.take(_Folding("", [], out))
+        done[id(node)] = folding
+
+    def plain(f: _Folding) -> Folded:
+        return [f.signature, f.hashes, [plain(k) for k in f.children]]
+
+    return plain(done[id(root)])
+
+
+def _by_signature(kids: list[Folded]) -> list[Folded]:
+    """Children of one node with those of equal signature folded to one, with all their text and the children of the first."""
+    out: dict[str, Folded] = {}
     for k in kids:
-        if out and k[0] == out[-1][0] and k[0] != "#text":
-            last = out[-1]
-            out[-1] = (last[0], zlib.crc32(f"{last[1]}:{k[1]}".encode()), _merge(last[2], k[2]))
-        else:
-            out.append(k)
-    if len(out) > WIDE:
-        out = list(_merge((), tuple(out)))
-    own = zlib.crc32(texts[node.block].text.encode()) if node.block >= 0 else 0
-    return (node.signature(), own, tuple(out))
-
-
-def _merge(a: tuple, b: tuple) -> tuple:
-    """Children of two folded siblings: those of one signature fold again."""
-    out = list(a)
-    for k in b:
-        at = next((i for i, x in enumerate(out) if x[0] == k[0]), None)
-        if at is None:
-            out.append(k)
-        else:
-            out[at] = (k[0], zlib.crc32(f"{out[at][1]}:{k[1]}".encode()), _merge(out[at][2], k[2]))
-    return tuple(out)
+        had = out.get(k[0])
+        out[k[0]] = k if had is None else [k[0], had[1] + k[1], had[2] or k[2]]
+    return list(out.values())
 
 
-def align(a: Folded, b: Folded) -> tuple[int, list[tuple[str, int, int]]]:
-    """Simple tree matching: the size of the largest top-down ordered match, and the matched leaves.
+def align(a: Folded, b: Folded) -> tuple[int, list[tuple[str, list, list]]]:
+    """Simple tree matching: the size of the largest top-down ordered match, and the matched nodes with text.
 
-    A leaf is (path, hash in a, hash in b).
+    A node is (path, hashes in a, hashes in b).  Children of a node of over WIDE of them
+    are matched by signature instead: they are folded to one each.
     """
     if a[0] != b[0]:
         return 0, []
-    if not a[2] or not b[2]:
-        return 1, [("", a[1], b[1])] if not a[2] and not b[2] else []
+    mine = [("", a[1], b[1])] if a[1] or b[1] else []
     n, m = len(a[2]), len(b[2])
+    if not n or not m:
+        return 1, mine
+    if max(n, m) > WIDE:
+        left, right = (_by_signature(x[2]) for x in (a, b))
+        by = {y[0]: y for y in right}
+        chosen = [(x, align(x, by[x[0]])) for x in left if x[0] in by]
+        return 1 + sum(r[0] for _, r in chosen), mine + [(f"{x[0]}/{p}" if p else x[0], s, t) for x, r in chosen for p, s, t in r[1]]
     pair = [[align(x, y) for y in b[2]] for x in a[2]]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
@@ -193,78 +320,151 @@ def align(a: Folded, b: Folded) -> tuple[int, list[tuple[str, int, int]]]:
     leaves, i, j = [], n, m
     while i and j:
         if pair[i - 1][j - 1][0] and best[i][j] == best[i - 1][j - 1] + pair[i - 1][j - 1][0]:
-            leaves += [(f"{a[2][i - 1][0]}/{p}", x, y) for p, x, y in pair[i - 1][j - 1][1]]
+            leaves += [(f"{a[2][i - 1][0]}/{p}" if p else a[2][i - 1][0], x, y) for p, x, y in pair[i - 1][j - 1][1]]
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return 1 + best[n][m], leaves
-
-
-def leaf_path(path: str) -> str:
-    """A block's path as align() names it."""
-    return f"{path}/#text/" if path else "#text/"
+    return 1 + best[n][m], mine + leaves
+
+
+def slots(found: list[Block]) -> dict[str, list]:
+    """path -> [words, linked words, words that no prior excludes, marked article]."""
+    out: dict[str, list] = {}
+    for b in found:
+        s = out.setdefault(b.path, [0, 0, 0, b.marked])
+        s[0] += b.words
+        s[1] += b.links
+        s[2] += 0 if b.bad else b.words - b.links
+    return out
+
+
+def choose(held: dict[str, list]) -> tuple[str, set[str]]:
+    """The container's path and the paths of lists of links, from what slots hold."""
+    dense = {p for p, s in held.items() if s[1] >= LINKED * s[0] > 0}
+    mass = {p: s[2] for p, s in held.items() if s[2] and p not in dense}
+    mass = mass or {p: s[0] - s[1] for p, s in held.items() if p not in dense} or {p: s[0] for p, s in held.items()}
+    total = sum(mass.values())
+    of: dict[str, int] = {}
+    marked: dict[str, int] = {}
+    for p, w in mass.items():
+        parts = p.split("/")
+        for k in range(len(parts) + 1):
+            if k == 0 or parts[k - 1].split(".")[0] in CONTAINER:
+                of["/".join(parts[:k])] = of.get("/".join(parts[:k]), 0) + w
+        if held[p][3]:
+            marked[held[p][3]] = marked.get(held[p][3], 0) + w
+    best = max(marked, key=lambda p: (marked[p], p.count("/")), default=None)
+    if best is not None and marked[best] >= MARKED * total:
+        return best, dense
+    heavy = [p for p, w in of.items() if w >= MASS * total]
+    return max(heavy, key=lambda p: (p.count("/") if p else -1), default=""), dense
+
+
+def under(path: str, container: str) -> bool:
+    return not container or path == container or path.startswith(container + "/")
+
+
+def main_text(page: str | None, wrapper: tuple[str, set, set] | None = None) -> str:
+    """The article of a page: the blocks in the container that are neither template nor links nor excluded by a prior below it.
+
+    wrapper: the host's container, lists of links and template blocks (path, crc32 of the text); a
+    page without that container, and one without a wrapper, goes by what it holds itself.
+    """
+    found, _ = blocks(page)
+    if not found:
+        return ""
+
+    def kept(container: str, dense: set[str], template: set) -> list[Block]:
+        depth = container.count("/") + 1 if container else 0
+        out, last = [], -1
+        beside = container.rpartition("/")[0]
+        for k, b in enumerate(found):
+            if b.bad > depth or b.path in dense and b.tag not in HEADING or (b.path, zlib.crc32(b.text.encode())) in template:
+                continue
+            if b.soft > depth and b.tag not in HEADING:
+                continue
+            if under(b.path, container):
+                out.append((k, b))
+                last = k if last < 0 else last
+        # the headline may stand before the container, in the same element
+        head = [b for b in found[: max(last, 0)] if b.tag in ("h1", "h2") and container and b.path.rpartition("/")[0] == beside and not b.bad]
+        return head + [b for _, b in out]
+
+    out: list[Block] = []
+    if wrapper is not None:
+        out = kept(*wrapper)
+        if not any(b.tag not in HEADING for b in out):
+            out = []
+    if not out:
+        out = kept(*choose(slots(found)), wrapper[2] if wrapper else set())
+    return "\n\n".join(b.text for b in out)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import json
-
+    kind = pa.list_(pa.struct([("path", pa.string()), ("words", pa.int64()), ("links", pa.int64()), ("plain", pa.int64()), ("marked", pa.string())]))
     for b in slices(batches, "html"):
-        trees = []
+        trees, held = [], []
         for t in b.column(2):
             found, root = blocks(t.as_py())
             trees.append(json.dumps(fold(root, found), separators=(",", ":"), ensure_ascii=False))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(trees, pa.string())], ["host", "place", "tree"])
+            held.append([{"path": p, "words": s[0], "links": s[1], "plain": s[2], "marked": s[3]} for p, s in slots(found).items()])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(trees, pa.string()), pa.array(held, kind)], ["host", "place", "tree", "slots"])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import json
-
+    """host, path, text of blocks that both pages of a pair have; text null once for each matched path."""
     for b in batches:
-        host, path, text, same = [], [], [], []
+        host, path, text = [], [], []
         for h, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if x == y:
                 continue  # copies tell nothing
-            for p, s, t in align(json.loads(x), json.loads(y))[1]:
-                if not p.endswith("#text/"):
-                    continue
-                host.append(h)
-                path.append(p)
-                text.append(s)
-                same.append(int(s == t))
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(text, pa.int64()), pa.array(same, pa.int64())], ["host", "path", "text", "same"])
+            matched = [(p, set(s), set(t)) for p, s, t in align(json.loads(x), json.loads(y))[1]]
+            shared = sum(len(s & t) for _, s, t in matched)
+            if shared > 2 and shared > COPY * sum(min(len(s), len(t)) for _, s, t in matched):
+                # nearly all blocks agree; a page of few slots is judged by the rest of its host
+                continue
+            for p, s, t in matched:
+                for v in (None, *(s & t)):
+                    host.append(h)
+                    path.append(p)
+                    text.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(text, pa.int64())], ["host", "path", "text"])
 
 
 def host_of(url) -> object:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
 
 
+def _chosen(g: pd.DataFrame) -> pd.DataFrame:
+    held = {p: [w, n, k, m] for p, w, n, k, m in zip(g["path"], g["words"], g["links"], g["plain"], g["marked"], strict=True)}
+    container, dense = choose(held)
+    return pd.DataFrame({"host": [g["host"].iloc[0]], "container": [container], "dense": [sorted(dense)]})
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """host, path, text (crc32) of the text nodes that are template on their host."""
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("place"), F.col("html").cast("string"))
-    trees = rows.mapInArrow(_trees, "host string, place long, tree string")
+    """host, container, dense (paths), template (path and crc32 of texts): the wrapper of each host of two pages or more."""
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("place"), F.col("html").cast("string")).where("host <> ''")
+    trees = materialise(rows.mapInArrow(_trees, "host string, place long, tree string, slots array<struct<path:string,words:long,links:long,plain:long,marked:string>>"))
+    sizes = materialise(trees.groupBy("host").agg(F.count("*").alias("pages")).where("pages > 1"))
     # hosts of more than one chain: of N pages at most N / CHAIN hosts, handed to every task while they are few
-    big = rows.groupBy("host").agg((F.floor(F.count("*") / CHAIN) + 1).alias("chains")).where("chains > 1")
+    big = sizes.select("host", (F.floor(F.col("pages") / CHAIN) + 1).alias("chains")).where("chains > 1")
     few = big.limit(BROADCAST + 1).collect()
     if len(few) <= BROADCAST:
         big = F.broadcast(pages.sparkSession.createDataFrame(few, "host string, chains long"))
     dealt = trees.join(big, "host", "left").withColumn("chain", F.pmod(F.xxhash64("place"), F.coalesce("chains", F.lit(1))))
-    chain = Window.partitionBy("host", "chain").orderBy("place")
+    chain = Window.partitionBy("host", "chain").orderBy("place", "tree")
     pairs = dealt.select("host", "tree", F.lead("tree").over(chain).alias("next")).where("next is not null")
-    votes = pairs.mapInArrow(_votes, "host string, path string, text long, same long")
-    nodes = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("same").alias("constant"), F.max_by("text", "same").alias("text"))
-    return nodes.where((F.col("n") >= VOTES) & (F.col("constant") >= CONSTANT * F.col("n"))).select("host", "path", "text")
-
-
-def main_text(page: str | None, template: set[tuple[str, int]] = frozenset()) -> str:
-    """The article of a page: its blocks that aren't template and stand in no part of another kind."""
-    found, _ = blocks(page)
-    if any(b.article and not b.outside for b in found):
-        kept = [b for b in found if b.article and not b.outside]
-    else:
-        kept = [b for b in found if not b.outside]
-    return "\n\n".join(b.text for b in kept if not template or (leaf_path(b.path), zlib.crc32(b.text.encode())) not in template)
+    votes = pairs.mapInArrow(_votes, "host string, path string, text long").groupBy("host", "path", "text").agg(F.count("*").alias("n"))
+    votes = materialise(votes.where((F.col("n") >= VOTES) | F.col("text").isNull()))
+    asked = votes.where("text is null").select("host", "path", F.col("n").alias("asked"))
+    constant = votes.where("text is not null").join(asked, ["host", "path"]).where(F.col("n") >= CONSTANT * F.col("asked"))
+    template = constant.groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("template"))
+    held = trees.select("host", F.explode("slots").alias("s")).select("host", "s.*").groupBy("host", "path").agg(F.count("*").alias("on"), *(F.sum(c).alias(c) for c in ("words", "links", "plain")), F.max("marked").alias("marked"))
+    held = held.join(sizes, "host").where(F.col("on") >= RARE * F.col("pages"))
+    chosen = held.groupBy("host").applyInPandas(_chosen, "host string, container string, dense array<string>")
+    return chosen.join(template, "host", "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -272,29 +472,28 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space inside a block is one space, blocks
     are joined by two newlines.  Null, empty and text-free pages have an empty text;
-    pages without a host share the host of no name; repeated rows and null page_ids
-    keep their rows; an empty table gives an empty one; further columns are ignored.
+    pages without a host and those that are alone on theirs go by what they hold
+    themselves; repeated rows and null page_ids keep their rows; an empty table gives an
+    empty one; further columns are ignored.
     """
-    template = materialise(induce(pages))
+    wrappers = materialise(induce(pages))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("host"))
-    few = template.limit(BROADCAST + 1).collect()
+    few = wrappers.limit(BROADCAST + 1).collect()
+
+    def wrapper_of(r) -> tuple[str, set, set]:
+        return r["container"], set(r["dense"]), {(x["path"], x["text"]) for x in r["template"] or ()}
+
+    by_host = {}
     if len(few) <= BROADCAST:
-        by_host: dict[str, set] = {}
-        for r in few:
-            by_host.setdefault(r["host"], set()).add((r["path"], r["text"]))
-        lists = None
-    else:  # too many to hand to every task: each host's own travel with its pages
-        by_host, lists = {}, template.groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("nodes"))
-        rows = rows.join(lists, "host", "left").select("page_id", "url", "html", "host", "nodes")
+        by_host = {r["host"]: wrapper_of(r) for r in few}
+    else:  # too many to hand to every task: each host's own travels with its pages
+        rows = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "host", F.when(F.col("container").isNotNull(), F.struct("container", "dense", "template")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
             hosts = b.column(3).to_pylist()
             own = b.column(4).to_pylist() if b.num_columns > 4 else [None] * b.num_rows
-            texts = [
-                main_text(t.as_py(), {(x["path"], x["text"]) for x in nodes} if nodes else by_host.get(h, frozenset()))
-                for t, h, nodes in zip(b.column(2), hosts, own, strict=True)
-            ]
+            texts = [main_text(t.as_py(), wrapper_of(w) if w else by_host.get(h)) for t, h, w in zip(b.column(2), hosts, own, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
