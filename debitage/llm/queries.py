@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from debitage.iterate import shared_folder
 from debitage.llm import ann, binout, decontam, licenses, packing, sharding, simhash, toxicity, urls, wrapper
 
 
@@ -16,52 +15,57 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="debitage-")
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest others of every hundredth vector; see ann.nearest for odd rows."""
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document; see toxicity.toxicity for odd rows."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page; see wrapper.extract for odd rows."""
     return wrapper.extract(_table(spark, sf_dir, "pages"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place; see packing.pack for odd rows."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and the benchmark items inside it; see decontam.contained_items for odd rows."""
     return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, labels and a score of every document; see licenses.scan for odd rows."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; see sharding.shard for odd rows."""
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence with its slot and record; see binout.ordered for odd rows."""
     return binout.ordered(_table(spark, sf_dir, "documents"), tokenizer_path(), shared_folder(spark))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see simhash.near_duplicates for odd rows."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page; see urls.judge for odd rows."""
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
@@ -78,4 +82,4 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_benchmark_decontamination": decontam.oracle(), "op6_license_scan": licenses.oracle()}
