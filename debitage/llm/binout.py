@@ -130,7 +130,9 @@ def write_shards(dealt: DataFrame, folder: str) -> DataFrame:
     """Write ordered() as files shard-NNNNNN.bin in a folder that all executors share.
 
     Returns shard, path, records, bytes, crc32.  A task writes under a name of its own
-    and renames at the end, so a task that runs twice leaves one whole file.
+    and renames at the end, so a task that runs twice leaves one whole file.  Records are
+    written as they come (no ids are looked at: null and repeated doc_ids are all one);
+    an empty table writes nothing; further columns are ignored.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

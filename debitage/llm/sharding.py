@@ -1,7 +1,8 @@
 """Sharding by sampled splitters, in DataFrame functions only; the law is ``bytes``.
 
-A record's key is (hash of its text, hash of its doc_id), so equal texts are
-neighbours, and a group of copies too large for its range is still divisible.  Keys
+A record's key is (hash of its text, hash of its doc_id, number of its stored row), so
+equal texts are neighbours, and a group of copies too large for its range is still
+divisible, be its doc_ids equal or null.  Keys
 are sampled with a chance in proportion to their size; quantiles of the sample are
 the boundaries of fine ranges.  The ranges' exact bytes are summed, and shards are
 cut where the running sum passes a shard's share.  A range that a cut falls into is
@@ -26,7 +27,7 @@ OFF = 0.002
 #: Records of a shard that one window numbers, about.
 RUN = 50_000
 
-Key = tuple[int, int]
+Key = tuple[int, int, int]
 
 
 def _index(bounds: list[Key], low: int = 0) -> Column:
@@ -34,8 +35,8 @@ def _index(bounds: list[Key], low: int = 0) -> Column:
     if not bounds:
         return F.lit(low)
     mid = len(bounds) // 2
-    h, d = bounds[mid]
-    below = (F.col("h") < h) | ((F.col("h") == h) & (F.col("d") < d))
+    h, d, n = bounds[mid]
+    below = (F.col("h") < h) | ((F.col("h") == h) & ((F.col("d") < d) | ((F.col("d") == d) & (F.col("n") < n))))
     return F.when(below, _index(bounds[:mid], low)).otherwise(_index(bounds[mid + 1 :], low + mid + 1))
 
 
@@ -43,11 +44,11 @@ def _splitters(rows: DataFrame, weight: dict[int, int], parts: int) -> list[Key]
     """Quantile boundaries inside the ranges (column r) of the given bytes: a size-weighted sample of parts * PER_RANGE keys of each."""
     asked = F.create_map(*(F.lit(x) for r, b in weight.items() for x in (r, parts * PER_RANGE / max(b, 1))))[F.col("r")]
     # a fixed hash of the record decides, so a task that runs again draws the same sample
-    chance = F.pmod(F.xxhash64("h", "d", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    some = rows.where(F.col("r").isin(list(weight))).where(chance < F.col("size") * asked).select("r", "h", "d").distinct()
+    chance = F.pmod(F.xxhash64("h", "d", "n", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    some = rows.where(F.col("r").isin(list(weight))).where(chance < F.col("size") * asked).select("r", "h", "d", "n")
     keys: dict[int, list[Key]] = {}
     for x in some.collect():  # a bounded sample
-        keys.setdefault(x["r"], []).append((x["h"], x["d"]))
+        keys.setdefault(x["r"], []).append((x["h"], x["d"], x["n"]))
     return [own[len(own) * k // parts] for own in map(sorted, keys.values()) for k in range(1, parts)]
 
 
@@ -81,7 +82,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     Size is the UTF-8 bytes of the text (null: none) plus one.  Shards differ in bytes
     by the last subdivision's ranges at most; slots count a shard's records from 0
     without gaps.  Equal texts share a shard unless a cut falls inside their group.
-    Null and repeated doc_ids keep their rows; with fewer records than shards some
+    Null and repeated doc_ids keep their rows, and rows equal throughout are dealt like
+    others; with fewer records than shards some
     stay empty; an empty table gives an empty one; further columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
@@ -91,15 +93,16 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
         F.xxhash64("doc_id").alias("d"),
+        F.monotonically_increasing_id().alias("n"),
     )
-    rows = materialise(rows)
+    rows = materialise(rows)  # from here on each row keeps its number
     placed = rows.withColumn("shard", _index(_cuts(rows, shards)).cast("int"))
     salts = max(1, rows.count() // (RUN * shards))
-    placed = placed.withColumn("salt", F.pmod(F.xxhash64("d", "h"), F.lit(salts)))
-    counts = placed.groupBy("shard", "salt").agg(F.count("*").alias("n"))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("d", "h", "n"), F.lit(salts)))
+    counts = placed.groupBy("shard", "salt").agg(F.count("*").alias("many"))
     before = Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("shard", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("h", "d", "doc_id", "size")) - 1
+    bases = counts.select("shard", "salt", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("h", "d", "n")) - 1
     return placed.withColumn("own", own).join(bases, ["shard", "salt"]).select(
         "doc_id",
         "size",

@@ -143,13 +143,16 @@ def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 
     component_id is the smallest doc_id that links reach, itself included.  Null and
     wordless texts have fingerprint zero and link like others; rows of equal doc_id
-    stay rows; a null doc_id keeps its row and takes its fingerprint's component.
-    An empty table gives an empty table; further columns are ignored.
+    stay rows; a null doc_id keeps its row, links like others and takes its component
+    (null where no row of it has a doc_id).  An empty table gives an empty table; further columns are ignored.
     """
     rows = materialise(fingerprints(docs))
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(links(distinct.where("rep is not null"), hot_bucket))
-    of = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # fingerprints are the nodes, so those that only null doc_ids have link too
+    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = connected_components(links(distinct.select("fp", F.col("fp").alias("rep")), hot_bucket)).withColumnRenamed("node", "fp")
+    of = distinct.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = of.join(named, "component").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
