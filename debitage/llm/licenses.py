@@ -7,7 +7,7 @@ diagonal, one with words put in or left out on neighbouring ones.  Hits are coun
 by diagonal, neighbouring diagonals are merged, and a span is verified by its words
 (the join compares them, not the hashes alone) and by the share of the template that
 it covers.  The templates are a fixed table of a few kilobytes, so the join is a
-broadcast one and nothing but hits is shuffled.
+broadcast one and nothing but hits and one short row a text is shuffled.
 """
 
 from __future__ import annotations
@@ -40,12 +40,16 @@ NOTICES = {
 COVERED = 0.8
 #: Diagonals at most so far apart are one span: so many words put in or left out between two of its parts.
 DRIFT = 3
-BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """t, base, label, pairs, q, h, u, v: the word pairs (u, v) of each phrase and notice, at most 64 each."""
-    rows = []
+    """t, base, label, pairs, q, h, u, v: the word pairs (u, v) of each phrase and notice, at most 64 each.
+
+    One more row, of two empty words, is what every text meets once.
+    """
+    rows = [(-1, False, "", 1, 0, "", "")]
     for t, (text, label) in enumerate([*PHRASES.items(), *NOTICES.items()]):
         words = text.split()
         rows += [(t, t < len(PHRASES), label, len(words) - 1, q, u, v) for q, (u, v) in enumerate(zip(words, words[1:], strict=False))]
@@ -53,8 +57,8 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text: lower-cased runs of ASCII letters, digits and non-ASCII characters."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), "")
+    """The words of a text as they stand: runs of ASCII letters, digits and non-ASCII characters."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAK), "")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -62,46 +66,50 @@ def scan(docs: DataFrame) -> DataFrame:
 
     n_base counts the places of base phrases; labels also has those of notices covered
     to at least ``COVERED``; score is the best share of a template covered, 1 with any
-    base phrase.  Null and wordless texts have no words, no labels (empty strings) and
-    score 0; repeated rows and null doc_ids keep their rows; an empty table gives an
-    empty one; further columns are ignored.
+    base phrase.  Only A-Z are lower-cased.  Null and wordless texts have no words, no
+    labels (empty strings) and score 0; repeated rows and null doc_ids keep their rows;
+    an empty table gives an empty one; further columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text", F.isnull("doc_id")))
-    words = rows.select("row_key", words_of(F.col("text")).alias("w")).where(F.size("w") > 1)
-    pairs = words.select("row_key", F.posexplode(F.arrays_zip(F.col("w").alias("u"), F.slice("w", 2, F.size("w")).alias("v"))).alias("p", "x"))
-    pairs = pairs.select("row_key", "p", F.xxhash64("x.u", "x.v").alias("h"), F.col("x.u").alias("pu"), F.col("x.v").alias("pv"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text").cast("string")).alias("w"))
+    # the documents are read once: each row's own facts travel as one more pair, of no words
+    none = F.array(F.struct(F.lit("").alias("u"), F.lit("").alias("v")))
+    zipped = F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("u"), F.slice("w", 2, F.size("w")).alias("v"))
+    pairs = rows.select("row_key", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(none, zipped)).alias("p", "x"))
+    # lower() also folds some letters into ASCII ones; the words are compared below by A-Z alone
+    pairs = pairs.withColumn("h", F.xxhash64(F.lower("x.u"), F.lower("x.v")))
     # a fixed table of some 100 short rows
-    hits = pairs.join(F.broadcast(templates(docs.sparkSession)), "h").where("pu = u and pv = v")
-    diagonals = hits.groupBy("row_key", "t", "base", "label", "pairs", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.expr("bit_or(shiftleft(1L, q))").alias("covered"))
-
-    place = diagonals.where("base and bit_count(covered) = pairs")
-    base = place.groupBy("row_key").agg(
-        F.count("*").alias("n_base"),
-        F.min("diagonal").cast("long").alias("first_word"),
-        F.max("diagonal").cast("long").alias("last_word"),
-        F.array_sort(F.collect_set("label")).alias("base_set"),
-    )
-    apart = F.col("diagonal") - F.lag("diagonal").over(Window.partitionBy("row_key", "t").orderBy("diagonal")) > DRIFT
-    opens = F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(Window.partitionBy("row_key", "t").orderBy("diagonal"))
-    spans = diagonals.where("not base").withColumn("span", opens).groupBy("row_key", "t", "label", "pairs", "span").agg(F.expr("bit_count(bit_or(covered))").alias("n"))
-    noted = spans.groupBy("row_key").agg(
-        F.max(F.col("n") / F.col("pairs")).alias("best"),
-        F.collect_set(F.when(F.col("n") >= COVERED * F.col("pairs"), F.col("label"))).alias("own_set"),
+    hits = pairs.join(F.broadcast(templates(docs.sparkSession)), "h")
+    ascii_lower = lambda c: F.translate(c, UPPER, UPPER.lower())
+    hits = hits.where((ascii_lower(F.col("x.u")) == F.col("u")) & (ascii_lower(F.col("x.v")) == F.col("v")))
+    hits = hits.select("row_key", "t", "base", "label", "pairs", "q", (F.col("p") - 1 - F.col("q")).alias("diagonal"), *(F.when(F.col("t") < 0, F.col(c)).alias(c) for c in ("doc_id", "n_words")))
+    # one shuffle, by row, serves all that follows
+    diagonals = hits.repartition("row_key").groupBy("row_key", "t", "base", "label", "pairs", "diagonal").agg(F.expr("bit_or(shiftleft(1L, q))").alias("covered"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
+    by = Window.partitionBy("row_key", "t").orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT
+    # a base phrase stands on one diagonal, a notice on neighbouring ones
+    opens = F.when(F.col("base"), F.col("diagonal")).otherwise(F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(by))
+    spans = diagonals.withColumn("span", opens).groupBy("row_key", "t", "base", "label", "pairs", "span").agg(F.expr("bit_count(bit_or(covered))").alias("n"), F.min("diagonal").cast("long").alias("at"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
+    whole = F.col("base") & (F.col("n") == F.col("pairs"))
+    noted = ~F.col("base") & (F.col("t") >= 0)
+    found = spans.groupBy("row_key").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("n_words").alias("n_words"),
+        F.count(F.when(whole, 1)).alias("n_base"),
+        F.min(F.when(whole, F.col("at"))).alias("first_word"),
+        F.max(F.when(whole, F.col("at"))).alias("last_word"),
+        F.collect_set(F.when(whole, F.col("label"))).alias("base_set"),
+        F.collect_set(F.when(noted & (F.col("n") >= COVERED * F.col("pairs")), F.col("label"))).alias("own_set"),
+        F.max(F.when(noted, F.col("n") / F.col("pairs"))).alias("best"),
     )
-    found = base.join(noted, "row_key", "full")
-    none = F.array().cast("array<string>")
-    base_set, own_set = F.coalesce("base_set", none), F.coalesce("own_set", none)
-    counted = rows.select("doc_id", "row_key", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
-    return counted.join(found, "row_key", "left").select(
+    return found.select(
         "doc_id",
         "n_words",
-        F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
+        "n_base",
         "first_word",
         "last_word",
-        F.array_join(base_set, ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base_set, own_set)), ",").alias("labels"),
-        F.when(F.size(base_set) > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort("base_set"), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base_set", "own_set")), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
 
 
@@ -118,7 +126,7 @@ def oracle() -> str:
 
     return rf"""
     with tpl(t, base, label, pairs, q, u, v) as (values {values()}),
-    w as (select doc_id, row_number() over () as rk, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+    w as (select doc_id, row_number() over () as rk, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
     p as (select rk, unnest(range(1, len(w))) as i, w from w where len(w) > 1),
     pairs as (select rk, i - 1 as p, w[i] as u, w[i + 1] as v from p),
     hit as (select distinct rk, t, base, label, pairs, p - q as d, q from pairs join tpl using (u, v)),
