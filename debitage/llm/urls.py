@@ -2,7 +2,9 @@
 
 All in DataFrame functions: the lexical features are column expressions, suffix
 statistics are a grouped table joined back, and the trees are pyspark.ml's.  The
-trees learn from URLs that the rules decide, at most ``SAMPLE`` of them.
+trees learn from URLs that the rules decide, at most ``SAMPLE`` of them.  Hosts are
+dealt to two halves by a hash: the statistics count the labels of one half, the trees
+learn on the other, so no URL's label is among its own features.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from debitage.iterate import materialise
+
 SAMPLE = 20_000
 TREES = 12
 DEPTH = 4
@@ -120,11 +124,18 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample: in
     if not n or y in (0, n):
         return ruled.select("page_id", "host", "path", "rule", F.coalesce("decided", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
     prior = y / n
-    stats = lambda by, name: known.groupBy(by).agg(((F.sum("label") + 10 * prior) / (F.count("*") + 10)).alias(name))
+    half = F.pmod(F.xxhash64("host", F.lit("half")), F.lit(2))
+    counted = known.where(half == 0)
+    stats = lambda by, name: counted.groupBy(by).agg(((F.sum("label") + 10 * prior) / (F.count("*") + 10)).alias(name))
     full = ruled.join(stats("suffix", "suffix_rate"), "suffix", "left").join(stats("head", "head_rate"), "head", "left").fillna({"suffix_rate": prior, "head_rate": prior})
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full)
     chance = F.pmod(F.xxhash64("host", "path", "tail"), F.lit(1 << 40)) / float(1 << 40)
-    train = vectors.where("decided is not null").where(chance < sample / n).select("features", (F.col("decided") == "block").cast("double").alias("label"))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, seed=11).fit(train)
+    train = vectors.where("decided is not null").where(chance < 2 * sample / n).select("features", (F.col("decided") == "block").cast("double").alias("label"), half.alias("half"))
+    train = materialise(train)  # at most about 2 * sample short rows, which each round of the trees reads
+    other = train.where("half = 1")
+    both = other.agg(F.min("label"), F.max("label")).first()
+    if both[0] == both[1]:  # few hosts: one half alone can't teach both verdicts
+        other = train
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, seed=11).fit(other.drop("half"))
     score = vector_to_array("probability")[1]
     return model.transform(vectors).select("page_id", "host", "path", "rule", F.coalesce("decided", F.when(score >= 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
