@@ -161,9 +161,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Fingerprints are linked whatever their doc_ids: null and repeated ones too.
     """
-    from debitage.llm.nearcopies import keep_least
+    from debitage.llm.nearcopies import keep_least, row_hash
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(*docs.columns).alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_hash(docs).alias("row"))
     rows = materialise(rows.mapInArrow(_row_fingerprints, "doc_id long, fp long, row long"))
     distinct = materialise(rows.select("fp", F.col("fp").alias("rep")).distinct())
     found = connected_components(links(distinct)).withColumnRenamed("node", "fp")

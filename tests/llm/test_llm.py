@@ -277,6 +277,8 @@ def test_toxicity_learns_on_held_out_rows(spark):
     assert out[0]["score"] == out[1]["score"] and out[8]["score"] == out[9]["score"]
     assert toxicity.toxicity(d, labels.limit(0)).select("score").distinct().count() == 1
     assert toxicity.toxicity(docs(spark, []), labels).count() == 0
+    twice = toxicity.toxicity(docs(spark, texts * 2, [*range(len(texts))] * 2), labels)
+    assert twice.count() == 2 * len(texts) and twice.distinct().count() == len(texts)
 
 
 # 6
@@ -540,6 +542,18 @@ def test_url_rules_equal_brute_force(spark, inline, monkeypatch):
     assert urls.judge(t.limit(0)).count() == 0
 
 
+def test_trees_judge_hosts_that_no_rule_knows(spark):
+    rng = random.Random(20)
+    name = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(of) for _ in range(n))
+    spam = lambda tld: f"http://{name(9)}{rng.randrange(10**5)}-{name(4)}.{tld}/{name(3)}/{rng.randrange(10**6)}?a={rng.randrange(99)}&b=%20{name(3)}"
+    good = lambda tld: f"https://{name(6)}.{tld}/{name(5)}/{name(6)}"
+    made = [(spam("bad"), 1) for _ in range(300)] + [(good("fine"), 0) for _ in range(300)] + [(make("net"), y) for _ in range(150) for make, y in ((spam, 1), (good, 0))]
+    t = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(made)], "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(t, (("bad/", "block"), ("fine/", "allow"))).collect()}
+    unruled = [i for i in range(600, 900) if got[i]["rule"] is None]
+    assert len(unruled) == 300 and sum(got[i]["verdict"] == ("block" if made[i][1] else "allow") for i in unruled) >= 0.9 * 300
+
+
 # pipeline
 
 def test_pipeline_stages_keep_columns(spark, tmp_path):
