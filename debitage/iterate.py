@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 MAX_ROUNDS = 100
 #: Edges of a group (a mesh, say) that one task solves by itself; larger ones go by rounds of joins.
 SMALL = 200_000
+#: Parts that a node's edges are dealt to.
+PARTS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -111,15 +113,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
     return by_stars if found is None else found.unionByName(by_stars)
 
 
+def _with_least(e: DataFrame, keys: list[str], self_too: bool) -> DataFrame:
+    """e with ``_low``: the least _v of each _u (or _u itself).
+
+    A node's edges are dealt to parts by their other end, and each part is joined by
+    itself, so no task gets all edges of a hub.
+    """
+    dealt = e.withColumn("_part", F.pmod(F.xxhash64("_v"), F.lit(PARTS)))
+    part = dealt.groupBy(*keys, "_u", "_part").agg(F.min("_v").alias("_m"))
+    low = part.groupBy(*keys, "_u").agg((F.least("_u", F.min("_m")) if self_too else F.min("_m")).alias("_low"))
+    return dealt.join(part.drop("_m").join(low, [*keys, "_u"]), [*keys, "_u", "_part"]).drop("_part")
+
+
 def _stars(e: DataFrame, keys: list[str]) -> DataFrame:
     seen = signature(e)
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(*keys, F.col("_v").alias("_u"), F.col("_u").alias("_v")))
-        low = both.groupBy(*keys, "_u").agg(F.least("_u", F.min("_v")).alias("_low"))
-        large = both.where("_v > _u").join(low, [*keys, "_u"]).select(*keys, F.col("_v").alias("_u"), F.col("_low").alias("_v")).distinct()
-        low = large.groupBy(*keys, "_u").agg(F.min("_v").alias("_low"))
-        moved = large.join(low, [*keys, "_u"]).where("_v <> _low").select(*keys, F.col("_v").alias("_u"), F.col("_low").alias("_v"))
-        e = materialise(moved.unionByName(low.withColumnRenamed("_low", "_v")).distinct())
+        large = _with_least(both, keys, True).where("_v > _u").select(*keys, F.col("_v").alias("_u"), F.col("_low").alias("_v")).distinct()
+        small = _with_least(large, keys, False)
+        moved = small.where("_v <> _low").select(*keys, F.col("_v").alias("_u"), F.col("_low").alias("_v"))
+        e = materialise(moved.unionByName(small.select(*keys, "_u", F.col("_low").alias("_v"))).distinct())
         now = signature(e)
         if now == seen:
             break

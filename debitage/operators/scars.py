@@ -138,7 +138,8 @@ def watertight_shell(vertices: DataFrame, faces: DataFrame, members: DataFrame)
     """(vertices, faces) of a closed shell of each scar: a top, a bottom lowered along the normals, and side walls.
 
     New ids are by first appearance in the scar's faces; the depth is the mean of the
-    faces' mean side lengths; zero normals take the mean normal of the scar.
+    faces' mean side lengths; zero normals take the mean normal of the scar.  Walls run
+    along the top's rim in its own direction.
     """
     K = [M, "scar_id"]
     own = corners(faces).join(members, [M, "vertex_id"]).groupBy(*K, "face_id").agg(F.count("*").alias("n")).where("n = 3").drop("n")
@@ -166,7 +167,7 @@ def watertight_shell(vertices: DataFrame, faces: DataFrame, members: DataFrame)
         new = new.join(ids.select(*K, F.col("vertex_id").alias(f"v{k}"), F.col("id").alias(f"i{k}")), [*K, f"v{k}"])
     new = new.join(n, K).select(*K, "face_id", "i0", "i1", "i2", "n")
     upper = new.select(*K, F.lit(0).alias("part"), "i0", "i1", "i2")
-    lower = new.select(*K, F.lit(1).alias("part"), (F.col("i2") + F.col("n")).alias("i0"), (F.col("i1") + F.col("n")).alias("i1"), (F.col("i0") + F.col("n")).alias("i2"))
+    lower = new.select(*K, F.lit(1).alias("part"), (F.col("i0") + F.col("n")).alias("i0"), (F.col("i2") + F.col("n")).alias("i1"), (F.col("i1") + F.col("n")).alias("i2"))
     half = new.select(*K, "n", F.explode(F.array(*(F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("i0", "i1"), ("i1", "i2"), ("i2", "i0"))))).alias("h")).select(*K, "n", "h.a", "h.b")
     rim = half.join(half.select(*K, F.col("b").alias("a"), F.col("a").alias("b")), [*K, "a", "b"], "left_anti")
     wall = rim.select(*K, F.explode(F.array(F.struct(F.col("a").alias("i0"), F.col("b").alias("i1"), (F.col("b") + F.col("n")).alias("i2")), F.struct(F.col("a").alias("i0"), (F.col("b") + F.col("n")).alias("i1"), (F.col("a") + F.col("n")).alias("i2")))).alias("w"))
