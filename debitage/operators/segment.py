@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from debitage.iterate import MAX_ROUNDS, connected_components, tabled
+from debitage.iterate import MAX_ROUNDS, SMALL, connected_components, tabled
 from debitage.operators.geometry import remap_by_frequency
 from debitage.operators.topology import M, corners, edge_list, vertex_edges
 
@@ -52,34 +52,80 @@ def _fold(merge: Callable[[int, int], bool], edges: pd.DataFrame, sizes: dict[in
     return {v: find(v) for v in root}
 
 
-def capped_components(faces: DataFrame, costs: DataFrame, max_merge_cost: float = 0.45, max_segment_size: int | None = None) -> DataFrame:
+def _merge_in_rounds(edges: DataFrame, merge: Callable, max_rounds: int = MAX_ROUNDS * 100) -> DataFrame:
+    """mesh_id, node, new_root: what _fold gives for all edges (mesh_id, a, b, na, nb, cost, edge_idx), by rounds of joins.
+
+    An edge that is the first one at both of its clusters acts next, whatever happens
+    elsewhere, so a round takes all of those together.  Clusters only grow, so an edge
+    once refused stays refused and goes; of parallel edges the first alone can act.
+    """
+    order = F.struct("cost", "edge_idx")
+
+    def live(e: DataFrame) -> DataFrame:
+        same = e.where("a <> b").where(merge(F.col("na"), F.col("nb"))).groupBy(M, F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        sizes = F.when(F.col("a") < F.col("b"), F.struct(F.col("na").alias("x"), F.col("nb").alias("y"))).otherwise(F.struct(F.col("nb").alias("x"), F.col("na").alias("y")))
+        first = same.agg(F.min(F.struct("cost", "edge_idx", sizes.alias("n"))).alias("e"))
+        return tabled(first.select(M, F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("e.n.x").alias("na"), F.col("e.n.y").alias("nb"), "e.cost", "e.edge_idx"))
+
+    now, merges = live(edges), []
+    for _ in range(max_rounds):
+        if now.isEmpty():
+            break
+        ends = now.select(M, F.explode(F.array("a", "b")).alias("c"), order.alias("e")).groupBy(M, "c").agg(F.min("e").alias("e"))
+        both = ends.groupBy(M, F.col("e.edge_idx").alias("edge_idx")).agg(F.count("*").alias("ends")).where("ends = 2").select(M, "edge_idx")
+        done = tabled(now.join(both, [M, "edge_idx"], "left_semi").select(M, "a", "b", (F.col("na") + F.col("nb")).alias("n")))
+        merges.append(done.select(M, "a", "b"))
+        moved = done.select(M, F.explode(F.array("a", "b")).alias("c"), F.col("a").alias("to"), "n")
+        for end, size in (("a", "na"), ("b", "nb")):
+            now = now.join(moved.withColumnRenamed("c", end), [M, end], "left").withColumns({end: F.coalesce("to", end), size: F.coalesce("n", size)}).drop("to", "n")
+        now = live(now)
+    else:
+        raise RuntimeError("merges of more rounds than allowed")
+    pairs = functools.reduce(DataFrame.unionByName, merges) if merges else edges.select(M, "a", "b").limit(0)
+    return connected_components(pairs, "a", "b", [M]).withColumnRenamed("component", "new_root")
+
+
+def _merged(edges: DataFrame, merge: Callable, small: int) -> DataFrame:
+    """mesh_id, node, new_root of edges (mesh_id, part, a, b, na, nb, cost, edge_idx): parts of at most ``small`` edges in a task each."""
+    kind = dict(edges.dtypes)[M]
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["cost", "edge_idx"])
+        sizes = dict(zip(g["a"], g["na"], strict=True)) | dict(zip(g["b"], g["nb"], strict=True))
+        found = _fold(merge, g, sizes)
+        return pd.DataFrame({M: g[M].iloc[0], "node": list(found), "new_root": list(found.values())})
+
+    in_tasks = lambda e: e.groupBy(M, "part").applyInPandas(fold, f"{M} {kind}, node long, new_root long")
+    large = edges.groupBy(M, "part").agg(F.count("*").alias("n")).where(F.col("n") > small).select(M, "part")
+    if large.isEmpty():
+        return in_tasks(edges)
+    large = tabled(large)
+    by_rounds = _merge_in_rounds(edges.join(large, [M, "part"], "left_semi"), merge)
+    return in_tasks(edges.join(large, [M, "part"], "left_anti")).unionByName(by_rounds)
+
+
+def capped_components(faces: DataFrame, costs: DataFrame, max_merge_cost: float = 0.45, max_segment_size: int | None = None, small: int = SMALL) -> DataFrame:
     """threshold_components, but in ascending (cost, edge_idx) and never past max_segment_size faces.
 
-    The order matters, so each component of the uncapped merge (no merge crosses it)
-    is folded in one task; components run in parallel.
+    No merge crosses a component of the uncapped merge: those of at most ``small`` edges
+    are folded in a task each, larger ones go by rounds of joins.
     """
     free = threshold_components(faces, costs, max_merge_cost)
     if not max_segment_size:
         return free
-    kind = dict(faces.dtypes)[M]
+    own = costs.where(F.col("cost") <= max_merge_cost).join(free, [M, "face_id"])
+    one = F.lit(1).cast("long")
+    own = own.select(M, F.col("root").alias("part"), F.col("face_id").alias("a"), F.col("nbr").alias("b"), one.alias("na"), one.alias("nb"), "cost", "edge_idx")
+    found = _merged(own, lambda x, y: x + y <= max_segment_size, small).withColumnRenamed("node", "face_id")
+    return faces.select(M, "face_id").join(found, [M, "face_id"], "left").select(M, "face_id", F.coalesce("new_root", "face_id").alias("root"))
 
-    def fold(edges: pd.DataFrame) -> pd.DataFrame:
-        edges = edges.sort_values(["cost", "edge_idx"])
-        sizes = dict.fromkeys({*edges["a"], *edges["b"]}, 1)
-        found = _fold(lambda x, y: x + y <= max_segment_size, edges, sizes)
-        return pd.DataFrame({M: edges[M].iloc[0], "face_id": list(found), "root": list(found.values())})
 
-    own = costs.where(F.col("cost") <= max_merge_cost).join(free, [M, "face_id"]).select(M, "root", F.col("face_id").alias("a"), F.col("nbr").alias("b"), "cost", "edge_idx")
-    found = own.groupBy(M, "root").applyInPandas(fold, f"{M} {kind}, face_id long, root long")
-    return faces.select(M, "face_id").join(found, [M, "face_id"], "left").select(M, "face_id", F.coalesce("root", "face_id").alias("root"))
-
-
-def cleaned_up(segments: DataFrame, costs: DataFrame, min_segment_size: int = 50) -> DataFrame:
+def cleaned_up(segments: DataFrame, costs: DataFrame, min_segment_size: int = 50, small: int = SMALL) -> DataFrame:
     """segments (face_id, root) after merging, over all edges ascending, wherever either side has under min_segment_size faces.
 
     Sizes only grow, so of each segment pair the first edge alone can act, and only if one
-    of the two is small from the start: the mesh is contracted to those pairs, and each
-    component of them is folded in order in a task.
+    of the two is small from the start: the mesh is contracted to those pairs.  Components
+    of at most ``small`` pairs are folded in a task each, larger ones go by rounds of joins.
     """
     if min_segment_size <= 1:
         return segments
@@ -96,17 +142,8 @@ def cleaned_up(segments: DataFrame, costs: DataFrame, min_segment_size: int = 50
     sizes = segments.groupBy(M, "root").agg(F.count("*").alias("n"))
     sized = first.join(sizes.select(M, F.col("root").alias("a"), F.col("n").alias("na")), [M, "a"]).join(sizes.select(M, F.col("root").alias("b"), F.col("n").alias("nb")), [M, "b"])
     live = sized.where(F.least("na", "nb") < min_segment_size)
-    parts = connected_components(live, "a", "b", [M]).withColumnRenamed("node", "a")
-    live = live.join(parts, [M, "a"])
-    kind = dict(segments.dtypes)[M]
-
-    def fold(edges: pd.DataFrame) -> pd.DataFrame:
-        edges = edges.sort_values(["cost", "edge_idx"])
-        n = dict(zip(edges["a"], edges["na"], strict=True)) | dict(zip(edges["b"], edges["nb"], strict=True))
-        found = _fold(lambda x, y: x < min_segment_size or y < min_segment_size, edges, n)
-        return pd.DataFrame({M: edges[M].iloc[0], "root": list(found), "new_root": list(found.values())})
-
-    found = live.groupBy(M, "component").applyInPandas(fold, f"{M} {kind}, root long, new_root long")
+    parts = connected_components(live, "a", "b", [M]).select(M, F.col("node").alias("a"), F.col("component").alias("part"))
+    found = _merged(live.join(parts, [M, "a"]), lambda x, y: (x < min_segment_size) | (y < min_segment_size), small).withColumnRenamed("node", "root")
     return segments.join(found, [M, "root"], "left").select(M, "face_id", F.coalesce("new_root", "root").alias("root"))
 
 

@@ -89,14 +89,14 @@ def union(n, edges, allowed):
     return [find(v) for v in range(n)], size
 
 
-@pytest.mark.parametrize("cap,least", [(None, 6), (9, 5), (4, 1)])
-def test_capped_merge_and_cleanup(spark, cap, least):
+@pytest.mark.parametrize("cap,least,small", [(None, 6, 1000), (9, 5, 1000), (4, 1, 1000), (9, 5, 12), (5, 7, 0)])
+def test_capped_merge_and_cleanup(spark, cap, least, small):
     rng = random.Random(f"{cap} {least}")
     edges = [(m, k, a, b, rng.randrange(8) / 8) for m in MESHES for k, (a, b) in enumerate((a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.06)]
     faces = spark.createDataFrame([(m, i) for m in MESHES for i in range(40)], "mesh_id string, face_id long")
     costs = spark.createDataFrame(edges, "mesh_id string, edge_idx long, face_id long, nbr long, cost double")
-    merged = K.capped_components(faces, costs, 0.3, cap)
-    got = by_mesh(K.cleaned_up(merged, costs, least), "face_id", "root")
+    merged = K.capped_components(faces, costs, 0.3, cap, small)
+    got = by_mesh(K.cleaned_up(merged, costs, least, small), "face_id", "root")
     for m in MESHES:
         own = sorted((c, k, a, b) for mm, k, a, b, c in edges if mm == m)
         roots, sizes = union(40, [(a, b) for c, _, a, b in own if c <= 0.3], lambda x, y: not cap or x + y <= cap)
