@@ -52,6 +52,19 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return low
 
 
+def spans(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of lower-cased bytes: where each starts, its length, each text's first word (and their total), and which bytes are in words."""
+    word = WORD[low]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[heads] = word[heads]
+    ends = word.copy()
+    ends[:-1] &= begins[1:] | ~word[1:]
+    start = np.flatnonzero(begins)
+    return start, np.flatnonzero(ends) + 1 - start, np.searchsorted(start, offsets), word
+
+
 class Words:
     """Words (runs of ASCII letters and digits and of non-ASCII bytes) of a batch.
 
@@ -61,16 +74,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.low = low = lowered(data)
-        word = WORD[low]
-        begins = word.copy()
-        begins[1:] &= ~word[:-1]
-        heads = offsets[:-1][offsets[:-1] < offsets[1:]]
-        begins[heads] = word[heads]
-        ends = word.copy()
-        ends[:-1] &= begins[1:] | ~word[1:]
-        self.start = np.flatnonzero(begins)
-        self.length = np.flatnonzero(ends) + 1 - self.start
-        self.first = np.searchsorted(self.start, offsets)
+        self.start, self.length, self.first, word = spans(low, offsets)
         where = np.flatnonzero(word)
         to = np.cumsum(self.length)
         place = np.arange(len(where)) - np.repeat(to - self.length, self.length)
