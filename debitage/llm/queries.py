@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from debitage.iterate import shared_folder
-from debitage.llm import ann, binout, decontam, licenses, packing, quality, resampling, sharding, simhash, toxicity, urls, wrapper
+from debitage.llm import ann, balltree, binout, decontam, licenses, packing, quality, resampling, sharding, simhash, toxicity, urls, wrapper
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -74,6 +74,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item; see balltree.ranked for odd rows."""
+    return balltree.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and a verdict on the quality of every document; see quality.judge for odd rows."""
     return quality.judge(_table(spark, sf_dir, "documents"))
@@ -91,7 +96,14 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_ranked_search": op12_ranked_search,
     "op13_quality_rules": op13_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_benchmark_decontamination": decontam.oracle(), "op6_license_scan": licenses.oracle(), "op11_importance_resampling": resampling.oracle(), "op13_quality_rules": quality.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op5_benchmark_decontamination": decontam.oracle(),
+    "op6_license_scan": licenses.oracle(),
+    "op11_importance_resampling": resampling.oracle(),
+    "op12_ranked_search": balltree.oracle(),
+    "op13_quality_rules": quality.oracle(),
+}
