@@ -13,6 +13,7 @@ from debitage.operators import topology as T
 from debitage.plans import demo
 from debitage.plans.demo import sql
 from debitage.plans.registry import query, rounded
+from debitage.sources import binary_ply as B
 from debitage.sources import mesh_files as P
 
 
@@ -81,6 +82,47 @@ def s3_large(spark, sf):
     return rows.withColumn("mesh_id", F.col("mesh_id").cast("long"))
 
 
+def _binary(spark, vertices, faces, big=False, **more):
+    """Meshes written as binary PLY files and read again, the smallest file in about a dozen ranges."""
+    at = shared(spark, "binary")
+    least = B.write_binary_ply(vertices, faces, at, big=big, **more).agg(F.min("bytes")).first()[0] or 0
+    return B.binary_tables(spark, at, min(B.RANGE, max(64, least // 12)))
+
+
+@query("s2_binary_ply_vertices", sql("select v.mesh_id, v.vertex_id, x, y, z, label from v join gt using (mesh_id, vertex_id)"))
+def s2_vertices(spark, sf):
+    """Labelled vertices of big-endian files."""
+    v, f = _vf(spark, sf)
+    got = _binary(spark, v.select("mesh_id", "vertex_id", *"xyz", F.expr(demo.GT).alias("label")), f, big=True)
+    return got["vertices"].drop("label_id").withColumn("mesh_id", F.col("mesh_id").cast("long"))
+
+
+@query("s2_binary_ply_arrows", sql("select mesh_id, (row_number() over (partition by mesh_id order by vertex_id) - 1)::int as pos, vertex_id as start_index, 0::bigint as end_index from v where bal > 9000"))
+def s2_arrows(spark, sf):
+    """Arrows, which stand behind the lists of the faces."""
+    v, f = _vf(spark, sf)
+    arrows = v.where("bal > 9000").select("mesh_id", F.row_number().over(_byid()).alias("pos"), F.col("vertex_id").alias("start_index"), F.lit(0).cast("long").alias("end_index"))
+    return _binary(spark, v.select("mesh_id", "vertex_id", *"xyz"), f, arrows=arrows)["arrows"].withColumn("mesh_id", F.col("mesh_id").cast("long"))
+
+
+@query(
+    "s2_binary_ply_mixed_faces",
+    """with n as (select o_orderkey % 16 as mesh_id, row_number() over (partition by o_orderkey % 16 order by o_orderkey) - 1 as a, floor(sqrt(count(*) over (partition by o_orderkey % 16)))::bigint as w from orders),
+    c as (select * from n where a < w * w and a % w < w - 1 and a // w < w - 1),
+    t as (select mesh_id, 2 * a as k, a as v0, a + 1 as v1, a + w as v2 from c union all select mesh_id, 2 * a + 1, a + 1, a + w + 1, a + w from c)
+    select mesh_id, row_number() over (partition by mesh_id order by k) - 1 as face_id, v0, v1, v2 from t""",
+)
+def s2_mixed(spark, sf):
+    """The large meshes with a third of their cells as quads: no range knows where its first face begins."""
+    v = demo.large_vertices(spark, sf)
+    quad = (F.col("x") + F.col("y")) % 3 == 0
+    a, w = F.col("vertex_id"), F.col("w")
+    cells = v.where((F.col("x") < w - 1) & (F.col("y") < w - 1) & quad).select("mesh_id", (2 * a).alias("face_id"), F.array(a, a + 1, a + w + 1, a + w).alias("corners"))
+    faces = demo.faces(v.where(~quad)).select("mesh_id", "face_id", F.array("v0", "v1", "v2").alias("corners")).unionByName(cells)
+    got = _binary(spark, v.select("mesh_id", "vertex_id", *"xyz"), faces)
+    return got["faces"].withColumn("mesh_id", F.col("mesh_id").cast("long"))
+
+
 @query("s6_bulk_corpus_split", sql("select m.mesh_id, (select count(*) from v where v.mesh_id = m.mesh_id) as n_vertices, (select count(*) from f where f.mesh_id = m.mesh_id) as n_faces, (select count(*) from gt where gt.mesh_id = m.mesh_id and label <> 0) as n_annotated from m"))
 def s6(spark, sf):
     geometry, _, annotation = P.split_corpus(_labelled(spark, sf))

@@ -1,12 +1,11 @@
-"""Scans and sinks of mesh files: ASCII PLY, OBJ, binary PLY; one row a file, then one a line, then tables."""
+"""Scans and sinks of text mesh files, ASCII PLY and OBJ.
 
-from __future__ import annotations
+Large files are read by many tasks.  A line's number in its file, and with it every vertex
+and face id, is the sum over the splits before its own plus its place in the split.
+"""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +28,41 @@ def _folder_or_name(path: Column) -> Column:
     return F.when(path.contains("mesh_id="), F.regexp_extract(path, r"mesh_id=([^/]+)", 1)).otherwise(path)
 
 
+#: The part of a file that one task reads: the file and the byte at which the part begins.
+SPLIT = (M, "split")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """mesh_id, line_no, line of every non-blank line of the text files under path."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(_mesh_id(_folder_or_name(F.col("_metadata.file_path"))).alias(M), "value")
-    return whole.select(M, F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).where("trim(line) <> ''")
+    """mesh_id, split, at, line of every line of the text files under path.
+
+    A large file is read by many tasks, each a stretch of whole lines; ``split`` is the
+    byte where its stretch begins and ``at`` grows from line to line inside it.
+    """
+    text = spark.read.option("recursiveFileLookup", True).text(path, lineSep="\n")
+    lines = text.select(_mesh_id(_folder_or_name(F.col("_metadata.file_path"))).alias(M), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.rtrim("value", F.lit("\r")).alias("line"))
+    return lines
+
+
+def running(rows: DataFrame, name: str, size: Column | None = None) -> DataFrame:
+    """rows (mesh_id, split, at, ...) with ``name``: the sum of ``size`` (1 without) over all rows before it in its file.
+
+    Sums inside a split are one window a split, which is no larger than a task's read; those
+    of whole splits are added up over a table of one row a split.
+    """
+    rows = rows.withColumn("_size", F.lit(1) if size is None else size)
+    sums = tabled(rows.groupBy(*SPLIT).agg(F.sum("_size").alias("_sum")))
+    before = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sums.select(*SPLIT, before("_sum", *SPLIT).alias("_base"))
+    own = rows.withColumn("_own", before("_size", *SPLIT, "at"))
+    return own.join(base, [*SPLIT]).withColumn(name, (F.col("_base") + F.col("_own")).cast("long")).drop("_size", "_own", "_base")
+
 
+def ply_header(head: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(elements, properties): each element's range of body lines, each scalar property's place.
 
-def ply_header(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(elements, properties): each element's range of body lines, each scalar property's place."""
-    end = lines.where("line = 'end_header'").groupBy(M).agg(F.min("line_no").alias("end"))
-    head = lines.join(end, M).where("line_no < end").withColumn("w", F.split(F.trim("line"), r"\s+"))
+    head: mesh_id, line_no, line of the header's lines, some dozen a file.
+    """
+    head = head.withColumn("w", F.split(F.trim("line"), r"\s+"))
     w = Window.partitionBy(M).orderBy("line_no")
     element = head.where("w[0] = 'element'").select(M, "line_no", F.col("w")[1].alias("element"), F.col("w")[2].try_cast("long").alias("n"))
     before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -50,16 +74,6 @@ def ply_header(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return elements, owned.select(M, "element", "property", place.alias("place"))
 
 
-def _body(lines: DataFrame, elements: DataFrame) -> DataFrame:
-    """mesh_id, element, index (in the element), w (tokens) of every body line."""
-    end = lines.where("line = 'end_header'").groupBy(M).agg(F.min("line_no").alias("end"))
-    body = lines.join(end, M).where("line_no > end")
-    # blank lines are gone, so the rank is the line's number in the body
-    ranked = body.withColumn("k", F.row_number().over(Window.partitionBy(M).orderBy("line_no")) - 1)
-    rows = ranked.join(elements.select(M, "element", "first", "past"), M).where("k >= first and k < past")
-    return rows.select(M, "element", (F.col("k") - F.col("first")).alias("index"), F.split(F.trim("line"), r"\s+").alias("w"))
-
-
 def scan_ply(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """vertices (label and label_id where the file has them), faces, arrows, metadata and errors of ASCII PLY files.
 
@@ -67,25 +81,30 @@ def scan_ply(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     file of another kind and a line that lacks numbers give rows of errors (mesh_id,
     element, index, problem) and stop nothing.
     """
-    lines = read_lines(spark, path)
-    elements, props = ply_header(lines)
-    body = _body(lines, elements)
+    # every non-blank line with its number among those of its file
+    lines = tabled(running(read_lines(spark, path).where("trim(line) <> ''"), "line_no"))
+    end = tabled(lines.where("line = 'end_header'").groupBy(M).agg(F.min("line_no").alias("end")))
+    ended = lines.join(end, M, "left")
+    elements, props = ply_header(ended.where("line_no < end").select(M, "line_no", "line"))
+    elements = tabled(elements)
+    body = ended.where("line_no > end").select(*SPLIT, "at", (F.col("line_no") - F.col("end") - 1).alias("k"), F.split(F.trim("line"), r"\s+").alias("w"))
+    body = body.join(elements.select(M, "element", "first", "past"), M).where("k >= first and k < past").withColumn("index", F.col("k") - F.col("first"))
     wanted = [("vertex", a, names) for a, names in ALIASES.items()] + [("vertex", "label", (LABEL,)), ("vertex", "label_id", (LABEL_ID,))] + [("arrow", e, (e,)) for e in ENDS]
     places = [F.min(F.when((F.col("element") == element) & F.col("property").isin(*names), F.col("place"))).alias(f"p_{a}") for element, a, names in wanted]
     # one row a file
-    placed = body.join(props.groupBy(M).agg(*places), M, "left")
+    placed = body.join(tabled(props.groupBy(M).agg(*places)), M, "left")
     at = lambda p: F.when(F.col(f"p_{p}").isNotNull(), F.get("w", F.col(f"p_{p}")))
     v = placed.where("element = 'vertex'").select(M, "index", *(at(a).try_cast("double").alias(a) for a in (*"xyz", "label", "label_id")))
     vertices = v.select(M, F.col("index").cast("long").alias("vertex_id"), *"xyz", *(F.col(c).cast("int").alias(c) for c in ("label", "label_id")))
-    f = body.where("element = 'face'").select(M, "index", F.get("w", F.lit(0)).try_cast("int").alias("n"), F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda t: t.try_cast("long")).alias("c"))
+    f = body.where("element = 'face'").select(*SPLIT, "at", "index", F.get("w", F.lit(0)).try_cast("int").alias("n"), F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda t: t.try_cast("long")).alias("c"))
     f = f.withColumn("whole", F.coalesce((F.size("c") >= F.col("n")) & ~F.exists(F.slice("c", 1, F.greatest("n", F.lit(0))), F.isnull), F.lit(False)))
     tri = lambda a, b, c: F.struct(F.get("c", F.lit(a)).alias("v0"), F.get("c", F.lit(b)).alias("v1"), F.get("c", F.lit(c)).alias("v2"))
     split = F.when(F.col("n") == 3, F.array(tri(0, 1, 2))).when(F.col("n") == 4, F.array(tri(0, 1, 3), tri(1, 2, 3)))
-    faces = _number(f.where("whole").select(M, "index", F.posexplode(split).alias("part", "t")))
+    faces = _number(f.where("whole"), split)
     arrows = placed.where("element = 'arrow'").select(M, F.col("index").cast("int").alias("pos"), *(F.coalesce(at(e), F.get("w", F.lit(k))).try_cast("long").alias(e) for k, e in enumerate(ENDS)))
     notes = lines.where(F.col("line").rlike(r"^comment metadata(:json)? \S+"))
     metadata = notes.select(M, F.regexp_extract("line", r"^comment metadata(?::json)? (\S+)", 1).alias("key"), F.nullif(F.regexp_extract("line", r"^comment metadata(?::json)? \S+ (.*)$", 1), F.lit("")).alias("value"), F.col("line").startswith("comment metadata:json").alias("is_json"))
-    ends = lines.groupBy(M).agg(F.max(F.col("line") == "end_header").alias("ends"), F.min(F.struct("line_no", "line"))["line"].alias("first"))
+    ends = lines.groupBy(M).agg(F.max(F.col("line") == "end_header").alias("ends"), F.min(F.when(F.col("line_no") == 0, F.col("line"))).alias("first"))
     problem = lambda df, element, text: df.select(M, F.lit(element).alias("element"), "index", F.lit(text).alias("problem"))
     errors = problem(ends.where("not ends or trim(first) <> 'ply'").withColumn("index", F.lit(None).cast("long")), "file", "no PLY header")
     errors = errors.unionByName(problem(v.where("x is null or y is null or z is null"), "vertex", "fewer than three coordinates"))
@@ -94,9 +113,10 @@ def scan_ply(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"vertices": vertices, "faces": faces, "arrows": arrows, "metadata": metadata, "errors": errors}
 
 
-def _number(rows: DataFrame) -> DataFrame:
-    ids = F.row_number().over(Window.partitionBy(M).orderBy("index", "part")) - 1
-    return rows.select(M, ids.cast("long").alias("face_id"), "t.v0", "t.v1", "t.v2")
+def _number(faces: DataFrame, triangles: Column) -> DataFrame:
+    """The triangles of faces (mesh_id, split, at, ...), numbered through each file."""
+    own = running(faces.withColumn("_t", triangles), "_first", F.greatest(F.size("_t"), F.lit(0)))
+    return own.select(M, "_first", F.posexplode("_t").alias("part", "t")).select(M, (F.col("_first") + F.col("part")).cast("long").alias("face_id"), "t.v0", "t.v1", "t.v2")
 
 
 def scan_obj(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -107,130 +127,26 @@ def scan_obj(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     element, index, problem).
     """
     lines = read_lines(spark, path).withColumn("w", F.split(F.trim("line"), r"\s+"))
-    order = Window.partitionBy(M).orderBy("line_no")
-    v = lines.where("w[0] = 'v'")
-    vertices = v.select(M, (F.row_number().over(order) - 1).cast("long").alias("vertex_id"), *(F.get("w", F.lit(k + 1)).try_cast("double").alias(a) for k, a in enumerate("xyz")))
     corner = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda t: F.regexp_extract(t, r"^(\d+)", 1).try_cast("long") - 1)
-    f = lines.where("w[0] = 'f'").select(M, F.col("line_no").cast("long").alias("index"), corner.alias("c")).withColumn("whole", (F.size("c") >= 3) & ~F.exists("c", F.isnull))
+    # the text is read and parsed once; what follows reads columns
+    parsed = tabled(
+        lines.select(
+            *SPLIT,
+            "at",
+            F.col("w")[0].alias("kind"),
+            *(F.when(F.col("w")[0] == "v", F.get("w", F.lit(k + 1)).try_cast("double")).alias(a) for k, a in enumerate("xyz")),
+            F.when(F.col("w")[0] == "f", corner).alias("c"),
+        )
+    )
+    vertices = running(parsed.where("kind = 'v'"), "vertex_id").select(M, "vertex_id", *"xyz")
+    f = parsed.where("kind = 'f'").withColumn("whole", (F.size("c") >= 3) & ~F.exists("c", F.isnull))
     fan = F.transform(F.sequence(F.lit(1), F.size("c") - 2), lambda k: F.struct(F.get("c", F.lit(0)).alias("v0"), F.get("c", k).alias("v1"), F.get("c", k + 1).alias("v2")))
     errors = vertices.where("x is null or y is null or z is null").select(M, F.lit("vertex").alias("element"), F.col("vertex_id").alias("index"), F.lit("fewer than three coordinates").alias("problem"))
-    errors = errors.unionByName(f.where("not whole").select(M, F.lit("face").alias("element"), "index", F.lit("fewer than three corners").alias("problem")))
-    return {"vertices": vertices, "faces": _number(f.where("whole").select(M, "index", F.posexplode(fan).alias("part", "t"))), "errors": errors}
-
-
-SIZES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
-BINARY = f"{M} string, kind string, id long, x double, y double, z double, label int, label_id int, v0 long, v1 long, v2 long, parse_error string"
-
-
-def _lists(content: bytes, order: str, n: int, at: int, props: list) -> tuple[np.ndarray, np.ndarray, int]:
-    """(corners of three, their face) of n elements with list properties, and where they end.
-
-    Elements whose lists are all as long as the first's are one fixed record; else the
-    offsets are walked once and the corners gathered by length.
-    """
-    def record(lengths: list[int]) -> np.dtype:
-        fields, turn = [], iter(lengths)
-        for p, count, t in props:
-            fields += [(p, order + SIZES[t])] if count is None else [(f"n {p}", order + SIZES[count]), (p, order + SIZES[t], (next(turn),))]
-        return np.dtype(fields)
-
-    lists = [(p, count) for p, count, _ in props if count is not None]
-    corner = next((p for p, _ in lists if p in ("vertex_indices", "vertex_index")), None)
-
-    def lengths_at(start: int) -> list[int]:
-        own: list[int] = []
-        for p, count, t in props:
-            if count is not None:
-                own.append(int(np.frombuffer(content, order + SIZES[count], 1, start)[0]))
-                start += np.dtype(SIZES[count]).itemsize + own[-1] * np.dtype(SIZES[t]).itemsize
-            else:
-                start += np.dtype(SIZES[t]).itemsize
-        return own
-
-    def triangles(rows: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c = rows[corner].astype(np.int64) if corner else np.zeros((len(rows), 0), np.int64)
-        if c.shape[1] == 3:
-            return c, number
-        if c.shape[1] == 4:
-            return c[:, [0, 1, 3, 1, 2, 3]].reshape(-1, 3), np.repeat(number, 2)
-        return np.zeros((0, 3), np.int64), number[:0]
-
-    if not n:
-        return np.zeros((0, 3), np.int64), np.zeros(0, np.int64), at
-    first = record(lengths_at(at))
-    if len(content) - at >= n * first.itemsize:
-        rows = np.frombuffer(content, first, n, at)
-        if all((rows[f"n {p}"] == rows[f"n {p}"][0]).all() for p, _ in lists):
-            return *triangles(rows, np.arange(n)), at + n * first.itemsize
-    groups: dict[tuple, list] = {}
-    for i in range(n):
-        own = lengths_at(at)
-        groups.setdefault(tuple(own), []).append((i, at))
-        at += record(own).itemsize
-    parts = []
-    for own, where in groups.items():
-        kind = record(list(own))
-        raw = np.frombuffer(content, np.uint8)[np.array([a for _, a in where])[:, None] + np.arange(kind.itemsize)]
-        parts.append(triangles(np.ascontiguousarray(raw).view(kind)[:, 0], np.array([i for i, _ in where])))
-    corners, number = np.concatenate([c for c, _ in parts]), np.concatenate([i for _, i in parts])
-    by = np.argsort(number, kind="stable")
-    return corners[by], number[by], at
-
-
-def parse_binary_ply(content: bytes) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(vertices x, y, z, label, label_id) and (faces v0, v1, v2) of one binary PLY file of either byte order."""
-    end = re.search(rb"end_header\r?\n", content).end()
-    head = content[:end].decode("ascii", "replace").splitlines()
-    order = "<" if any("binary_little_endian" in h for h in head) else ">"
-    elements: list[tuple[str, int, list]] = []
-    for h in head:
-        w = h.split()
-        if w[:1] == ["element"]:
-            elements.append((w[1], int(w[2]), []))
-        elif w[:1] == ["property"] and elements:
-            elements[-1][2].append((w[-1], w[2], w[3]) if w[1] == "list" else (w[-1], None, w[1]))
-    at, vertices, faces = end, pd.DataFrame(columns=["x", "y", "z", "label", "label_id"]), np.zeros((0, 3), np.int64)
-    for name, n, props in elements:
-        if any(count is not None for _, count, _ in props):
-            corners, _, at = _lists(content, order, n, at, props)
-            if name == "face":
-                faces = corners
-            continue
-        kind = np.dtype([(p, order + SIZES[t]) for p, _, t in props])
-        rows = np.frombuffer(content, kind, n, at)
-        at += n * kind.itemsize
-        if name == "vertex":
-            names = kind.names or ()
-            pick = {a: next((p for p in own if p in names), None) for a, own in (ALIASES | {"label": (LABEL,), "label_id": (LABEL_ID,)}).items()}
-            vertices = pd.DataFrame({a: rows[p].astype("f8" if a in "xyz" else "i8") if p else None for a, p in pick.items()}, index=range(n))
-    return vertices, pd.DataFrame(faces, columns=["v0", "v1", "v2"])
-
-
-def scan_binary_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, faces) of binary PLY files, with parse_error on a row of its own for a bad file.
-
-    Each file is parsed once: its rows are stored in the checkpoint folder and both tables read them there.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(_mesh_id(F.col("path")).alias(M), "content")
-    names = [c.split()[0] for c in BINARY.split(", ")]
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for mesh, content in zip(f[M], f["content"], strict=True):
-                try:
-                    parts = list(zip(("vertex", "face"), parse_binary_ply(bytes(content)), strict=True))
-                except Exception as e:  # noqa: BLE001  a bad file is a row, not a failed batch
-                    parts = [(k, pd.DataFrame({"parse_error": [f"{type(e).__name__}: {e}"[:200]]})) for k in ("vertex", "face")]
-                for kind, out in parts:
-                    if "parse_error" not in out:
-                        out["id"] = range(len(out))
-                    out[M], out["kind"] = mesh, kind
-                    out = out.reindex(columns=names)
-                    yield out.astype(dict.fromkeys((M, "kind", "parse_error"), object))
-
-    stored = tabled(files.mapInPandas(rows, BINARY))
-    own = lambda kind, *columns: stored.where(F.col("kind") == kind).select(M, F.col("id").alias(f"{kind}_id"), *columns, "parse_error")
-    return own("vertex", *"xyz", "label", "label_id"), own("face", "v0", "v1", "v2")
+    # lines are counted for the files that have such faces only
+    short = tabled(f.where("not whole").select(*SPLIT, "at"))
+    numbers = running(parsed.select(*SPLIT, "at").join(short.select(M).distinct(), M, "left_semi"), "index")
+    errors = errors.unionByName(numbers.join(short, [*SPLIT, "at"], "left_semi").select(M, F.lit("face").alias("element"), "index", F.lit("fewer than three corners").alias("problem")))
+    return {"vertices": vertices, "faces": _number(f.where("whole"), fan), "errors": errors}
 
 
 def ply_lines(vertices: DataFrame, faces: DataFrame, arrows: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:

@@ -2,9 +2,12 @@
 
 import struct
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from debitage.operators import annotations as A
+from debitage.sources import binary_ply as B
 from debitage.sources import mesh_files as P
 from debitage.streaming import jobs
 
@@ -71,7 +74,7 @@ def test_binary_ply_both_orders_and_a_bad_file(spark, tmp_path):
         body = b"".join(struct.pack(order + "fffB", i, 0, 0, i) for i in range(3)) + struct.pack(order + "Biii", 3, 0, 1, 2)
         (tmp_path / f"{name}.ply").write_bytes(head.encode() + body)
     (tmp_path / "bad.ply").write_bytes(b"junk")
-    v, f = P.scan_binary_ply(spark, str(tmp_path))
+    v, f = B.scan_binary_ply(spark, str(tmp_path))
     assert sorted((r["mesh_id"], r["vertex_id"], r["x"], r["label"]) for r in v.where("parse_error is null").collect()) == [(n, i, float(i), i) for n in ("big", "little") for i in range(3)]
     assert sorted(tuple(r)[:5] for r in f.where("parse_error is null").collect()) == [("big", 0, 0, 1, 2), ("little", 0, 0, 1, 2)]
     assert v.where("parse_error is not null").select("mesh_id").collect()[0][0] == "bad"
@@ -82,11 +85,124 @@ def test_binary_ply_lists_of_mixed_lengths(spark, tmp_path):
     faces = [(0, 1, 2), (0, 1, 2, 3), (0, 1, 2, 3, 4), (2, 3, 4), (0, 1)]
     body = b"".join(struct.pack("<fffi", i, 0, 0, i) for i in range(5)) + b"".join(struct.pack(f"<BB{len(f)}i", 9, len(f), *f) for f in faces) + struct.pack("<d", 1)
     (tmp_path / "m.ply").write_bytes(head.encode() + body)
-    v, f = P.scan_binary_ply(spark, str(tmp_path))
+    v, f = B.scan_binary_ply(spark, str(tmp_path))
     assert sorted((r["vertex_id"], r["label"], r["label_id"]) for r in v.collect()) == [(i, None, i) for i in range(5)]
     assert sorted((r["face_id"], r["v0"], r["v1"], r["v2"]) for r in f.collect()) == [(0, 0, 1, 2), (1, 0, 1, 3), (2, 1, 2, 3), (3, 2, 3, 4)]
 
 
+def random_faces(rng, n, most):
+    return [[int(x) for x in rng.integers(0, 50, rng.choice([3, 3, 3, 4, 2, 0, most]))] for _ in range(n)]
+
+
+def split_faces(faces):
+    """Triangles as the loader splits them: three stay, four give (0,1,3), (1,2,3)."""
+    out = []
+    for f in faces:
+        out += [tuple(f)] if len(f) == 3 else [(f[0], f[1], f[3]), (f[1], f[2], f[3])] if len(f) == 4 else []
+    return out
+
+
+@pytest.mark.parametrize("range_bytes", [97, 5000])
+def test_binary_ranges_of_mixed_lists(spark, tmp_path, monkeypatch, range_bytes):
+    """Ranges that begin anywhere, records longer than a range, two lists a face, int counts, elements behind."""
+    monkeypatch.setattr(B, "CHAIN", 1 << 9)  # in this process only; tasks keep theirs
+    rng = np.random.default_rng(5)
+    want = {}
+    for name, order, word in (("little", "<", "uchar"), ("big", ">", "int")):
+        faces = random_faces(rng, 700, 60 if word == "uchar" else 400)
+        head = f"ply\nformat binary_{name}_endian 1.0\nelement vertex 90\nproperty double x\nproperty double y\nproperty double z\nelement face {len(faces)}\nproperty list {word} int vertex_indices\nproperty short kind\nproperty list uchar float uv\nelement arrow 3\nproperty int start_index\nproperty int end_index\nend_header\n"
+        count = "B" if word == "uchar" else "i"
+        body = b"".join(struct.pack(order + "ddd", i, -i, i / 2) for i in range(90))
+        for f in faces:
+            uv = [0.5] * int(rng.integers(0, 3))
+            body += struct.pack(f"{order}{count}{len(f)}ihB{len(uv)}f", len(f), *f, 7, len(uv), *uv)
+        body += b"".join(struct.pack(order + "ii", k, k + 1) for k in range(3))
+        (tmp_path / f"{name}.ply").write_bytes(head.encode() + body)
+        (tmp_path / f"{name}-cut.ply").write_bytes(head.encode() + body[:-30])
+        want[name] = split_faces(faces)
+    (tmp_path / "none.ply").write_bytes(b"ply\nformat binary_little_endian 1.0\nelement vertex 0\nproperty float x\nelement face 0\nproperty list uchar int vertex_indices\nend_header\n")
+    got = B.binary_tables(spark, str(tmp_path), range_bytes)
+    assert {n: [tuple(r)[2:] for r in got["faces"].where(F.col("mesh_id") == n).orderBy("face_id").collect()] for n in want} == want
+    assert sorted(r["face_id"] for r in got["faces"].where("mesh_id = 'big'").collect()) == list(range(len(want["big"])))
+    assert sorted(tuple(r)[:5] for r in got["vertices"].collect()) == [(n, i, float(i), float(-i), i / 2) for n in ("big", "little") for i in range(90)]
+    assert sorted(tuple(r) for r in got["arrows"].collect()) == [(n, k, k, k + 1) for n in ("big", "little") for k in range(3)]
+    assert {r["mesh_id"] for r in got["errors"].collect()} == {"big-cut", "little-cut"}
+
+
+def test_chains_equal_a_walk():
+    rng = np.random.default_rng(9)
+    props = [("a", None, "uchar"), ("l", "uchar", "short"), ("b", None, "float")]
+    raw = b"".join(struct.pack(f"<BB{n}hf", 1, n, *range(n), 0.5) for n in rng.integers(0, 9, 3000).tolist())
+    data = np.frombuffer(raw, np.uint8)
+
+    def walk(at, past):
+        n = 0
+        while at < past:
+            if at + 1 >= len(raw):
+                return -1, -1
+            at, n = at + 6 + 2 * raw[at + 1], n + 1
+        return at, n
+
+    for past in (1, 700, 9000):
+        exits, many = B._leave(data, np.arange(min(past, 60)), past, props, False)
+        assert list(zip(exits.tolist(), many.tolist(), strict=True)) == [walk(k, past) for k in range(min(past, 60))]
+    starts = B._beginnings(data, 0, 3000, len(data), props, False)
+    assert len(starts) == 3000 and (np.diff(starts) == B._ends(data, starts, props, False)[0][:-1] - starts[:-1]).all()
+
+
+@pytest.mark.parametrize("big", [False, True])
+def test_binary_files_read_as_they_were_written(spark, tmp_path, big):
+    v = spark.sql("select concat('m', id % 3) as mesh_id, id div 3 as vertex_id, id / 7D as x, 1D as y, -id / 3D as z, cast(id % 5 as int) as label from range(900)")
+    f = spark.sql("select concat('m', id % 3) as mesh_id, id div 3 as face_id, transform(sequence(0, 2 + cast(id % 2 as int)), k -> id % 100 + k) as corners from range(600)")
+    arrows = spark.sql("select 'm1' as mesh_id, 0 as pos, 5L as start_index, 6L as end_index")
+    notes = spark.sql("select 'm0' as mesh_id, 'comment metadata author someone' as line")
+    files = B.write_binary_ply(v, f, str(tmp_path / "out"), arrows, notes, big).collect()
+    assert sorted((r["mesh_id"], r["bytes"]) for r in files) == sorted((p.stem, p.stat().st_size) for p in (tmp_path / "out").glob("*.ply"))
+    assert b"comment metadata author someone" in (tmp_path / "out" / "m0.ply").read_bytes()[:200]
+    got = B.binary_tables(spark, str(tmp_path / "out"), 777)
+    assert sorted(map(tuple, got["vertices"].drop("label_id").collect())) == sorted(map(tuple, v.collect()))
+    want = {m: split_faces([r["corners"] for r in f.where(F.col("mesh_id") == m).orderBy("face_id").collect()]) for m in ("m0", "m1", "m2")}
+    assert {m: [tuple(r)[2:] for r in got["faces"].where(F.col("mesh_id") == m).orderBy("face_id").collect()] for m in want} == want
+    assert [tuple(r) for r in got["arrows"].collect()] == [("m1", 0, 5, 6)] and got["errors"].count() == 0
+
+
+def test_text_scans_of_many_splits_equal_those_of_one(spark, tmp_path):
+    """Ids and problems don't depend on where a file is cut; the files have blank and broken lines throughout."""
+    rng = np.random.default_rng(4)
+    obj, ply = [], ["ply", "format ascii 1.0", "element vertex 1500", "property float x", "property float y", "property float z", "element face 900", "property list uchar int vertex_indices", "end_header"]
+    for k in range(3000):
+        obj.append(["v 1 2 3", f"v {k} 0 0", "f 1 2 3 4", "f 1/2 2//3 3", "", "# note", "f 1 x", "v 1", "f 1 2 3 4 5 6"][int(rng.integers(0, 9))])
+    for k in range(1500):
+        ply += [f"{k} 0 0"] + [""] * int(rng.integers(0, 2))
+    for k in range(900):
+        ply.append(["3 0 1 2", "4 0 1 2 3", "5 0 1 2 3 4", "3 0 1"][int(rng.integers(0, 4))])
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "o.obj").write_text("\r\n".join(obj))
+    (tmp_path / "b" / "p.ply").write_text("\n".join(ply) + "\n")
+
+    def scan():
+        both = (P.scan_obj(spark, str(tmp_path / "a")), P.scan_ply(spark, str(tmp_path / "b")))
+        return P.read_lines(spark, str(tmp_path / "a")).select("split").distinct().count(), [{k: sorted(map(str, df.collect())) for k, df in x.items()} for x in both]
+
+    few, want = scan()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        many, got = scan()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert many > 10 > few and got == want
+    plain = [x.split() for x in obj]
+    vertices = [w for w in plain if w and w[0] == "v"]
+    assert len(want[0]["vertices"]) == len(vertices)
+    faces = sum(len(w) - 3 for w in plain if w and w[0] == "f" and "x" not in w)
+    assert len(want[0]["faces"]) == faces and len(want[0]["errors"]) == sum(w in (["v", "1"], ["f", "1", "x"]) for w in plain)
+    assert {e for e in want[0]["errors"] if "face" in e} == {f"Row(mesh_id='o', element='face', index={k}, problem='fewer than three corners')" for k, w in enumerate(plain) if w == ["f", "1", "x"]}
+
+
 EVENTS = [(1, 1, "draw", 5), (1, 2, "draw", 6), (2, 3, "draw", 5), (1, 4, "erase", 5), (2, 5, "restore", None), (2, 6, "draw", 9)]
 
 
