@@ -5,8 +5,8 @@ is their inner product.  The items' terms are the only ones that matter, so each
 task turns its documents into sparse vectors over them and, slice by slice, builds a ball
 tree: halves are split between two far vectors, and every node has its centroid and, for
 each of ``GROUPS`` groups of terms, the radius around it.  A node's products with an item
-are at most the centroid's plus, group by group, the item's length times the radius
-(Cauchy-Schwarz); both are rounded up by more than arithmetic can lose.  Nodes are
+are at most the centroid's plus, group by group, the radius times the length of the item
+in the node's own terms (Cauchy-Schwarz); both are rounded up by more than arithmetic can lose.  Nodes are
 opened best bound first until no bound reaches the k-th score found so far in the
 task, and leaves are scored exactly in integers.
 
@@ -154,9 +154,12 @@ class Tree:
         self.first[begin + 1 : end + 1] = base + np.cumsum(lengths)
 
     def bounds(self, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """What no product of a node's rows with these terms exceeds."""
-        lengths = np.sqrt(np.bincount(terms % GROUPS, weights=values.astype(float) ** 2, minlength=GROUPS))
-        return (self.centre[:, terms] @ values + self.radius @ lengths) * (1 + SAFE) + 1
+        """What no product of a node's rows with these terms exceeds; terms that none of its rows holds count for nothing."""
+        order = np.argsort(terms % GROUPS, kind="stable")
+        groups, starts = np.unique(terms[order] % GROUPS, return_index=True)
+        centre = self.centre[:, terms[order]]
+        lengths = np.sqrt(np.add.reduceat((centre > 0) * values[order].astype(float) ** 2, starts, axis=1))
+        return (centre @ values[order] + (self.radius[:, groups] * lengths).sum(1)) * (1 + SAFE) + 1
 
     def search(self, terms: np.ndarray, values: np.ndarray, best: list, k: int, ids: np.ndarray, known: np.ndarray) -> int:
         """Take the k best rows into best, (-score, no id, id) in order; the number of leaves scored."""
