@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -92,9 +92,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
 
     Returns ``keys``, ``node``, ``component``.  Edges join nodes of equal keys only; null
     ends and keys are dropped.  Groups of at most ``small`` edges are solved in a task
-    each.  Larger ones (all edges, without keys) go by alternating large and small
-    stars: each round hangs every node's larger neighbours, then its smaller ones, on
-    the smallest node it sees.
+    each.  Larger ones (all edges, without keys) are folded to forests in their
+    partitions, and what links the forests goes by alternating large and small stars:
+    each round hangs every node's larger neighbours, then its smaller ones, on the
+    smallest node it sees.
     """
     keys = list(keys)
     e = edges.select(*keys, F.greatest(src, dst).alias("_u"), F.least(src, dst).alias("_v")).where("_u <> _v").distinct()
@@ -107,8 +108,55 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
         sizes = materialise(sizes)
         found = _solved(e.join(sizes.where(F.col("_n") <= small), keys, "left_semi"), keys)
         e = materialise(e.join(sizes.where(F.col("_n") > small), keys, "left_semi"))
-    by_stars = _stars(e, keys)
-    return by_stars if found is None else found.unionByName(by_stars)
+    large = _by_contraction(e, keys)
+    return large if found is None else found.unionByName(large)
+
+
+#: Edges that a task of local contraction gathers before it folds them to a forest.
+FOLD = 1_000_000
+
+
+def _forests(e: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, root: for every node of every partition the least one that the partition's edges reach.
+
+    However many edges a node has in a partition, it comes out once; so a hub's edges are
+    folded where they are, before any shuffle.
+    """
+    names = [*keys, "_u", "_v"]
+
+    def fold(edges: pd.DataFrame) -> pd.DataFrame:
+        ends = pd.concat([edges[[*keys, c]].rename(columns={c: "_u"}) for c in ("_u", "_v")], ignore_index=True)
+        code = ends.groupby([*keys, "_u"], sort=True, dropna=False).ngroup().to_numpy()
+        first = np.unique(code, return_index=True)[1]
+        nodes = ends.iloc[first].reset_index(drop=True)
+        low = _least_reached(code[: len(edges)], code[len(edges) :], len(first))
+        return nodes.assign(_v=nodes["_u"].to_numpy()[low])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for f in frames:
+            held.append(f[names])
+            if sum(map(len, held)) > max(FOLD, 2 * len(held[0])):  # folded again once it has doubled
+                held = [fold(pd.concat(held, ignore_index=True))]
+        if held:
+            yield fold(pd.concat(held, ignore_index=True))
+
+    kinds = {f.name: f.dataType.simpleString() for f in e.schema}
+    out = e.select(*names).mapInPandas(run, ", ".join(f"`{n}` {kinds[n]}" for n in names))
+    return out.withColumnsRenamed({"_u": "node", "_v": "root"})
+
+
+def _by_contraction(e: DataFrame, keys: list[str]) -> DataFrame:
+    """Components of graphs of any size: forests of the partitions first, then rounds over the forests' roots.
+
+    A node that several partitions hold links its roots there, and only such links go to
+    the rounds.  A node's roots are no more than the partitions.
+    """
+    forest = materialise(_forests(e, keys))
+    nodes = materialise(forest.groupBy(*keys, "node").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots")))
+    links = nodes.where("size(roots) > 1").select(*keys, F.explode("roots").alias("_u"), F.col("low").alias("_v")).where("_u <> _v").distinct()
+    merged = _stars(materialise(links), keys).select(*keys, F.col("node").alias("low"), "component")
+    return nodes.select(*keys, "node", "low").join(merged, [*keys, "low"], "left").select(*keys, "node", F.coalesce("component", "low").alias("component"))
 
 
 def _stars(e: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from debitage.operators.morton import nearest
+
 M = "mesh_id"
 
 
@@ -87,8 +89,7 @@ def within_radius(probes: DataFrame, vertices: DataFrame, normals: DataFrame, ra
 
 def nearest_annotated(probes: DataFrame, annotated: DataFrame, max_distance: float) -> DataFrame:
     """probe, vertex_id, d2: the closest annotated vertex nearer than max_distance, not the probe itself; ties to the lowest id."""
-    near = _near(probes, annotated, max_distance).withColumn("d2", squared_distance()).where((F.sqrt("d2") < max_distance) & (F.col("probe") != F.col("vertex_id")))
-    return near.groupBy(M, "probe").agg(F.min(F.struct("d2", "vertex_id")).alias("m")).select(M, "probe", "m.vertex_id", "m.d2")
+    return nearest(probes, annotated, max_distance)
 
 
 def snapped(probes: DataFrame, annotated: DataFrame, snap: float) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from debitage.operators import evaluate as E
+from debitage.operators import morton
 from debitage.operators import ordering as O
 from debitage.operators import paths as P
 from debitage.operators import scars as S
@@ -278,3 +279,96 @@ def test_oldest_first_takes_explicit_orders_and_derives_the_others(spark):
     explicit = spark.createDataFrame([(2, s, 9 - s) for s in range(4)], "mesh_id int, scar_id int, temporal_order int")
     got = by_mesh(O.oldest_first(O.topological_order(nodes, older), explicit), "scar_id", "temporal_order")
     assert got == {1: {0: 4, 1: 3, 3: 2, 2: 1}, 2: {0: 9, 1: 8, 2: 7, 3: 6}}
+
+
+def test_nearest_points_whatever_the_reach(spark):
+    """Clusters, far probes, equal places and ties, against all pairs; a probe meets few cells."""
+    rng = random.Random(41)
+    points, probes = [], []
+    for m in ("a", "b", "c"):
+        own = [(rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(250)] + [(50 + rng.random() * 1e-3, 50.0, 50.0) for _ in range(120)]
+        own += [(7.0, 7.0, 7.0)] * 40 + [(float(x), float(y), -9.0) for x in range(6) for y in range(6)]
+        own = [p if m != "c" else (p[0], 0.0, 0.0) for p in own]
+        points += [(m, k, *p) for k, p in enumerate(own)]
+        probes += [(m, k, *p) for k, p in enumerate(own) if k % 3 == 0] + [(m, 10_000 + k, rng.uniform(-90, 90), rng.uniform(-90, 90), 0.5) for k in range(60)] + [(m, 20_000 + k, k + 0.5, 2.5, -9.0) for k in range(5)]
+    points.append(("one", 3, 1.0, 2.0, 3.0))
+    probes += [("one", 3, 1.0, 2.0, 3.0), ("one", 4, 1.0, 2.0, 3.5), ("none", 1, 0.0, 0.0, 0.0), ("a", None, 0.0, 0.0, 0.0)]
+    table = spark.createDataFrame(points, "mesh_id string, vertex_id long, x double, y double, z double")
+    asked = spark.createDataFrame(probes, "mesh_id string, probe long, px double, py double, pz double")
+    for reach in (0.4, 25.0, 1e6):
+        want = {}
+        for m, p, x, y, z in probes:
+            best = min((((a - x) ** 2 + (b - y) ** 2 + (c - z) ** 2, v) for n, v, a, b, c in points if n == m and v != p), default=None) if p is not None else None
+            if best and math.sqrt(best[0]) < reach:
+                want[m, p] = (best[1], pytest.approx(best[0]))
+        got = {(r["mesh_id"], r["probe"]): (r["vertex_id"], r["d2"]) for r in T.nearest_annotated(asked, table, reach).collect()}
+        assert got == want
+
+
+def test_regions_are_whole_and_near(spark):
+    rng = random.Random(43)
+    rows = [("a", k, float(k % 60), float(k // 60), 0.0) for k in range(3600)] + [("b", k, 1.0, 1.0, 1.0) for k in range(130)] + [("c", 1, rng.random(), 0.0, 0.0)]
+    got = morton.regions(spark.createDataFrame(rows, "mesh_id string, vertex_id long, x double, y double, z double"), 100).collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for r in got:
+        sizes.setdefault((r["mesh_id"], r["region"]), []).append(r["vertex_id"])
+    assert sorted(map(len, (v for (m, _), v in sizes.items() if m == "a"))) == [100] * 36 and sorted(len(v) for (m, _), v in sizes.items() if m == "b") == [30, 100]
+    spread = [max(k % 60 for k in v) - min(k % 60 for k in v) + max(k // 60 for k in v) - min(k // 60 for k in v) for (m, _), v in sizes.items() if m == "a"]
+    assert sum(spread) / len(spread) < 45  # rows of 100 ids would spread over 60
+
+
+@pytest.mark.parametrize("by_place", [False, True])
+def test_paths_over_many_regions(spark, by_place):
+    """A grid of 40 x 40 in regions of 100 vertices: costs as by Dijkstra, few rounds, paths of edges; one-way, cut-off and unknown ends."""
+    side, rng = 40, random.Random(47)
+    cost = {}
+    for y in range(side):
+        for x in range(side):
+            for dx, dy in ((1, 0), (0, 1), (1, 1)):
+                if x + dx < side and y + dy < side:
+                    a, b = y * side + x, (y + dy) * side + x + dx
+                    cost[a, b], cost[b, a] = rng.uniform(0.1, 3), rng.uniform(0.1, 3)
+    cost |= {(5000, 5001): 1.0, (5001, 0): 0.5}
+    rows = [(m, a, b, c if m == "m" else 1.0) for m in ("m", "flat") for (a, b), c in cost.items()]
+    costs = spark.createDataFrame(rows, "mesh_id string, src long, dst long, cost double")
+    near = {}
+    for a, b in cost:
+        near.setdefault(a, []).append(b)
+
+    def best(start, step):
+        done, queue = {start: 0.0}, [(0.0, start)]
+        while queue:
+            d, u = heapq.heappop(queue)
+            if d <= done[u]:
+                for v in near.get(u, ()):
+                    if d + step(u, v) < done.get(v, math.inf):
+                        done[v] = d + step(u, v)
+                        heapq.heappush(queue, (done[v], v))
+        return done
+
+    ends = [(0, side * side - 1), (side - 1, side * (side - 1)), (830, 830), (7, 8), (0, 5000), (5000, 1599), (9999, 3), (3, 9999)]
+    asked = [(f"{m}{k}", m, *e) for m in ("m", "flat") for k, e in enumerate(ends)]
+    requests = spark.createDataFrame(asked, "request string, mesh_id string, src long, dst long")
+    places = None
+    if by_place:
+        v = [(m, k, float(k % side), float(k // side), 0.0) for m in ("m", "flat") for k in [*range(side * side), 5000, 5001]]
+        places = morton.regions(spark.createDataFrame(v, "mesh_id string, vertex_id long, x double, y double, z double"), 100).cache()
+    got = {r["request"]: r for r in P.shortest_paths(requests, costs, places, size=100).collect()}
+    assert len(got) == len(asked)
+    for name, m, s, t in asked:
+        step = (lambda a, b: cost[a, b]) if m == "m" else (lambda a, b: 1.0)
+        want = 0.0 if s == t else best(s, step).get(t)
+        path = got[name]["path"]
+        if want is None:
+            assert path == [] and got[name]["cost"] is None
+            continue
+        assert got[name]["cost"] == pytest.approx(want, abs=1e-6) and path[0] == s and path[-1] == t
+        assert sum(step(a, b) for a, b in zip(path, path[1:], strict=False)) == pytest.approx(want, abs=1e-6)
+    if not by_place:
+        return
+    graph = P._graph(costs.where("mesh_id = 'flat'"), places, 100)
+    start = spark.createDataFrame([("r", "flat", side * side - 1, 0, 0.0)], "request string, mesh_id string, dst long, v long, cost double")
+    start = start.withColumn("prev", F.lit(None).cast("long")).join(places.select("mesh_id", F.col("vertex_id").alias("v"), "region"), ["mesh_id", "v"])
+    _, rounds = P.relaxed(requests, graph, start, 10.0)
+    assert 2 * rounds < len(got["flat0"]["path"])

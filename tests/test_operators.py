@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from debitage.iterate import connected_components
 from debitage.operators import evaluate as E
@@ -88,6 +89,34 @@ def test_components_random(spark):
     assert {r["component"] for r in connected_components(star).collect()} == {5}
 
 
+def test_hubs_are_folded_before_the_rounds(spark, monkeypatch):
+    """Two hubs of thousands of leaves, long chains and random edges over many partitions; names as nodes."""
+    from debitage import iterate
+
+    monkeypatch.setattr(iterate, "FOLD", 50)  # folded again and again in a partition
+    rng = random.Random(31)
+    pairs = [("hub", f"a{k}") for k in range(2000)] + [(f"b{k}", "zz") for k in range(1500)] + [(f"c{k}", f"c{k + 1}") for k in range(300)]
+    pairs += [(f"d{rng.randrange(900)}", f"d{rng.randrange(900)}") for _ in range(500)] + [(None, "x"), ("x", "x")]
+    rng.shuffle(pairs)
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    table = spark.createDataFrame(pairs, "src string, dst string").repartition(13)
+    got = connected_components(table).collect()
+    assert {r["node"]: r["component"] for r in got} == {v: find(v) for v in root} and len(got) == len(root)
+    edges = table.select(F.greatest("src", "dst").alias("_u"), F.least("src", "dst").alias("_v")).where("_u <> _v")
+    most = iterate._forests(edges, []).groupBy("node").count().agg(F.max("count")).first()[0]
+    assert most <= 13  # a hub comes once from each partition
+
+
 def test_segmentation_fixture(spark):
     faces = spark.createDataFrame([(m, i, i, i + 1, i + 2) for m in "ab" for i in range(6)], "mesh_id string, face_id long, v0 long, v1 long, v2 long")
     scores = spark.createDataFrame([("a", i, p) for i, p in enumerate([0.05, 0.05, 0.45, 0.45, 0.05, 0.05])] + [("b", i, 0.1) for i in range(6)], "mesh_id string, face_id long, p double")
