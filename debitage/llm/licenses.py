@@ -4,9 +4,10 @@ Every rolling pair of words of a text is hashed and joined to the positions of t
 same pair in the license templates.  A hit at word p of a text and word q of a
 template lies on diagonal p - q: a copy of the template piles its hits on one
 diagonal, one with words put in or left out on neighbouring ones.  Hits are counted
-by diagonal, neighbouring diagonals are merged, and a span is verified by its words
-(the join compares them, not the hashes alone) and by the share of the template that
-it covers.  The templates are a fixed table of a few kilobytes, so the join is a
+by diagonal, each diagonal is merged with those up to ``DRIFT`` behind it, which is a
+stretch of the template's length and so many words more, and a span is verified: its
+words are the template's (the join compares them, not the hashes alone), and what counts
+is the longest run of its pairs that stand in the template's order in the text.  The templates are a fixed table of a few kilobytes, so the join is a
 broadcast one and nothing but hits and one short row a text is shuffled.
 """
 
@@ -38,7 +39,7 @@ NOTICES = {
 }
 #: Share of a notice's word pairs that a span must cover.
 COVERED = 0.8
-#: Diagonals at most so far apart are one span: so many words put in or left out between two of its parts.
+#: Diagonals of one span are at most so far apart: so many words are put in, or left out, in all.
 DRIFT = 3
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -61,6 +62,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAK), "")
 
 
+def _in_order(near: Column, pairs: Column) -> Column:
+    """The most pairs of a span (diagonal, covered as bits of q) that follow one another both in the text and in the template."""
+    hits = F.flatten(F.transform(near, lambda x: F.transform(F.filter(F.sequence(F.lit(0), pairs - 1), lambda q: F.getbit(x.covered, q) == 1), lambda q: F.struct((x.diagonal + q).alias("p"), (-q).alias("back")))))
+    # by place in the text, of one place the later pair first, so that it isn't counted behind the other
+    longest = F.aggregate(
+        F.array_sort(hits),
+        F.transform(F.sequence(F.lit(0), pairs - 1), lambda q: F.lit(0)),
+        lambda best, h: F.transform(best, lambda v, q: F.when(q == -h.back, F.greatest(v, 1 + F.coalesce(F.array_max(F.slice(best, F.lit(1), -h.back)), F.lit(0)))).otherwise(v)),
+    )
+    return F.array_max(longest)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -84,11 +97,12 @@ def scan(docs: DataFrame) -> DataFrame:
     hits = hits.select("row_key", "t", "base", "label", "pairs", "q", (F.col("p") - 1 - F.col("q")).alias("diagonal"), *(F.when(F.col("t") < 0, F.col(c)).alias(c) for c in ("doc_id", "n_words")))
     # one shuffle, by row, serves all that follows
     diagonals = hits.repartition("row_key").groupBy("row_key", "t", "base", "label", "pairs", "diagonal").agg(F.expr("bit_or(shiftleft(1L, q))").alias("covered"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
-    by = Window.partitionBy("row_key", "t").orderBy("diagonal")
-    apart = F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT
-    # a base phrase stands on one diagonal, a notice on neighbouring ones
-    opens = F.when(F.col("base"), F.col("diagonal")).otherwise(F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(by))
-    spans = diagonals.withColumn("span", opens).groupBy("row_key", "t", "base", "label", "pairs", "span").agg(F.expr("bit_count(bit_or(covered))").alias("n"), F.min("diagonal").cast("long").alias("at"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
+    behind = Window.partitionBy("row_key", "t").orderBy("diagonal").rangeBetween(0, DRIFT)
+    # a base phrase stands on one diagonal, a notice on neighbouring ones; what lies on one is in order
+    near = diagonals.withColumn("near", F.when(~F.col("base") & (F.col("t") >= 0), F.collect_list(F.struct("diagonal", "covered")).over(behind)))
+    alone = F.coalesce(F.size("near"), F.lit(1)) <= 1
+    n = F.when(alone, F.bit_count("covered")).otherwise(_in_order(F.col("near"), F.col("pairs")))
+    spans = near.select("row_key", "t", "base", "label", "pairs", "doc_id", "n_words", n.alias("n"), F.col("diagonal").cast("long").alias("at"))
     whole = F.col("base") & (F.col("n") == F.col("pairs"))
     noted = ~F.col("base") & (F.col("t") >= 0)
     found = spans.groupBy("row_key").agg(
@@ -125,16 +139,19 @@ def oracle() -> str:
         return ", ".join(out)
 
     return rf"""
-    with tpl(t, base, label, pairs, q, u, v) as (values {values()}),
+    with recursive tpl(t, base, label, pairs, q, u, v) as (values {values()}),
     w as (select doc_id, row_number() over () as rk, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
     p as (select rk, unnest(range(1, len(w))) as i, w from w where len(w) > 1),
     pairs as (select rk, i - 1 as p, w[i] as u, w[i + 1] as v from p),
-    hit as (select distinct rk, t, base, label, pairs, p - q as d, q from pairs join tpl using (u, v)),
+    hit as materialized (select distinct rk, t, base, label, pairs, p - q as d, q from pairs join tpl using (u, v)),
     diag as (select rk, t, base, label, pairs, d, count(distinct q) as n from hit group by all),
     b as (select rk, count(*) as n_base, min(d) as first_word, max(d) as last_word, list(distinct label) as base_set from diag where base and n = pairs group by rk),
-    s as (select *, sum(case when gap is null or gap > {DRIFT} then 1 else 0 end) over (partition by rk, t order by d) as span from (select *, d - lag(d) over (partition by rk, t order by d) as gap from diag where not base)),
-    c as (select s.rk, s.t, s.label, s.pairs, span, count(distinct q) as n from s join hit on hit.rk = s.rk and hit.t = s.t and hit.d = s.d group by all),
-    o as (select rk, max(n / pairs) as best, list(distinct label) filter (where n >= {COVERED} * pairs) as own_set from c group by rk)
+    notes as materialized (select rk, t, label, pairs, d + q as p, q from hit where not base),
+    lows as (select distinct rk, t, p - q as low from notes),
+    chain(rk, t, low, p, q, n) as (select rk, t, low, p, q, 1 from lows join notes using (rk, t) where p - q between low and low + {DRIFT}
+      union select c.rk, c.t, low, x.p, x.q, n + 1 from chain c join notes x on x.rk = c.rk and x.t = c.t and x.p > c.p and x.q > c.q and x.p - x.q between low and low + {DRIFT}),
+    c as (select rk, t, max(n) as n from chain group by all),
+    o as (select rk, max(n / pairs) as best, list(distinct label) filter (where n >= {COVERED} * pairs) as own_set from c join (select distinct t, label, pairs from tpl) using (t) group by rk)
     select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
       array_to_string(list_sort(coalesce(base_set, [])), ',') as base_labels,
       array_to_string(list_sort(list_distinct(list_concat(coalesce(base_set, []), coalesce(own_set, [])))), ',') as labels,

@@ -16,6 +16,7 @@ container itself or above it they mean nothing.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -51,6 +52,9 @@ ARTICLE = frozenset("article main".split())
 NO_ARTICLE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup share sharing social related recommended widget pagination pager login toolbar complementary contentinfo search".split()
 )
+#: Parts of a longer name that tell of what others wrote, and how such a part may end.
+OTHERS = frozenset("comment comments commenter commentlist commentarea commentbox reply replies disqus advert adverts advertisement advertisements sponsored".split())
+OTHERS_END = ("comments", "replies")
 PARTS = frozenset("area bar block body box button buttons container content form global inner item items left link links list main menu nav page panel right section site text thread top widget wrap wrapper".split())
 
 #: Votes for template that make a block template, as pairs of pages and as a share of them.
@@ -58,12 +62,14 @@ VOTES = 2
 CONSTANT = 0.95
 #: Two pages that share so much of their text are copies of one article.
 COPY = 0.5
-#: Share of the host's unlinked words that its container has, and of a marked article to be it; share of linked words in a list of links.
+#: Share of the host's unlinked words that its container has; of those words, or of the host's pages, that a marked article has to be it; share of linked words in a list of links.
 MASS, MARKED, LINKED = 0.7, 0.5, 0.6
 #: Part of a host's pages that a slot must be on to count for its wrapper: a page of n slots has at most n / RARE for its host.
 RARE = 0.02
 #: Levels of a tree; children of a node beyond which equal signatures fold even if apart and are matched by signature.
 DEEP, WIDE = 60, 16
+#: Pairs of nodes that an alignment of two pages tries before it matches children by signature.
+PRODUCT = 50_000
 #: Pages of one chain, about; wrappers that are broadcast at most, else they are joined.
 CHAIN = 500
 BROADCAST = 100_000
@@ -72,11 +78,11 @@ BROADCAST = 100_000
 class Node:
     """An open element: its path, the depths of the last elements above or at it that the priors exclude, whether it is in a marked article."""
 
-    __slots__ = ("tag", "signature", "path", "depth", "bad", "soft", "marked", "children")
+    __slots__ = ("tag", "signature", "path", "depth", "bad", "soft", "marked", "children", "parent", "part", "holds", "number")
 
-    def __init__(self, tag: str, names: list[str], parent: Node | None):
-        self.tag, self.children = tag, []
-        self.signature = ".".join([tag, *[n for n in names if not any(c.isdigit() for c in n)][:2]]).replace("/", "_")
+    def __init__(self, tag: str, names: list[str], parent: Node | None, number: int = 0):
+        self.tag, self.children, self.parent, self.part, self.holds, self.number = tag, [], parent, False, False, number
+        self.signature = ".".join([tag, *[n for n in map(str.lower, names) if not any(c.isdigit() for c in n)][:2]]).replace("/", "_")
         if parent is None:
             self.path, self.depth, self.bad, self.soft, self.marked = "", 0, 0, 0, ""
             return
@@ -87,20 +93,29 @@ class Node:
             self.soft = self.depth  # the article's own: its headings stay
         elif tag in NO_ARTICLE or (tag not in ("html", "body", *ARTICLE) and any(map(excluded, names))):
             self.bad = self.depth
+        elif tag not in ("html", "body", *ARTICLE) and any(map(others, names)):
+            self.bad, self.part = self.depth, True
         if tag in ARTICLE:
             self.marked = self.path
 
 
 def excluded(name: str) -> bool:
     """Whether a class, id or role name tells that an element is no article."""
+    name = name.lower()
     if name in NO_ARTICLE_NAMES:
         return True
     parts = re.split(r"[-_]+", name)
     return len(parts) == 2 and any(a in NO_ARTICLE_NAMES and (b in PARTS or b in NO_ARTICLE_NAMES) for a, b in (parts, parts[::-1]))
 
 
+def others(name: str) -> bool:
+    """Whether a name has a part that tells of readers' comments or adverts; such an element may still hold the whole page."""
+    parts = [p.lower() for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name)]
+    return any(p in OTHERS or p.endswith(OTHERS_END) for p in parts)
+
+
 def _names(attributes: str) -> list[str]:
-    return [w for m in NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()] if "=" in attributes else []
+    return [w for m in NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").split()] if "=" in attributes else []
 
 
 @dataclass(slots=True)
@@ -116,6 +131,8 @@ class Block:
     marked: str
     words: int
     links: int
+    node: Node
+    article: int
 
 
 def blocks(page: str | None) -> tuple[list[Block], Node]:
@@ -124,7 +141,12 @@ def blocks(page: str | None) -> tuple[list[Block], Node]:
     root = Node("#root", [], None)
     stack, found, run, linked = [root], [], [], []
     open_at: dict[str, list[int]] = {}
-    link = False
+    link, number, parts = False, 0, False
+    inside_article: list[int] = []
+
+    def article_of(node: Node) -> int:
+        """The number of the innermost marked element around a block."""
+        return inside_article[-1] if inside_article else 0
 
     def flush() -> None:
         nonlocal run, linked
@@ -136,12 +158,15 @@ def blocks(page: str | None) -> tuple[list[Block], Node]:
             node = stack[-1]
             inside = len("".join(linked).split()) if linked else 0
             node.children.append(len(found))
-            found.append(Block(" ".join(words), node.path, node.tag, node.depth, node.bad, node.soft, node.marked, len(words), min(inside, len(words))))
+            found.append(Block(" ".join(words), node.path, node.tag, node.depth, node.bad, node.soft, node.marked, len(words), min(inside, len(words)), node, article_of(node)))
         run, linked = [], []
 
     def pop(k: int) -> None:
         while len(stack) > k:
-            open_at[stack.pop().tag].pop()
+            node = stack.pop()
+            open_at[node.tag].pop()
+            if node.tag in ARTICLE:
+                inside_article.pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -203,7 +228,16 @@ def blocks(page: str | None) -> tuple[list[Block], Node]:
             if stack[k].tag not in LEAVES:
                 break
         if tag not in VOID:
-            node = Node(tag, _names(m[3]), stack[-1])
+            number += 1
+            node = Node(tag, _names(m[3]), stack[-1], number)
+            parts |= node.part
+            if tag in ARTICLE:
+                inside_article.append(number)
+            if tag in ("h1", "main"):
+                for n in reversed(stack):
+                    if n.holds:
+                        break
+                    n.holds = True
             if node.depth < DEEP:  # what lies deeper keeps its kind, but hangs from the node at that depth
                 stack[-1].children.append(node)
             else:
@@ -211,9 +245,28 @@ def blocks(page: str | None) -> tuple[list[Block], Node]:
             open_at.setdefault(tag, []).append(len(stack))
             stack.append(node)
     flush()
+    if parts:
+        _reconsider(found)
     return found, root
 
 
+def _reconsider(found: list[Block]) -> None:
+    """An element named by a part of its name only, which holds the page's headline, is no list of comments: what lies above it decides."""
+    deepest: dict[int, int] = {}
+    for b in found:
+        way, node = [], b.node
+        while node is not None and node.number not in deepest:
+            way.append(node)
+            node = node.parent
+        bad = deepest[node.number] if node is not None else 0
+        for n in reversed(way):
+            above = n.parent.bad if n.parent is not None else 0
+            if n.bad != above and not (n.part and n.holds):
+                bad = n.bad
+            deepest[n.number] = bad
+        b.bad = bad
+
+
 def _raw_end(page: str, tag: str, at: int) -> int:
     """The place behind the end tag of a raw element, -1 without one."""
     m = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I).search(page, at)
@@ -295,24 +348,43 @@ def _by_signature(kids: list[Folded]) -> list[Folded]:
     return list(out.values())
 
 
+def _shape(node: Folded, known: dict[int, str]) -> str:
+    """The digest of a node's signatures, its own and all below it."""
+    if id(node) not in known:
+        known[id(node)] = hashlib.md5("".join([node[0], "(", *(_shape(k, known) for k in node[2]), ")"]).encode()).hexdigest()
+    return known[id(node)]
+
+
 def align(a: Folded, b: Folded) -> tuple[int, list[tuple[str, list, list]]]:
     """Simple tree matching: the size of the largest top-down ordered match, and the matched nodes with text.
 
-    A node is (path, hashes in a, hashes in b).  Children of a node of over WIDE of them
-    are matched by signature instead: they are folded to one each.
+    A node is (path, hashes in a, hashes in b).  Trees of one shape match node by node.
+    Children of a node of over WIDE of them, and all once PRODUCT pairs of nodes have been
+    tried, are matched by signature instead: they are folded to one each.
     """
+    shapes: dict[int, str] = {}
+    _shape(a, shapes), _shape(b, shapes)
+    return _align(a, b, shapes, [PRODUCT])
+
+
+def _align(a: Folded, b: Folded, shapes: dict[int, str], left: list[int]) -> tuple[int, list[tuple[str, list, list]]]:
     if a[0] != b[0]:
         return 0, []
+    left[0] -= 1
     mine = [("", a[1], b[1])] if a[1] or b[1] else []
     n, m = len(a[2]), len(b[2])
     if not n or not m:
         return 1, mine
-    if max(n, m) > WIDE:
-        left, right = (_by_signature(x[2]) for x in (a, b))
-        by = {y[0]: y for y in right}
-        chosen = [(x, align(x, by[x[0]])) for x in left if x[0] in by]
-        return 1 + sum(r[0] for _, r in chosen), mine + [(f"{x[0]}/{p}" if p else x[0], s, t) for x, r in chosen for p, s, t in r[1]]
-    pair = [[align(x, y) for y in b[2]] for x in a[2]]
+    named = lambda x, found: [(f"{x[0]}/{p}" if p else x[0], s, t) for p, s, t in found]
+    if id(a) in shapes and shapes[id(a)] == shapes.get(id(b)):
+        both = [(x, _align(x, y, shapes, left)) for x, y in zip(a[2], b[2], strict=True)]
+        return 1 + sum(r[0] for _, r in both), mine + [hit for x, r in both for hit in named(x, r[1])]
+    if max(n, m) > WIDE or left[0] <= 0:
+        one, two = (_by_signature(x[2]) for x in (a, b))
+        by = {y[0]: y for y in two}
+        chosen = [(x, _align(x, by[x[0]], shapes, left)) for x in one if x[0] in by]
+        return 1 + sum(r[0] for _, r in chosen), mine + [hit for x, r in chosen for hit in named(x, r[1])]
+    pair = [[_align(x, y, shapes, left) for y in b[2]] for x in a[2]]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
         for j in range(1, m + 1):
@@ -320,7 +392,7 @@ def align(a: Folded, b: Folded) -> tuple[int, list[tuple[str, list, list]]]:
     leaves, i, j = [], n, m
     while i and j:
         if pair[i - 1][j - 1][0] and best[i][j] == best[i - 1][j - 1] + pair[i - 1][j - 1][0]:
-            leaves += [(f"{a[2][i - 1][0]}/{p}" if p else a[2][i - 1][0], x, y) for p, x, y in pair[i - 1][j - 1][1]]
+            leaves += named(a[2][i - 1], pair[i - 1][j - 1][1])
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
@@ -330,32 +402,46 @@ def align(a: Folded, b: Folded) -> tuple[int, list[tuple[str, list, list]]]:
 
 
 def slots(found: list[Block]) -> dict[str, list]:
-    """path -> [words, linked words, words that no prior excludes, marked article]."""
+    """path -> [words, linked words, words that no prior excludes, marked article, whether the page has but one of that article]."""
     out: dict[str, list] = {}
+    of: dict[str, set[int]] = {}
     for b in found:
-        s = out.setdefault(b.path, [0, 0, 0, b.marked])
+        of.setdefault(b.marked, set()).add(b.article)
+    for b in found:
+        s = out.setdefault(b.path, [0, 0, 0, b.marked, int(len(of[b.marked]) == 1)])
         s[0] += b.words
         s[1] += b.links
         s[2] += 0 if b.bad else b.words - b.links
     return out
 
 
-def choose(held: dict[str, list]) -> tuple[str, set[str]]:
-    """The container's path and the paths of lists of links, from what slots hold."""
+def choose(held: dict[str, list], pages: int = 1) -> tuple[str, set[str]]:
+    """The container's path and the paths of lists of links, from what slots hold on so many pages.
+
+    A marked article that stands alone on half of the pages is the container, however
+    much stands outside it (an ``article`` before a ``main``); else the element with most words.
+    """
     dense = {p for p, s in held.items() if s[1] >= LINKED * s[0] > 0}
     mass = {p: s[2] for p, s in held.items() if s[2] and p not in dense}
     mass = mass or {p: s[0] - s[1] for p, s in held.items() if p not in dense} or {p: s[0] for p, s in held.items()}
     total = sum(mass.values())
     of: dict[str, int] = {}
     marked: dict[str, int] = {}
+    alone: dict[str, int] = {}
     for p, w in mass.items():
         parts = p.split("/")
         for k in range(len(parts) + 1):
             if k == 0 or parts[k - 1].split(".")[0] in CONTAINER:
                 of["/".join(parts[:k])] = of.get("/".join(parts[:k]), 0) + w
-        if held[p][3]:
-            marked[held[p][3]] = marked.get(held[p][3], 0) + w
-    best = max(marked, key=lambda p: (marked[p], p.count("/")), default=None)
+        if mark := held[p][3]:
+            marked[mark] = marked.get(mark, 0) + w
+            alone[mark] = max(alone.get(mark, 0), held[p][4])
+    weight = lambda p: (marked[p], p.count("/"))
+    sure = [p for p in marked if alone[p] >= MARKED * pages]
+    articles = [p for p in sure if p.rpartition("/")[2].split(".")[0] == "article"]
+    if sure:
+        return max(articles or sure, key=weight), dense
+    best = max(marked, key=weight, default=None)
     if best is not None and marked[best] >= MARKED * total:
         return best, dense
     heavy = [p for p, w in of.items() if w >= MASS * total]
@@ -403,13 +489,13 @@ def main_text(page: str | None, wrapper: tuple[str, set, set] | None = None) ->
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("path", pa.string()), ("words", pa.int64()), ("links", pa.int64()), ("plain", pa.int64()), ("marked", pa.string())]))
+    kind = pa.list_(pa.struct([("path", pa.string()), ("words", pa.int64()), ("links", pa.int64()), ("plain", pa.int64()), ("marked", pa.string()), ("alone", pa.int64())]))
     for b in slices(batches, "html"):
         trees, held = [], []
         for t in b.column(2):
             found, root = blocks(t.as_py())
             trees.append(json.dumps(fold(root, found), separators=(",", ":"), ensure_ascii=False))
-            held.append([{"path": p, "words": s[0], "links": s[1], "plain": s[2], "marked": s[3]} for p, s in slots(found).items()])
+            held.append([{"path": p, "words": s[0], "links": s[1], "plain": s[2], "marked": s[3], "alone": s[4]} for p, s in slots(found).items()])
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(trees, pa.string()), pa.array(held, kind)], ["host", "place", "tree", "slots"])
 
 
@@ -438,15 +524,15 @@ def host_of(url) -> object:
 
 
 def _chosen(g: pd.DataFrame) -> pd.DataFrame:
-    held = {p: [w, n, k, m] for p, w, n, k, m in zip(g["path"], g["words"], g["links"], g["plain"], g["marked"], strict=True)}
-    container, dense = choose(held)
+    held = {p: list(x) for p, *x in zip(g["path"], g["words"], g["links"], g["plain"], g["marked"], g["alone"], strict=True)}
+    container, dense = choose(held, int(g["pages"].iloc[0]))
     return pd.DataFrame({"host": [g["host"].iloc[0]], "container": [container], "dense": [sorted(dense)]})
 
 
 def induce(pages: DataFrame) -> DataFrame:
     """host, container, dense (paths), template (path and crc32 of texts): the wrapper of each host of two pages or more."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("place"), F.col("html").cast("string")).where("host <> ''")
-    trees = materialise(rows.mapInArrow(_trees, "host string, place long, tree string, slots array<struct<path:string,words:long,links:long,plain:long,marked:string>>"))
+    trees = materialise(rows.mapInArrow(_trees, "host string, place long, tree string, slots array<struct<path:string,words:long,links:long,plain:long,marked:string,alone:long>>"))
     sizes = materialise(trees.groupBy("host").agg(F.count("*").alias("pages")).where("pages > 1"))
     # hosts of more than one chain: of N pages at most N / CHAIN hosts, handed to every task while they are few
     big = sizes.select("host", (F.floor(F.col("pages") / CHAIN) + 1).alias("chains")).where("chains > 1")
@@ -461,7 +547,7 @@ def induce(pages: DataFrame) -> DataFrame:
     asked = votes.where("text is null").select("host", "path", F.col("n").alias("asked"))
     constant = votes.where("text is not null").join(asked, ["host", "path"]).where(F.col("n") >= CONSTANT * F.col("asked"))
     template = constant.groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("template"))
-    held = trees.select("host", F.explode("slots").alias("s")).select("host", "s.*").groupBy("host", "path").agg(F.count("*").alias("on"), *(F.sum(c).alias(c) for c in ("words", "links", "plain")), F.max("marked").alias("marked"))
+    held = trees.select("host", F.explode("slots").alias("s")).select("host", "s.*").groupBy("host", "path").agg(F.count("*").alias("on"), *(F.sum(c).alias(c) for c in ("words", "links", "plain", "alone")), F.max("marked").alias("marked"))
     held = held.join(sizes, "host").where(F.col("on") >= RARE * F.col("pages"))
     chosen = held.groupBy("host").applyInPandas(_chosen, "host string, container string, dense array<string>")
     return chosen.join(template, "host", "left")

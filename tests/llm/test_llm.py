@@ -286,7 +286,7 @@ def test_toxicity_learns_on_held_out_rows(spark):
 def test_license_scan_equals_duckdb(spark):
     import duckdb
 
-    texts = [*ODD, "MIT  license, mit License", "the GNU general; public License version 3", "cc by nc 4 0", "licenses by apache", "apache license version 2 oh 0", "Licence ＡＰＡＣＨＥ apache\x00license", "apache lİcense MIT Lıcense", "gnu general public license of \u212a apache licence", "cc by cc by", *["Released under the MIT License. " * 30] * 3]
+    texts = [*ODD, "MIT  license, mit License", "the GNU general; public License version 3", "cc by nc 4 0", "licenses by apache", "apache license version 2 oh 0", "Licence ＡＰＡＣＨＥ apache\x00license", "apache lİcense MIT Lıcense", "gnu general public license of \u212a apache licence", "cc by cc by", "cc by " * 30 + "x y z " * 20 + "by nc or nc 4 and then 4 0", "cc by and nc 4 0", "cc by nc or rather 4 0", "4 0 nc 4 by nc cc by", "nc 4 0 cc by nc", *["Released under the MIT License. " * 30] * 3]
     rows = docs(spark, texts)
     con = duckdb.connect()
     con.register("_d", rows.toPandas())
@@ -297,6 +297,8 @@ def test_license_scan_equals_duckdb(spark):
     got = sorted(tuple(x) for x in licenses.scan(rows).select(*names).collect())
     assert got == want
     assert licenses.scan(docs(spark, [])).count() == 0
+    chained = [r["labels"] for r in licenses.scan(docs(spark, ["cc by " * 30 + "x y z " * 20 + "by nc or nc 4 and then 4 0", "a cc by x nc 4 0 b", "see cc by nc 4 0 here"])).collect()]
+    assert sorted(chained) == ["cc-by", "cc-by", "cc-by,cc-by-nc-4.0"]  # pairs that stand far apart make no notice
 
 
 # 7
@@ -497,7 +499,37 @@ def test_small_hosts_and_copies(spark):
     assert [text[10 + k] for k in range(3)] == [w for w, _ in three] and text[None] == three[0][0]
 
 
-HOSTILE = {"unclosed tags": "<a " * 300_000, "deep": "<div>x" * 100_000, "quotes": '<a ">' * 100_001, "less": "<" * 500_000, "siblings": "<p>x" * 150_000, "lists": "<ul><li><p>x</p></li></ul>" * 20_000, "kinds": "".join(f'<div class="{"".join(chr(97 + int(c)) for c in str(k))}">x</div>' for k in range(20_000)), "raw": "<script>" * 100_000, "notes": "<!--" * 200_000}
+READERS = ['<section id="reader-comments">{}</section>', '<div class="user-comments">{}</div>', '<div class="post-comments">{}</div>', '<div class="reader_comments">{}</div>', '<div id="commentArea">{}</div>', '<div class="readercomments">{}</div>', '<ol class="commentlist">{}</ol>', '<div class="x3">{}</div>']
+
+
+@pytest.mark.parametrize("where", ["beside", "inside"])
+@pytest.mark.parametrize("readers", READERS)
+def test_articles_win_over_longer_comments(spark, readers, where):
+    """Comments are three times as long as the article; beside a marked one no name is needed."""
+    if where == "inside" and "x3" in readers:
+        return
+    rng = random.Random(readers)
+    rows, want = [], {}
+    for k in range(12):
+        paragraphs = [words(rng, 20), words(rng, 25)]
+        comments = "".join(f"<div><b>{words(rng, 2)}</b><p>{words(rng, 40)}</p></div>" for _ in range(4))
+        end = ("</article>", readers.format(comments))
+        body = "".join(end if where == "beside" else end[::-1])
+        rows.append((k, f"https://h.example/{k}", f'<html><body><div id="top" class="wrap comments-open"><article class="entry"><h1>Title {k}</h1><p>{paragraphs[0]}</p><p>{paragraphs[1]}</p>{body}</div></body></html>'))
+        want[k] = "\n\n".join([f"Title {k}", *paragraphs])
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert wrapper.main_text(rows[0][2]) == want[0]
+
+
+def test_teasers_are_not_the_article():
+    """Many marked elements a page are a list; the long unmarked text is the article."""
+    text = "many words of text " * 60
+    page = f"<body><div><h1>Title</h1><p>{text}</p></div><div class='more'>{''.join(f'<article><p>see {k}</p></article>' for k in range(5))}</div></body>"
+    assert wrapper.main_text(page) == f"Title\n\n{text.strip()}"
+
+
+HOSTILE = {"unclosed tags": "<a " * 300_000, "deep": "<div>x" * 100_000, "quotes": '<a ">' * 100_001, "less": "<" * 500_000, "siblings": "<p>x" * 150_000, "lists": "<ul><li><p>x</p></li></ul>" * 20_000, "kinds": "".join(f'<div class="{"".join(chr(97 + int(c)) for c in str(k))}">x</div>' for k in range(20_000)), "nested": "<body>" + "".join("<div>" + "".join("<section>" + "".join(f"<{t}>x{i}{j}{k}</{t}>" for k, t in enumerate(["div", "section"] * 8)) + "</section><div>y</div>" for j in range(8)) + "</div><section>z</section>" for i in range(8)), "raw": "<script>" * 100_000, "notes": "<!--" * 200_000}
 
 
 @pytest.mark.parametrize("kind", HOSTILE)
@@ -509,6 +541,8 @@ def test_hostile_pages_cost_what_they_hold(kind):
     text = wrapper.main_text(page)
     folded = wrapper.fold(*wrapper.blocks(page)[::-1])
     wrapper.align(folded, folded)
+    other = wrapper.fold(*wrapper.blocks(page[: len(page) * 9 // 10] + "<p>end")[::-1])  # of another shape
+    wrapper.align(folded, other)
     assert time.process_time() - began < 20
     # of elements each inside the last, the container is the one below which most text stands
     share = 0.99 if kind == "deep" else 1
