@@ -2,67 +2,117 @@
 
 from __future__ import annotations
 
+import functools
+import heapq
 from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from debitage.iterate import MAX_ROUNDS, tabled
+from debitage.iterate import MAX_ROUNDS, SMALL, tabled
 from debitage.operators.topology import M
 
 
-def _shortest(edges: dict[tuple[int, int], str], start: int, goal: int) -> list[tuple[int, int]] | None:
-    """The comparisons along a breadth-first path from start to goal."""
-    came, queue = {start: None}, deque([start])
-    follow: dict[int, list[int]] = {}
-    for a, b in edges:
-        follow.setdefault(a, []).append(b)
-    while queue:
-        at = queue.popleft()
-        if at == goal:
-            path = []
-            while came[at] is not None:
-                path.append((came[at], at))
-                at = came[at]
-            return path[::-1]
-        for b in follow.get(at, []):
-            if b not in came:
-                came[b] = at
-                queue.append(b)
-    return None
-
+class _Comparisons:
+    """Comparisons in order of entry, with all scars (placed beforehand) in a row where every younger one stands before its older ones.
 
-def _replay(log: pd.DataFrame) -> tuple[dict[tuple[int, int], str], list[tuple[int, str]]]:
-    edges: dict[tuple[int, int], str] = {}
-    outcomes = []
+    A comparison that agrees with the row closes no cycle and costs nothing more.  Else
+    only scars between its two places can be on a path against it: they are searched from
+    both ends, and if there is none, those found change places among themselves.
+    """
 
-    def add(a: int, b: int, source: str) -> str:
+    def __init__(self) -> None:
+        self.source: dict[tuple[int, int], str] = {}
+        self.after: dict[int, dict[int, None]] = {}
+        self.before: dict[int, dict[int, None]] = {}
+        self.place: dict[int, int] = {}
+
+    def drop(self, a: int, b: int) -> str | None:
+        source = self.source.pop((a, b), None)
+        if source is not None:
+            del self.after[a][b], self.before[b][a]
+        return source
+
+    def _range(self, start: int, follow: dict[int, dict[int, None]], low: int, high: int) -> dict[int, int | None]:
+        """What is reached from start between two places, breadth first, each with where it was reached from."""
+        came: dict[int, int | None] = {start: None}
+        queue = deque([start])
+        while queue:
+            at = queue.popleft()
+            for to in follow[at]:
+                if to not in came and low <= self.place[to] <= high:
+                    came[to] = at
+                    queue.append(to)
+        return came
+
+    def add(self, a: int, b: int, source: str) -> str:
         if a == b:
             return "self"
-        if (a, b) in edges:
+        if (a, b) in self.source:
             return "exists"
-        while (path := _shortest(edges, b, a)) is not None:
-            weak = [e for e in path if edges[e] == "preseed"]
+        while self.place[b] < self.place[a]:
+            low, high = self.place[b], self.place[a]
+            came = self._range(b, self.after, low, high)
+            if a not in came:
+                behind = self._range(a, self.before, low, high)
+                moved = [*sorted(behind, key=self.place.get), *sorted(came, key=self.place.get)]
+                for v, place in zip(moved, sorted(self.place[v] for v in moved), strict=True):
+                    self.place[v] = place
+                break
+            path, at = [], a
+            while came[at] is not None:
+                path.append((came[at], at))
+                at = came[at]
+            weak = [e for e in path if self.source[e] == "preseed"]
             if not weak:
                 return "cycle"
             for e in weak:
-                del edges[e]
-        edges[(a, b)] = source
+                self.drop(*e)
+        self.source[a, b] = source
+        self.after[a][b] = self.before[b][a] = None
         return "added"
 
+
+def _foreseen(pairs: list[tuple[int, int]]) -> list[int]:
+    """All scars of a log, those with the fewest younger ones left first: nearly the row that its comparisons will ask for."""
+    follow: dict[int, list[int]] = {}
+    left: dict[int, int] = {}
+    for a, b in pairs:
+        follow.setdefault(a, []).append(b)
+        left.setdefault(a, 0)
+        left[b] = left.get(b, 0) + 1
+    queue = [(n, v) for v, n in left.items()]
+    heapq.heapify(queue)
+    row = []
+    while queue:
+        n, v = heapq.heappop(queue)
+        if left.get(v) != n:
+            continue
+        del left[v]
+        row.append(v)
+        for to in follow.get(v, ()):
+            if to in left:
+                left[to] -= 1
+                heapq.heappush(queue, (left[to], to))
+    return row
+
+
+def _replay(log: pd.DataFrame) -> tuple[dict[tuple[int, int], str], list[tuple[int, str]]]:
+    now, outcomes = _Comparisons(), []
+    adds = log[(log["op"] == "add") & (log["younger"] != log["older"])]
+    for v in _foreseen(list(zip(adds["younger"].tolist(), adds["older"].tolist(), strict=True))):
+        now.place[v], now.after[v], now.before[v] = len(now.place), {}, {}
     for r in log.sort_values("seq").itertuples(index=False):
         if r.op == "add":
-            outcomes.append((r.seq, add(r.younger, r.older, r.source)))
+            outcomes.append((r.seq, now.add(r.younger, r.older, r.source)))
         elif r.op == "remove":
-            outcomes.append((r.seq, "removed" if edges.pop((r.younger, r.older), None) else "absent"))
+            outcomes.append((r.seq, "removed" if now.drop(r.younger, r.older) else "absent"))
         elif r.op == "clear_preseed":
-            kept = [(e, s) for e, s in edges.items() if s != "preseed"]
-            edges.clear()
-            for (a, b), s in kept:
-                add(a, b, s)
+            for a, b in [e for e, s in now.source.items() if s == "preseed"]:
+                now.drop(a, b)
             outcomes.append((r.seq, "cleared"))
-    return edges, outcomes
+    return now.source, outcomes
 
 
 def replay_comparisons(log: DataFrame) -> DataFrame:
@@ -70,7 +120,7 @@ def replay_comparisons(log: DataFrame) -> DataFrame:
 
     Entries count in order: a comparison that closes a cycle drops the preseed ones on
     the shortest path against it, and is rejected if that path is all expert.  A fold
-    of one mesh's small log; meshes run in parallel.
+    of one mesh's log, with its comparisons in memory; meshes run in parallel.
     """
     kind = dict(log.dtypes)[M]
 
@@ -103,29 +153,87 @@ def reachable(comparisons: DataFrame) -> DataFrame:
     raise RuntimeError("no fixpoint")
 
 
-def topological_order(nodes: DataFrame, comparisons: DataFrame) -> DataFrame:
+def reaches(pairs: DataFrame, comparisons: DataFrame, order: DataFrame) -> DataFrame:
+    """mesh_id, a, b, reached of every asked pair (mesh_id, a, b), without the closure.
+
+    ``order`` (topological_order) is the index: a path only goes on to later places, so a
+    search drops what stands behind its goal, and what comes back from a cycle, which has
+    no place, is kept.  All pairs search together, one step a round, each scar once a pair.
+    """
+    place = lambda scar, name: order.select(M, F.col("scar_id").alias(scar), F.col("position").alias(name))
+    asked = tabled(pairs.select(M, "a", "b").distinct().join(place("b", "goal"), [M, "b"], "left"))
+    steps = comparisons.select(M, F.col("younger").alias("at"), F.col("older").alias("to")).distinct()
+    steps = tabled(steps.join(place("to", "place"), [M, "to"], "left"))
+    front = asked.withColumn("at", F.col("a"))
+    seen, found = front.select(M, "a", "b", "at"), None
+    while True:
+        met = front.join(steps, [M, "at"]).select(M, "a", "b", "goal", F.col("to").alias("at"), "place").distinct()
+        met = tabled(met.where("at = b or goal is null or place is null or place < goal"))
+        hit = met.where("at = b").select(M, "a", "b").distinct()
+        found = hit if found is None else found.unionByName(hit)
+        front = tabled(met.drop("place").join(hit, [M, "a", "b"], "left_anti").join(seen, [M, "a", "b", "at"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front.select(M, "a", "b", "at"))
+    done = tabled(found.distinct()).withColumn("reached", F.lit(True))
+    return asked.select(M, "a", "b").join(done, [M, "a", "b"], "left").fillna(False, ["reached"])
+
+
+def _queue(g: pd.DataFrame) -> pd.DataFrame:
+    """The order of one mesh by a queue: younger, older; older null for a node."""
+    link = g["older"].notna()
+    degree = dict.fromkeys(g["younger"][~link].tolist(), 0)
+    follow: dict[int, list[int]] = {}
+    for a, b in zip(g["younger"][link].tolist(), g["older"][link].astype(int).tolist(), strict=True):
+        follow.setdefault(a, []).append(b)
+        degree[b] += 1
+    queue = deque(sorted(v for v, n in degree.items() if not n))
+    out = []
+    while queue:
+        at = queue.popleft()
+        out.append(at)
+        for to in follow.get(at, ()):
+            degree[to] -= 1
+        queue.extend(sorted(to for to in follow.get(at, ()) if not degree[to]))
+    return pd.DataFrame({M: g[M].iloc[0], "scar_id": out, "position": range(len(out))})
+
+
+def topological_order(nodes: DataFrame, comparisons: DataFrame, small: int = SMALL) -> DataFrame:
     """mesh_id, scar_id, position: youngest first, level by level; nodes on or behind a cycle are left out.
 
-    A queue's order is (level, position of the predecessor that freed the node, id): all
-    meshes advance one level a round.
+    A queue's order is (level, position of the predecessor that freed the node, id).
+    Meshes of at most ``small`` comparisons are queued in a task each; the larger ones
+    advance one level a round, which writes that level and the counts of the nodes that it
+    has met but not freed, never all of them.
     """
-    edges = tabled(comparisons.select(M, "younger", "older").distinct())
-    left = tabled(nodes.select(M, "scar_id").join(edges.groupBy(M, F.col("older").alias("scar_id")).agg(F.count("*").alias("indegree")), [M, "scar_id"], "left").fillna(0, ["indegree"]))
+    kinds = dict(nodes.dtypes)
+    edges = tabled(comparisons.select(M, "younger", "older").distinct().join(nodes.select(M, F.col("scar_id").alias("older")), [M, "older"], "left_semi"))
+    large = tabled(edges.groupBy(M).agg(F.count("*").alias("n")).where(F.col("n") > small).select(M))
+    rows = nodes.select(M, F.col("scar_id").alias("younger"), F.lit(None).cast(kinds["scar_id"]).alias("older")).unionByName(edges)
+    out = f"{M} {kinds[M]}, scar_id {kinds['scar_id']}, position long"
+    done = rows.join(large, M, "left_anti").groupBy(M).applyInPandas(_queue, out)
+    if large.isEmpty():
+        return done
+    edges = tabled(edges.join(large, M, "left_semi"))
+    degree = tabled(edges.groupBy(M, F.col("older").alias("scar_id")).agg(F.count("*").alias("indegree")))
+    roots = nodes.select(M, "scar_id").join(large, M, "left_semi").join(degree, [M, "scar_id"], "left_anti")
     byid = F.row_number().over(Window.partitionBy(M).orderBy("scar_id")) - 1
-    level = tabled(left.where("indegree = 0").select(M, "scar_id", byid.cast("long").alias("position")))
-    done = level
+    level = tabled(roots.select(M, "scar_id", byid.cast("long").alias("position")))
+    taken = tabled(level.groupBy(M).agg(F.count("*").alias("before")))
+    waiting = tabled(degree.limit(0).select(M, "scar_id", F.col("indegree").alias("met")))
+    levels = [level]
     for _ in range(100_000):
-        if level.isEmpty():
-            return done
-        freed = edges.join(level.select(M, F.col("scar_id").alias("younger"), "position"), [M, "younger"])
-        hit = freed.groupBy(M, F.col("older").alias("scar_id")).agg(F.count("*").alias("n"), F.max("position").alias("by"))
-        left = tabled(left.join(hit, [M, "scar_id"], "left").select(M, "scar_id", (F.col("indegree") - F.coalesce("n", F.lit(0))).alias("indegree"), "by"))
-        open_ = left.where("indegree = 0 and by is not null").select(M, "scar_id", "by")
-        counts = done.groupBy(M).agg(F.count("*").alias("before"))
+        hit = edges.join(level.select(M, F.col("scar_id").alias("younger"), "position"), [M, "younger"])
+        hit = hit.groupBy(M, F.col("older").alias("scar_id")).agg(F.count("*").alias("met"), F.max("position").alias("by"))
+        hit = tabled(hit.join(degree, [M, "scar_id"]).join(waiting.withColumnRenamed("met", "had"), [M, "scar_id"], "left").withColumn("met", F.col("met") + F.coalesce("had", F.lit(0))).drop("had"))
         place = F.row_number().over(Window.partitionBy(M).orderBy("by", "scar_id")) - 1
-        level = tabled(open_.join(counts, M).select(M, "scar_id", (F.col("before") + place).alias("position")))
-        left = left.drop("by")
-        done = tabled(done.unionByName(level))
+        level = tabled(hit.where("met = indegree").join(taken, M).select(M, "scar_id", (F.col("before") + place).alias("position")))
+        if level.isEmpty():
+            return functools.reduce(DataFrame.unionByName, levels, done)
+        levels.append(level)
+        waiting = tabled(waiting.join(hit.select(M, "scar_id"), [M, "scar_id"], "left_anti").unionByName(hit.where("met < indegree").select(M, "scar_id", "met")))
+        more = level.groupBy(M).agg(F.count("*").alias("more"))
+        taken = tabled(taken.join(more, M, "left").select(M, (F.col("before") + F.coalesce("more", F.lit(0))).alias("before")))
     raise RuntimeError("too many levels")
 
 

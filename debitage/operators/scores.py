@@ -64,11 +64,12 @@ def _matrix(ax: float, ay: float, az: float) -> list[list[float]]:
     return mul(z, mul(y, x))
 
 
-def canonical_views(steps: tuple[int, int, int] = (6, 6, 6), close: float = 1.0) -> list[tuple[int, list[float]]]:
+def canonical_views(steps: tuple[int, int, int] = (6, 6, 6), close: float = 1.0, upright: float = 0.05) -> list[tuple[int, list[float]]]:
     """(view_id, matrix): full turns about each axis in so many steps, without candidates that see the mesh as a kept one does.
 
-    Two rotations see the same side if they are within ``close`` degrees or differ by a
-    turn about the viewing axis alone.
+    Two rotations see the same side if they are within ``close`` degrees, or if the axis of
+    the turn from the kept one to the other, in the kept one's frame, is the viewing axis
+    within ``upright`` in each component.
     """
     kept: list[list[list[float]]] = []
     for axis, n in enumerate(steps):
@@ -76,17 +77,20 @@ def canonical_views(steps: tuple[int, int, int] = (6, 6, 6), close: float = 1.0)
             angles = [0.0, 0.0, 0.0]
             angles[axis] = 2 * math.pi * k / n
             r = _matrix(*angles)
-            for q in kept:
-                rel = [[sum(r[i][m] * q[j][m] for m in range(3)) for j in range(3)] for i in range(3)]
-                turn = math.degrees(math.acos(max(-1.0, min(1.0, (rel[0][0] + rel[1][1] + rel[2][2] - 1) / 2))))
-                about_z = math.degrees(math.acos(max(-1.0, min(1.0, rel[2][2])))) < close
-                if turn < close or about_z:
-                    break
-            else:
+            if not any(_same_side(q, r, close, upright) for q in kept):
                 kept.append(r)
     return [(i, [v for row in r for v in row]) for i, r in enumerate(kept)]
 
 
+def _same_side(q: list[list[float]], r: list[list[float]], close: float, upright: float) -> bool:
+    turn = [sum(q[m][i] * r[m][i] for m in range(3)) for i in range(3)]  # the diagonal of the turn from q to r
+    cosine = max(-1.0, min(1.0, (sum(turn) - 1) / 2))
+    if math.degrees(math.acos(cosine)) < close:
+        return True
+    x, y, z = (math.sqrt(max(0.0, (d - cosine) / (1 - cosine))) for d in turn)  # the size of the axis' components
+    return x < upright and y < upright and abs(z - 1) < upright
+
+
 def views_table(spark: SparkSession, steps: tuple[int, int, int] = (6, 6, 6)) -> DataFrame:
     """view_id, r0 .. r8: a literal table of a few rows."""
     return spark.createDataFrame([(i, *r) for i, r in canonical_views(steps)], "view_id int, " + ", ".join(f"r{k} double" for k in range(9)))

@@ -4,10 +4,13 @@ import heapq
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from debitage.operators import evaluate as E
+from debitage.operators import geometry as G
 from debitage.operators import morton
 from debitage.operators import ordering as O
 from debitage.operators import paths as P
@@ -372,3 +375,210 @@ def test_paths_over_many_regions(spark, by_place):
     start = start.withColumn("prev", F.lit(None).cast("long")).join(places.select("mesh_id", F.col("vertex_id").alias("v"), "region"), ["mesh_id", "v"])
     _, rounds = P.relaxed(requests, graph, start, 10.0)
     assert 2 * rounds < len(got["flat0"]["path"])
+
+
+# orders
+
+def plain_replay(log):
+    """The log folded with the adjacency searched afresh for every entry."""
+    edges, outcomes = {}, []
+
+    def path(start, goal):
+        came, queue = {start: None}, [start]
+        for at in queue:
+            if at == goal:
+                out = []
+                while came[at] is not None:
+                    out.append((came[at], at))
+                    at = came[at]
+                return out
+            for a, b in edges:
+                if a == at and b not in came:
+                    came[b] = at
+                    queue.append(b)
+        return None
+
+    for op, a, b, source in log:
+        if op == "add" and a == b:
+            outcomes.append("self")
+        elif op == "add" and (a, b) in edges:
+            outcomes.append("exists")
+        elif op == "add":
+            outcome = "added"
+            while (way := path(b, a)) is not None:
+                weak = [e for e in way if edges[e] == "preseed"]
+                if not weak:
+                    outcome = "cycle"
+                    break
+                for e in weak:
+                    del edges[e]
+            if outcome == "added":
+                edges[a, b] = source
+            outcomes.append(outcome)
+        elif op == "remove":
+            outcomes.append("removed" if edges.pop((a, b), None) else "absent")
+        else:
+            edges = {e: x for e, x in edges.items() if x != "preseed"}
+            outcomes.append("cleared")
+    return edges, outcomes
+
+
+def test_comparison_logs_equal_a_plain_fold(spark):
+    rows, want = [], {}
+    for m in range(12):
+        rng = random.Random(m)
+        ops = rng.choices(["add", "remove", "clear_preseed"], [40, 4, 1 if m % 3 == 0 else 0], k=150)
+        log = [(op, rng.randrange(14), rng.randrange(14), rng.choice(["expert", "preseed"])) for op in ops]
+        rows += [(m, k, *x) for k, x in enumerate(log)]
+        want[m] = plain_replay(log)
+    table = spark.createDataFrame(rows, "mesh_id int, seq int, op string, younger int, older int, source string")
+    got = {}
+    for r in O.replay_comparisons(table).collect():
+        got.setdefault(r["mesh_id"], {})[r["younger"], r["older"]] = r["source"]
+    assert got == {m: e for m, (e, _) in want.items() if e}
+    outcomes = {(r["mesh_id"], r["seq"]): r["outcome"] for r in O.comparison_outcomes(table).collect()}
+    assert outcomes == {(m, k): o for m, (_, x) in want.items() for k, o in enumerate(x)} and {"cycle", "added", "exists"} <= set(outcomes.values())
+
+
+def test_a_long_log_of_one_mesh_takes_seconds():
+    import time
+
+    rng = random.Random(3)
+    log = pd.DataFrame([(k, "add", a := rng.randrange(20_000), min(19_999, a + 1 + rng.randrange(50)) if rng.random() < 0.98 else max(0, a - rng.randrange(3)), "expert") for k in range(100_000)], columns=["seq", "op", "younger", "older", "source"])
+    began = time.process_time()
+    edges, outcomes = O._replay(log)
+    assert time.process_time() - began < 60 and len(outcomes) == 100_000 and len(edges) > 50_000
+
+
+@pytest.mark.parametrize("small", [200_000, 10, 0])
+def test_topological_order_by_task_and_by_level(spark, small):
+    rows, nodes, want = [], [], {}
+    for m in range(4):
+        rng = random.Random(m)
+        n = 30
+        edges = {tuple(sorted(rng.sample(range(n), 2))) for _ in range([0, 12, 60, 40][m])} | ({(28, 29), (29, 28)} if m == 3 else set())
+        nodes += [(m, k) for k in range(n)]
+        rows += [(m, a, b) for a, b in edges]
+        degree = {k: sum(b == k for _, b in edges) for k in range(n)}
+        queue = [k for k in range(n) if not degree[k]]
+        for at in queue:
+            for b in (b for a, b in edges if a == at):
+                degree[b] -= 1
+            queue += sorted(b for a, b in edges if a == at and not degree[b])
+        want |= {(m, k): i for i, k in enumerate(queue)}
+    order = O.topological_order(spark.createDataFrame(nodes, "mesh_id int, scar_id int"), spark.createDataFrame(rows, "mesh_id int, younger int, older int"), small)
+    assert {(r["mesh_id"], r["scar_id"]): r["position"] for r in order.collect()} == want
+
+
+def test_asked_pairs_equal_the_closure(spark):
+    rows, nodes = [], []
+    for m in range(3):
+        rng = random.Random(100 + m)
+        nodes += [(m, k) for k in range(25)]
+        rows += [(m, *sorted(rng.sample(range(25), 2))) for _ in range(35)] + ([(m, 20, 3), (m, 3, 20)] if m == 2 else [])
+    comparisons = spark.createDataFrame(rows, "mesh_id int, younger int, older int").cache()
+    order = O.topological_order(spark.createDataFrame(nodes, "mesh_id int, scar_id int"), comparisons).cache()
+    asked = [(m, a, b) for m in range(3) for a in range(0, 25, 2) for b in range(0, 25, 3)]
+    closure = {tuple(r) for r in O.reachable(comparisons).collect()}
+    got = {tuple(r)[:3]: r["reached"] for r in O.reaches(spark.createDataFrame(asked, "mesh_id int, a int, b int"), comparisons, order).collect()}
+    assert got == {x: x in closure for x in asked} and any(got.values())
+
+
+# views
+
+def test_views_by_quaternions():
+    """The kept views against turns told as quaternions."""
+
+    def quaternion(axis, angle):
+        out = [math.cos(angle / 2), 0.0, 0.0, 0.0]
+        out[1 + axis] = math.sin(angle / 2)
+        return out
+
+    def turn(q, r):  # conjugate of q times r
+        w, x, y, z = q[0], -q[1], -q[2], -q[3]
+        a, b, c, d = r
+        return w * a - x * b - y * c - z * d, w * b + x * a + y * d - z * c, w * c - x * d + y * a + z * b, w * d + x * c - y * b + z * a
+
+    for steps, many in (((6, 6, 6), 10), ((90, 90, 0), 176), ((1, 0, 0), 1), ((4, 3, 5), None), ((0, 8, 8), None)):
+        kept = []
+        for axis, n in enumerate(steps):
+            for k in range(n):
+                r = quaternion(axis, 2 * math.pi * k / n)
+                for q in kept:
+                    w, *v = turn(q, r)
+                    size = math.hypot(*v)
+                    if math.degrees(2 * math.atan2(size, abs(w))) < 1 or (abs(v[0]) < 0.05 * size and abs(v[1]) < 0.05 * size and abs(abs(v[2]) / size - 1) < 0.05):
+                        break
+                else:
+                    kept.append(r)
+        views = I.canonical_views(steps)
+        assert len(views) == len(kept) and (many is None or len(kept) == many)
+        for (_, m), (w, x, y, z) in zip(views, kept, strict=True):
+            full = [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x), 2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]
+            assert m == pytest.approx(full, abs=1e-9)
+
+
+def test_rotated_vertices(spark, tables):
+    v, _ = tables
+    views = I.canonical_views((3, 2, 0))
+    got = {(r["mesh_id"], r["vertex_id"], r["view_id"]): (r["x"], r["y"], r["z"]) for r in G.rotated(v, I.views_table(spark, (3, 2, 0))).collect()}
+    assert len(got) == len(MESHES) * W * W * len(views)
+    for m in MESHES:
+        for i, p in enumerate(points(m)):
+            for k, r in views:
+                assert got[m, i, k] == pytest.approx([sum(r[3 * a + b] * p[b] for b in range(3)) for a in range(3)], abs=1e-9)
+
+
+def test_alignment_with_principal_axes(spark, tables):
+    """Axes by falling spread, each towards its farthest vertex; lengths between vertices stay."""
+    v, _ = tables
+    stretched = v.withColumns({"x": F.col("x") * 3, "z": F.col("z") * 0.5 + F.col("y") * 0.2})
+    got = {(r["mesh_id"], r["vertex_id"]): (r["x"], r["y"], r["z"]) for r in G.pca_aligned(stretched).collect()}
+    for m in MESHES:
+        at = np.array([(3 * x, y, 0.5 * z + 0.2 * y) for x, y, z in points(m)])
+        own = np.array([got[m, i] for i in range(W * W)])
+        spread = own.T @ own
+        assert np.allclose(spread - np.diag(np.diag(spread)), 0, atol=1e-6) and (np.diff(np.diag(spread)) <= 1e-9).all()
+        assert np.allclose(np.linalg.norm(own[:, None] - own[None], axis=2), np.linalg.norm(at[:, None] - at[None], axis=2), atol=1e-8)
+        assert np.allclose(np.diag(spread), sorted(np.linalg.eigvalsh((at - at.mean(0)).T @ (at - at.mean(0))), reverse=True))
+        for a in range(3):
+            assert own[np.abs(own[:, a]).argmax(), a] > 0
+
+
+def test_scores_from_pixels_to_faces(spark, tables):
+    """Views scaled over all their pixels, faces averaged and weighed by how they face, then spread from the seen ones."""
+    _, f = tables
+    rng = random.Random(53)
+    pixels = [(m, view, k, None if rng.random() < 0.3 else rng.randrange(0, 20), rng.uniform(-4, 4)) for m in MESHES for view in range(3) for k in range(60)]
+    pixels += [("a", 9, k, 25, 1.5) for k in range(4)]  # a flat view
+    facing = [(m, view, face, rng.uniform(-1, 1)) for m in MESHES for view in (0, 1, 2, 9) for face in range(len(FACES))]
+    px = spark.createDataFrame(pixels, "mesh_id string, view_id int, pixel int, face_id long, logit double")
+    nz = spark.createDataFrame(facing, "mesh_id string, view_id int, face_id long, nz double")
+    seen = I.weighted_mean(f, I.view_scores(px, nz))
+    turned = {(m, view, face): z for m, view, face, z in facing}
+    want = {}
+    for m in MESHES:
+        total = {}
+        for view in (0, 1, 2, 9):
+            own = [p for p in pixels if p[0] == m and p[1] == view]
+            if not own:
+                continue
+            low, span = min(p[4] for p in own), (max(p[4] for p in own) - min(p[4] for p in own)) or 1
+            for face in {p[3] for p in own if p[3] is not None}:
+                values = [(p[4] - low) / span for p in own if p[3] == face]
+                z = turned[m, view, face]
+                weight = 3 if z >= 0.8 else 2 if z >= 0.5 else 1
+                a, b = total.get(face, (0, 0))
+                total[face] = a + weight * sum(values) / len(values), b + weight
+        want |= {(m, k): total[k][0] / total[k][1] if k in total else 0.0 for k in range(len(FACES))}
+    assert {(r["mesh_id"], r["face_id"]): r["p"] for r in seen.collect()} == pytest.approx(want)
+    spread = {(r["mesh_id"], r["face_id"]): r["p"] for r in I.propagate_gamma(seen, T.face_adjacency(f)).collect()}
+    sides = lambda t: {frozenset(x) for x in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2]))}
+    for m in MESHES:
+        value = {k: want[m, k] for k in range(len(FACES))}
+        while True:
+            new = {k: 0.95 * max(value[j] for j in value if value[j] > 0 and sides(FACES[k]) & sides(FACES[j])) for k in value if not value[k] and any(value[j] > 0 and sides(FACES[k]) & sides(FACES[j]) for j in value)}
+            if not new:
+                break
+            value |= new
+        assert {k: spread[m, k] for k in value} == pytest.approx(value)

@@ -224,15 +224,72 @@ def test_history_batch(spark):
     assert sorted((r["mesh_id"], r["position"], r["seq"], r["undone"]) for r in rows) == [(7, 1, 1, False), (7, 2, 2, True), (8, 1, 7, False)]
 
 
-def test_library_sink_takes_each_event_once(spark, tmp_path):
-    e = spark.sql("select 1 as event_id, 'a' as annotation_id, 1 as seq, 'save' as op, 'n' as name, cast(null as string) as cloud_id, timestamp'2024-01-01' as ts")
-    e.union(e).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
-    q = jobs.library_sink(stream, str(tmp_path / "out"), str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+def test_history_stream_equals_batch(spark, tmp_path):
+    """Both stacks over several batches, more acts than are kept among them."""
+    rng = np.random.default_rng(2)
+    ops = [(int(m), k, str(op)) for k, (m, op) in enumerate(zip(rng.integers(0, 3, 240), rng.choice(["act", "act", "undo", "redo"], 240), strict=True))] + [(9, 1000 + k, "act") for k in range(130)]
+    schema = "mesh_id long, seq long, op string"
+    (tmp_path / "in").mkdir()
+    q = jobs.history_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("histories").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    latest = {}
+    for k in range(3):
+        spark.createDataFrame(ops[k * len(ops) // 3 : (k + 1) * len(ops) // 3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        before = spark.table("histories").count()
+        q.processAllAvailable()
+        latest |= {r["mesh_id"]: r for r in spark.table("histories").collect()[before:]}
+    q.stop()
+    want = {}
+    for r in A.history_states(spark.createDataFrame(ops, schema)).collect():
+        want.setdefault(r["mesh_id"], []).append((r["position"], r["seq"], r["undone"]))
+    assert set(latest) >= set(want)
+    for m, rows in want.items():
+        rows.sort()
+        assert latest[m]["undo"] == [x for _, x, undone in rows if not undone] and latest[m]["redo"] == [x for _, x, undone in rows[::-1] if undone]
+        assert (latest[m]["can_undo"], latest[m]["can_redo"]) == (len(latest[m]["undo"]), len(latest[m]["redo"]))
+    assert latest[9]["can_undo"] == 100
+
+
+def test_edge_stream_over_batches(spark, tmp_path):
+    """Draws after a restore and repeated ones, in three batches of one state."""
+    batches = [[(1, 1, "draw", 5), (1, 2, "draw", 5), (1, 3, "draw", 6)], [(1, 4, "restore", None), (1, 5, "draw", 5), (1, 6, "erase", 6)], [(1, 7, "erase", 5), (1, 8, "draw", 8), (1, 9, "draw", 9), (2, 10, "erase", 1)]]
+    schema = "annotation_id long, seq long, op string, vertex_id long"
+    (tmp_path / "in").mkdir()
+    q = jobs.edge_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("edge_batches").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
     q.stop()
-    log = spark.read.parquet(str(tmp_path / "out"))
-    assert log.count() == 1 and jobs.current_library(log).count() == 1
+    assert sorted(tuple(r) for r in spark.table("edge_batches").collect()) == [(1, 3, 2), (1, 6, 1), (1, 9, 2), (2, 10, 0)]
+
+
+def test_library_sink_takes_each_event_once_for_good(spark, tmp_path):
+    """Sent twice in a batch, again days later, and by a batch that runs again after a crash before its commit."""
+    schema = "event_id long, annotation_id string, seq long, op string, name string, cloud_id string, ts timestamp"
+    event = "select {0}L as event_id, 'a' as annotation_id, {0}L as seq, 'save' as op, 'n{0}' as name, cast(null as string) as cloud_id, timestamp'2024-01-{1:02d}' as ts"
+    send = lambda *rows: spark.sql(" union all ".join(event.format(*r) for r in rows)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+
+    def run():
+        q = jobs.library_sink(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), out, str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    assert jobs.library_log(spark, out) is None
+    send((1, 1), (1, 1), (2, 1))
+    run()
+    send((3, 20), (1, 20))  # days after
+    run()
+    assert sorted(r["event_id"] for r in jobs.library_log(spark, out).collect()) == [1, 2, 3]
+    # the last batch loses its commit and runs again
+    (tmp_path / "cp" / "commits" / "1").unlink()
+    for crc in (tmp_path / "cp" / "commits").glob(".1.crc"):
+        crc.unlink()
+    for f in (tmp_path / "out" / "_manifest" / "1").iterdir():
+        f.unlink()
+    assert sorted(r["event_id"] for r in jobs.library_log(spark, out).collect()) == [1, 2]
+    run()
+    log = jobs.library_log(spark, out)
+    assert sorted(r["event_id"] for r in log.collect()) == [1, 2, 3] and jobs.current_library(log).first()["name"] == "n3"
 
 
 def test_progress_stream(spark, tmp_path):
