@@ -11,6 +11,8 @@ overfull for one shard: it is subdivided by a sample of its own and cut again.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,14 +32,17 @@ RUN = 50_000
 Key = tuple[int, int, int]
 
 
-def _index(bounds: list[Key], low: int = 0) -> Column:
-    """low + the number of bounds at or below the key, as a balanced tree of comparisons."""
+def _index(bounds: list[Key]) -> Column:
+    """The number of bounds at or below the key: groups of them are looked up first, then the bounds of one group."""
     if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    h, d, n = bounds[mid]
-    below = (F.col("h") < h) | ((F.col("h") == h) & ((F.col("d") < d) | ((F.col("d") == d) & (F.col("n") < n))))
-    return F.when(below, _index(bounds[:mid], low)).otherwise(_index(bounds[mid + 1 :], low + mid + 1))
+        return F.lit(0)
+    key = F.struct("h", "d", "n")
+    width = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    literal = lambda keys: F.array(*(F.struct(F.lit(h).alias("h"), F.lit(d).alias("d"), F.lit(n).alias("n")) for h, d, n in keys))
+    reached = lambda keys: F.size(F.filter(keys, lambda b: b <= key))
+    group = F.greatest(reached(literal([g[0] for g in groups])) - 1, F.lit(0))
+    return group * width + reached(F.get(F.array(*map(literal, groups)), group))
 
 
 def _splitters(rows: DataFrame, weight: dict[int, int], parts: int) -> list[Key]:
