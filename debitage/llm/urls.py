@@ -118,7 +118,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample: in
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), tail.alias("tail"))
     ruled = with_features(with_rules(urls, rules))
     known = ruled.where("decided is not null").withColumn("label", (F.col("decided") == "block").cast("double"))
-    # the sample: the URLs whose hash is lowest; two counts come back
+    # two counts come back
     tally = known.agg(F.count("*").alias("n"), F.sum("label").alias("y")).first()
     n, y = tally["n"], tally["y"] or 0
     if not n or y in (0, n):
@@ -129,7 +129,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample: in
     stats = lambda by, name: counted.groupBy(by).agg(((F.sum("label") + 10 * prior) / (F.count("*") + 10)).alias(name))
     full = ruled.join(stats("suffix", "suffix_rate"), "suffix", "left").join(stats("head", "head_rate"), "head", "left").fillna({"suffix_rate": prior, "head_rate": prior})
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full)
-    chance = F.pmod(F.xxhash64("host", "path", "tail"), F.lit(1 << 40)) / float(1 << 40)
+    # by row, so that a URL on many rows is drawn as often as others
+    chance = F.pmod(F.xxhash64("host", "path", "tail", F.monotonically_increasing_id()), F.lit(1 << 40)) / float(1 << 40)
     train = vectors.where("decided is not null").where(chance < 2 * sample / n).select("features", (F.col("decided") == "block").cast("double").alias("label"), half.alias("half"))
     train = materialise(train)  # at most about 2 * sample short rows, which each round of the trees reads
     other = train.where("half = 1")
