@@ -11,6 +11,7 @@ reader resumes anywhere and reads on sequentially.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -126,6 +127,64 @@ def ordered(docs: DataFrame, tokenizer: str, folder: str, window: int = WINDOW,
     return dealt.select("doc_id", "piece", "length", "ids_crc32", "slot", "shard", ((F.col("slot") % shard) * 2 * window).alias("byte_offset"), "record")
 
 
+def _store(folder: str):
+    """The file system of a folder that all executors share, and its path there."""
+    from pyarrow import fs
+
+    folder = re.sub(r"^file:/+", "/", folder)
+    store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    store.create_dir(root)
+    return store, root
+
+
+class _Writer:
+    """The shard that a task is writing: under a name of its own, renamed when it is whole."""
+
+    def __init__(self, folder: str):
+        self.store, self.root = _store(folder)
+        self.own, self.out, self.done = None, None, []
+
+    def put(self, shard: int, record: bytes) -> None:
+        if shard != self.own:
+            self.close()
+            self.own, self.n, self.size, self.crc = shard, 0, 0, 0
+            self.name = f"{self.root}/.{uuid.uuid4().hex}"
+            self.out = self.store.open_output_stream(self.name)
+        self.out.write(record)
+        self.n, self.size, self.crc = self.n + 1, self.size + len(record), zlib.crc32(record, self.crc)
+
+    def path(self, shard: int) -> str:
+        return f"{self.root}/shard-{shard:06d}.bin"
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.store.move(self.name, self.path(self.own))
+            self.done.append((self.own, self.path(self.own), self.n, self.size, self.crc))
+
+
+def materialised(dealt: DataFrame, folder: str) -> DataFrame:
+    """Write ordered() as files shard-NNNNNN.bin of records one after another; returns its rows with the file's path in place of the record.
+
+    A record stands at byte_offset of its path, so reading goes on from any slot.  Tasks
+    that run twice leave one whole file each; null and repeated doc_ids keep their
+    records; an empty table writes nothing.
+    """
+    kept = ["doc_id", "piece", "length", "ids_crc32", "slot", "shard", "byte_offset"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = _Writer(folder)
+        for b in batches:
+            shards = b.column(5).to_pylist()
+            for shard, record in zip(shards, b.column(7), strict=True):
+                writer.put(shard, record.as_py())
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array([writer.path(s) for s in shards], pa.string())], [*kept, "path"])
+        writer.close()
+
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    return dealt.select(*kept, "record").mapInArrow(write, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", path string")
+
+
 def write_shards(dealt: DataFrame, folder: str) -> DataFrame:
     """Write ordered() as files shard-NNNNNN.bin in a folder that all executors share.
 
@@ -136,29 +195,12 @@ def write_shards(dealt: DataFrame, folder: str) -> DataFrame:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        store.create_dir(root)
-        own, out, name, n, crc, size = None, None, "", 0, 0, 0
-        done = []
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                store.move(name, f"{root}/shard-{own:06d}.bin")
-                done.append((own, f"{root}/shard-{own:06d}.bin", n, size, crc))
-
+        writer = _Writer(folder)
         for b in batches:
-            for shard, record in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if shard != own:
-                    close()
-                    own, n, crc, size, name = shard, 0, 0, 0, f"{root}/.{uuid.uuid4().hex}"
-                    out = store.open_output_stream(name)
-                out.write(record)
-                n, size, crc = n + 1, size + len(record), zlib.crc32(record, crc)
-        close()
-        cols = list(zip(*done, strict=True)) or [()] * 5
+            for shard, record in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                writer.put(shard, record.as_py())
+        writer.close()
+        cols = list(zip(*writer.done, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["shard", "path", "records", "bytes", "crc32"])
 
     return dealt.select("shard", "record").mapInArrow(write, "shard int, path string, records long, bytes long, crc32 long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from debitage.iterate import shared_folder
@@ -55,8 +57,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence with its slot and record; see binout.ordered for odd rows."""
-    return binout.ordered(_table(spark, sf_dir, "documents"), tokenizer_path(), shared_folder(spark))
+    """Every sequence with its slot, and the shard file and byte where it was written; see binout.ordered and binout.materialised for odd rows."""
+    folder = shared_folder(spark)
+    return binout.materialised(binout.ordered(_table(spark, sf_dir, "documents"), tokenizer_path(), folder), f"{folder}/shards-{uuid.uuid4().hex}")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

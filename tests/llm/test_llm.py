@@ -357,9 +357,31 @@ def test_token_shards_round_trip(spark, tmp_path):
     for i in range(len(texts)):
         whole = np.concatenate([text[i][k] for k in sorted(text[i])])
         assert whole.tolist() == [*ids_of[first[i] : first[i + 1]].tolist(), 0]
+    # rows and files of one pass; files are whole shards in the order of slots
+    written = binout.materialised(dealt, f"file:{tmp_path}/whole").collect()
+    assert sorted(map(tuple, (r[:7] for r in written))) == sorted(map(tuple, (r[:7] for r in rows)))
+    assert {r["path"] for r in written} == {str(p) for p in (tmp_path / "whole").glob("*.bin")} and len(list((tmp_path / "whole").iterdir())) == len(files)
+    for r in written:
+        with open(r["path"], "rb") as f:
+            f.seek(r["byte_offset"])
+            assert zlib.crc32(np.frombuffer(f.read(128), "<u2")[: r["length"]].astype("<u4").tobytes()) == r["ids_crc32"]
+        with open(r["path"], "rb") as one, open(files[r["shard"]]["path"], "rb") as other:
+            assert one.read() == other.read()
+    assert binout.materialised(dealt.limit(0), str(tmp_path / "none")).count() == 0
     assert binout.ordered(docs(spark, []), tokenizer_path(), str(tmp_path / "none")).count() == 0
 
 
+def test_sharding_index_equals_bisection(spark):
+    import bisect
+
+    rng = random.Random(23)
+    keys = [(rng.randrange(-5, 5), rng.randrange(-3, 3), rng.randrange(0, 3)) for _ in range(300)]
+    for n in (0, 1, 2, 7, 64, 140):
+        bounds = sorted(rng.sample(sorted(set(keys)), min(n, len(set(keys)))))
+        got = spark.createDataFrame(keys, "h long, d long, n long").select("h", "d", "n", sharding._index(bounds).alias("r")).collect()
+        assert all(r["r"] == bisect.bisect_right(bounds, (r["h"], r["d"], r["n"])) for r in got)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000])
 def test_feistel_slots_are_a_permutation(spark, n):
     got = [r["slot"] for r in binout.slots(spark.range(n).withColumnRenamed("id", "index"), n).collect()]
