@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from debitage.functions.scalars import fixed
-from debitage.iterate import connected_components
+from debitage.iterate import MAX_ROUNDS, connected_components, tabled
 from debitage.operators.topology import M
 
 IOU = 0.5
@@ -46,7 +47,6 @@ def overlaps(labelled: DataFrame) -> DataFrame:
 
 def assignment(cost: list[list[float]]) -> list[tuple[int, int]]:
     """The (row, column) pairs of least total cost that use up the shorter side: shortest augmenting paths."""
-    import numpy as np
 
     c = np.asarray(cost, float)
     flip = c.shape[0] > c.shape[1]
@@ -79,26 +79,69 @@ def assignment(cost: list[list[float]]) -> list[tuple[int, int]]:
     return sorted((b, a) if flip else (a, b) for a, b in found)
 
 
-def optimal_matches(pairs: DataFrame, iou: float = IOU) -> DataFrame:
+#: Overlapping pairs of a component that one task solves as it is; pairs of larger ones that are sure are taken out first.
+DENSE = 20_000
+#: Equally good matchings are told apart by so little: low labels together first.
+TIE = 1e-9
+
+
+def sure_matches(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs that every optimal matching holds, pairs that are left) of overlaps (mesh_id, gt, pred, iou).
+
+    A pair that beats the best other pair of its one label and that of its other together
+    can't be missing: whatever the two were matched to instead is worth less.  Pairs of
+    matched labels go, and the rest is looked at again until nothing more is sure.
+    """
+    left, sure = tabled(pairs.select(M, "gt", "pred", "iou")), None
+    for _ in range(MAX_ROUNDS):
+        seen = left
+        for side, other in (("gt", "pred"), ("pred", "gt")):
+            best = left.groupBy(M, side).agg(F.max(F.struct("iou", other)).alias("best"))
+            seen = seen.join(best, [M, side])
+            second = seen.where(F.col(other) != F.col(f"best.{other}")).groupBy(M, side).agg(F.max("iou").alias("second"))
+            rival = F.when(F.col(other) == F.col(f"best.{other}"), F.coalesce("second", F.lit(0.0))).otherwise(F.col("best.iou"))
+            seen = seen.join(second, [M, side], "left").withColumn(f"{side}_rival", rival).drop("best", "second")
+        now = tabled(seen.where(F.col("iou") > F.col("gt_rival") + F.col("pred_rival") + 2 * TIE).select(M, "gt", "pred"))
+        if now.isEmpty():
+            break
+        sure = now if sure is None else sure.unionByName(now)
+        left = tabled(left.join(now.select(M, "gt"), [M, "gt"], "left_anti").join(now.select(M, "pred"), [M, "pred"], "left_anti"))
+    return (left.select(M, "gt", "pred").limit(0) if sure is None else sure), left
+
+
+def optimal_matches(pairs: DataFrame, iou: float = IOU, dense: int = DENSE) -> DataFrame:
     """pairs (overlaps) of the matching with the largest sum of IoU, those of at least ``iou``.
 
     Labels that don't overlap, even through others, can't affect each other, so each
-    connected component of the overlap graph is solved on its own.
+    connected component of the overlap graph is solved on its own.  Those of over ``dense``
+    pairs first lose their sure matches, which leaves them in small pieces.  Of equally
+    good matchings the one with low labels together is taken.
     """
     if iou <= 0:
         raise ValueError("pairs without overlap would count as matches")
     kinds = dict(pairs.dtypes)
-    edges = pairs.select(M, (F.col("gt").cast("long") * 2).alias("src"), (F.col("pred").cast("long") * 2 + 1).alias("dst"))
-    parts = connected_components(edges, keys=[M]).where("node % 2 = 0").select(M, (F.col("node") / 2).cast("long").alias("gt"), "component")
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
         table = p.pivot_table(index="gt", columns="pred", values="iou", fill_value=0.0)
-        chosen = assignment((1 - table.values).tolist())
-        rows = [(p[M].iloc[0], table.index[a], table.columns[b]) for a, b in chosen if table.values[a, b] > 0]
+        cost = 1 - table.values + TIE * np.outer(np.arange(1, len(table) + 1), np.arange(1, len(table.columns) + 1)) / table.size
+        rows = [(p[M].iloc[0], table.index[a], table.columns[b]) for a, b in assignment(cost.tolist()) if table.values[a, b] > 0]
         return pd.DataFrame(rows, columns=[M, "gt", "pred"])
 
-    own = pairs.select(M, F.col("gt").cast("long").alias("gt"), F.col("pred").cast("long").alias("pred"), "iou").join(parts, [M, "gt"])
-    found = own.groupBy(M, "component").applyInPandas(solve, f"{M} {kinds[M]}, gt long, pred long")
+    def in_parts(own: DataFrame) -> DataFrame:
+        edges = own.select(M, (F.col("gt").cast("long") * 2).alias("src"), (F.col("pred").cast("long") * 2 + 1).alias("dst"))
+        parts = connected_components(edges, keys=[M]).where("node % 2 = 0").select(M, (F.col("node") / 2).cast("long").alias("gt"), "component")
+        return own.select(M, F.col("gt").cast("long").alias("gt"), F.col("pred").cast("long").alias("pred"), "iou").join(parts, [M, "gt"])
+
+    own = tabled(in_parts(pairs))
+    large = own.groupBy(M, "component").agg(F.count("*").alias("n")).where(F.col("n") > dense).select(M, "component")
+    found = None
+    if not large.isEmpty():
+        large = tabled(large)
+        sure, left = sure_matches(own.join(large, [M, "component"], "left_semi"))
+        own = own.join(large, [M, "component"], "left_anti").unionByName(in_parts(left))
+        found = sure
+    solved = own.groupBy(M, "component").applyInPandas(solve, f"{M} {kinds[M]}, gt long, pred long")
+    found = solved if found is None else solved.unionByName(found)
     found = found.select(M, F.col("gt").cast(kinds["gt"]).alias("gt"), F.col("pred").cast(kinds["pred"]).alias("pred"))
     return pairs.join(found, [M, "gt", "pred"]).where(F.col("iou") >= iou)
 

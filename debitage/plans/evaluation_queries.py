@@ -17,11 +17,11 @@ ga as (select mesh_id, gt, count(*) as gt_area from lp where gt <> 0 group by al
 ov as (select mesh_id, gt, pred, count(*) as intersection, any_value(gt_area) as gt_area, any_value(pred_area) as pred_area, count(*) / (any_value(gt_area) + any_value(pred_area) - count(*)) as iou, count(*) / any_value(gt_area) as gt_coverage, count(*) / any_value(pred_area) as pred_coverage
   from lp join ga using (mesh_id, gt) join pa using (mesh_id, pred) group by mesh_id, gt, pred)"""
 GAPS = BASE.replace("join pred p", "join predg p")
-#: The matching of largest total IoU by dynamic programming over sets of taken predictions (labels 1 to 6).
+#: The matching of largest total IoU, of equal ones that of low labels together, by dynamic programming over sets of taken predictions (labels 1 to 6).
 _STEPS = ", ".join(
     ["d0 as (select distinct mesh_id, 0 as taken, 0.0::double as total, []::bigint[] as picks from lp)"]
     + [
-        f"d{g} as (select mesh_id, taken, max(total) as total, arg_max(picks, total) as picks from (select * from d{g - 1} union all select d.mesh_id, d.taken | (1 << o.pred), d.total + o.iou, list_append(d.picks, {g} * 100 + o.pred) from d{g - 1} d join ov o on o.mesh_id = d.mesh_id and o.gt = {g} where (d.taken >> o.pred) & 1 = 0) group by mesh_id, taken)"
+        f"d{g} as (select mesh_id, taken, max(total) as total, arg_max(picks, total) as picks from (select * from d{g - 1} union all select d.mesh_id, d.taken | (1 << o.pred), d.total + o.iou - 1e-9 * o.gt * o.pred / 36, list_append(d.picks, {g} * 100 + o.pred) from d{g - 1} d join ov o on o.mesh_id = d.mesh_id and o.gt = {g} where (d.taken >> o.pred) & 1 = 0) group by mesh_id, taken)"
         for g in range(1, 7)
     ]
 )

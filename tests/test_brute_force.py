@@ -582,3 +582,31 @@ def test_scores_from_pixels_to_faces(spark, tables):
                 break
             value |= new
         assert {k: spread[m, k] for k in value} == pytest.approx(value)
+
+
+def test_sure_matches_are_taken_out_of_large_components(spark):
+    """Chains and blocks of overlapping labels: the same total whether a component is solved whole or in pieces, and by the dense solver."""
+    rng, rows = random.Random(61), []
+    for m in ("chain", "block"):
+        pairs = {}
+        for g in range(1, 61):
+            for p in range(max(1, g - 2), min(60, g + 2) + 1) if m == "chain" else rng.sample(range(1, 41), 5):
+                pairs[g, p] = round(rng.random() ** 3, 3)
+        rows += [(m, g, p, x) for (g, p), x in pairs.items() if x > 0]
+    table = spark.createDataFrame(rows, "mesh_id string, gt int, pred int, iou double")
+    totals = {}
+    for dense in (20_000, 10):
+        got = E.optimal_matches(table, 1e-6, dense).collect()
+        for m in ("chain", "block"):
+            own = [r for r in got if r["mesh_id"] == m]
+            assert len({r["gt"] for r in own}) == len(own) == len({r["pred"] for r in own})
+            totals.setdefault(m, []).append(sum(r["iou"] for r in own))
+    for m in totals:
+        cost = np.ones((60, 60))
+        for k, g, p, x in rows:
+            if k == m:
+                cost[g - 1, p - 1] = 1 - x
+        best = sum(1 - cost[a, b] for a, b in E.assignment(cost.tolist()))
+        assert totals[m] == pytest.approx([best, best], abs=1e-6)
+    sure, left = E.sure_matches(table)
+    assert sure.count() > 10 and left.count() < len(rows)
