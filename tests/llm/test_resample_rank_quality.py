@@ -220,7 +220,7 @@ def junk(rng, kind):
 
 
 def prose(rng):
-    return "\n".join(" ".join(rng.choice(["an", "the", "it", f"w{rng.randrange(900)}en"]) + ("" if i % 9 else ",") for i in range(20)) + "." for _ in range(6))
+    return "\n".join(" ".join(rng.choice(["an", "the", *(f"w{rng.randrange(900)}en" for _ in range(6))]) + ("" if i % 9 else ",") for i in range(20)) + "." for _ in range(6))
 
 
 def test_weak_supervision_tells_junk_from_prose(spark):
