@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from debitage.functions.scalars import fixed
 from debitage.iterate import MAX_ROUNDS, connected_components, tabled
+from debitage.operators.auction import auction
 from debitage.operators.topology import M
 
 IOU = 0.5
@@ -79,8 +80,10 @@ def assignment(cost: list[list[float]]) -> list[tuple[int, int]]:
     return sorted((b, a) if flip else (a, b) for a, b in found)
 
 
-#: Overlapping pairs of a component that one task solves as it is; pairs of larger ones that are sure are taken out first.
+#: Overlapping pairs of a component that one task solves as it is; larger ones lose the pairs that are sure, and bid for the rest.
 DENSE = 20_000
+#: Offers that bidders of a task settle among themselves: no matrix, so far more than DENSE.
+BLOCK = 1_000_000
 #: Equally good matchings are told apart by so little: low labels together first.
 TIE = 1e-9
 
@@ -109,13 +112,14 @@ def sure_matches(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (left.select(M, "gt", "pred").limit(0) if sure is None else sure), left
 
 
-def optimal_matches(pairs: DataFrame, iou: float = IOU, dense: int = DENSE) -> DataFrame:
+def optimal_matches(pairs: DataFrame, iou: float = IOU, dense: int = DENSE, block: int = BLOCK) -> DataFrame:
     """pairs (overlaps) of the matching with the largest sum of IoU, those of at least ``iou``.
 
     Labels that don't overlap, even through others, can't affect each other, so each
     connected component of the overlap graph is solved on its own.  Those of over ``dense``
-    pairs first lose their sure matches, which leaves them in small pieces.  Of equally
-    good matchings the one with low labels together is taken.
+    pairs first lose their sure matches, which leaves most of them in small pieces; pieces
+    that still are larger go by auction, in tasks of about ``block`` offers.  Of equally
+    good matchings the one with low labels together is taken, by auction any.
     """
     if iou <= 0:
         raise ValueError("pairs without overlap would count as matches")
@@ -133,13 +137,18 @@ def optimal_matches(pairs: DataFrame, iou: float = IOU, dense: int = DENSE) -> D
         return own.select(M, F.col("gt").cast("long").alias("gt"), F.col("pred").cast("long").alias("pred"), "iou").join(parts, [M, "gt"])
 
     own = tabled(in_parts(pairs))
-    large = own.groupBy(M, "component").agg(F.count("*").alias("n")).where(F.col("n") > dense).select(M, "component")
-    found = None
+    def over(own: DataFrame) -> DataFrame:
+        return tabled(own.groupBy(M, "component").agg(F.count("*").alias("n")).where(F.col("n") > dense).select(M, "component"))
+
+    large, found = over(own), None
     if not large.isEmpty():
-        large = tabled(large)
-        sure, left = sure_matches(own.join(large, [M, "component"], "left_semi"))
-        own = own.join(large, [M, "component"], "left_anti").unionByName(in_parts(left))
-        found = sure
+        found, left = sure_matches(own.join(large, [M, "component"], "left_semi"))
+        own = own.join(large, [M, "component"], "left_anti")
+        left = tabled(in_parts(left))
+        large = over(left)
+        if not large.isEmpty():
+            found = found.unionByName(auction(left.join(large, [M, "component"], "left_semi"), block))
+        own = own.unionByName(left.join(large, [M, "component"], "left_anti"))
     solved = own.groupBy(M, "component").applyInPandas(solve, f"{M} {kinds[M]}, gt long, pred long")
     found = solved if found is None else solved.unionByName(found)
     found = found.select(M, F.col("gt").cast(kinds["gt"]).alias("gt"), F.col("pred").cast(kinds["pred"]).alias("pred"))

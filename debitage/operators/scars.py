@@ -66,11 +66,10 @@ def boundary_statistics(faces: DataFrame, normals: DataFrame, labels: DataFrame,
     """
     candidates = corners(faces).join(boundary, [M, "vertex_id"]).select(M, "scar_a", "scar_b", "face_id").distinct()
     known = normals.select(M, "face_id", "nx", "ny", "nz").join(face_labels(faces, labels, majority_non_zero), [M, "face_id"])
-    every = face_sides(faces).join(known, [M, "face_id"])
-    # an edge whose faces all have one label can't cross, whatever the candidates
-    mixed = every.groupBy(M, "lo", "hi").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(M, "lo", "hi")
-    sides = candidates.join(every.join(mixed, [M, "lo", "hi"]), [M, "face_id"])
     one = F.struct("face_id", "slot", "label", "nx", "ny", "nz")
+    # an edge whose faces all have one label can't cross, whatever the candidates
+    edges = face_sides(faces).join(known, [M, "face_id"]).groupBy(M, "lo", "hi").agg(F.collect_list(one).alias("sides"), F.min("label").alias("least"), F.max("label").alias("most"))
+    sides = candidates.join(edges.where("least <> most").select(M, "lo", "hi", F.inline("sides")), [M, "face_id"])
     met = sides.groupBy(M, "scar_a", "scar_b", "lo", "hi").agg(F.count("*").alias("n"), F.min(one).alias("a"), F.max(one).alias("b"))
     dot = F.col("a.nx") * F.col("b.nx") + F.col("a.ny") * F.col("b.ny") + F.col("a.nz") * F.col("b.nz")
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))

@@ -8,6 +8,7 @@ from debitage.operators import evaluate as E
 from debitage.operators import geometry as G
 from debitage.operators import scores as I
 from debitage.operators import topology as T
+from debitage.operators.auction import auction
 from debitage.plans import demo
 from debitage.plans.demo import sql, table
 from debitage.plans.registry import query, rounded
@@ -55,6 +56,16 @@ def e3_sure(spark, sf):
     return rounded(E.optimal_matches(E.overlaps(_labelled(spark, sf)), 0.6667).select("mesh_id", "gt", "pred", "iou"))
 
 
+BIDS = _STEPS + """, dm as (select mesh_id, unnest(arg_max(picks, total)) as pick from d6 group by mesh_id)"""
+
+
+@query("e3_auction_total", sql("select mesh_id, count(*) as pairs, round(sum(iou), 6) as total from ov join dm using (mesh_id) where pick = gt * 100 + pred group by all", BASE, BIDS))
+def e3_auction(spark, sf):
+    ov = E.overlaps(_labelled(spark, sf))
+    won = auction(ov.withColumn("component", F.lit(0)), E.BLOCK).join(ov, ["mesh_id", "gt", "pred"])
+    return rounded(won.groupBy("mesh_id").agg(F.count("*").alias("pairs"), F.sum("iou").alias("total")))
+
+
 PANOPTIC = """select m.mesh_id, n_gt, n_pred, tp, n_pred - tp as fp, n_gt - tp as fn, round(case when n_pred = 0 then 1 else tp / n_pred end, 6) as precision, round(case when n_gt = 0 then 1 else tp / n_gt end, 6) as recall,
  round(case when n_gt + n_pred = 0 then 1 when tp + (n_pred-tp)/2 + (n_gt-tp)/2 > 0 then s / (tp + (n_pred-tp)/2 + (n_gt-tp)/2) else 0 end, 6) as pq, round(case when n_gt + n_pred = 0 then 1 when tp + (n_pred-tp)/2 + (n_gt-tp)/2 > 0 then tp / (tp + (n_pred-tp)/2 + (n_gt-tp)/2) else 0 end, 6) as rq
  from (select mesh_id, (select count(*) from ga where ga.mesh_id = m.mesh_id) as n_gt, (select count(*) from pa where pa.mesh_id = m.mesh_id) as n_pred, (select count(*) from mt where mt.mesh_id = m.mesh_id) as tp, coalesce((select sum(iou) from mt where mt.mesh_id = m.mesh_id), 0) as s from m) m"""

@@ -18,6 +18,7 @@ from debitage.operators import scars as S
 from debitage.operators import scores as I
 from debitage.operators import segment as K
 from debitage.operators import topology as T
+from debitage.operators.auction import auction, settle
 from debitage.sources import mesh_files as files
 
 W = 7
@@ -610,3 +611,50 @@ def test_sure_matches_are_taken_out_of_large_components(spark):
         assert totals[m] == pytest.approx([best, best], abs=1e-6)
     sure, left = E.sure_matches(table)
     assert sure.count() > 10 and left.count() < len(rows)
+
+
+def random_overlaps(n, degree, seed):
+    rng = np.random.default_rng(seed)
+    pairs = {(g, int(p)): float(rng.random() ** 2 / 2) for g in range(n) for p in (g + rng.integers(-4, 5, degree)) % n}
+    return [(g, p, x) for (g, p), x in pairs.items()]
+
+
+def best_total(rows):
+    cost = np.ones((1 + max(r[0] for r in rows), 1 + max(r[1] for r in rows)))
+    for g, p, x in rows:
+        cost[g, p] = 1 - x
+    return sum(1 - cost[a, b] for a, b in E.assignment(cost.tolist()))
+
+
+def test_a_task_of_bidders_settles():
+    """Everybody has a good, nobody wants another's by more than the raise, and a bidder without rivals keeps its price."""
+    bidder, good = np.array([1, 1, 2, 2, 3, 3]), np.array([1, 9, 2, 9, 3, 7])
+    value, price = np.array([0, 50, 0, 80, 0, 40]), np.array([0, 0, 0, 0, 0, 10])
+    found = {g: (b, p) for g, b, p in settle(bidder, good, value, price, np.zeros(6, bool), 1)}
+    assert found[9][0] == 2 and 50 <= found[9][1] <= 81 and found[1][0] == 1 and found[7] == (3, 41)
+    # bids may end before all have a good: the rest bid again in another round
+    assert len(settle(bidder, good, value, price, np.zeros(6, bool), 1, bids=1)) == 1
+    # who holds a good stays silent
+    assert settle(bidder[:2], good[:2], value[:2], price[:2], np.array([False, True]), 1) == []
+
+
+@pytest.mark.parametrize("block", [10_000, 100])
+def test_auction_finds_the_largest_total(spark, block):
+    """Two meshes of random overlaps, in a task each and split over several: a matching, its total that of the dense solver."""
+    meshes = {"m": random_overlaps(18, 3, 7), "n": random_overlaps(10, 4, 8)}
+    table = spark.createDataFrame([(m, 0, *r) for m, rows in meshes.items() for r in rows], "mesh_id string, component int, gt int, pred int, iou double")
+    got = auction(table, block).join(table, ["mesh_id", "gt", "pred"]).collect()
+    for m, rows in meshes.items():
+        own = [r for r in got if r["mesh_id"] == m]
+        assert len({r["gt"] for r in own}) == len(own) == len({r["pred"] for r in own})
+        assert sum(r["iou"] for r in own) == pytest.approx(best_total(rows), abs=1e-6)
+    assert auction(table.limit(0), block).count() == 0
+
+
+def test_large_components_go_by_auction(spark):
+    """What is left of a component once its sure pairs are gone is solved by auction, with the dense solver's total; 1,200 labels of each side."""
+    rows = random_overlaps(1200, 6, 9)
+    table = spark.createDataFrame([("m", *r) for r in rows], "mesh_id string, gt int, pred int, iou double")
+    got = E.optimal_matches(table, 1e-9, dense=500).collect()
+    assert len({r["gt"] for r in got}) == len(got) == len({r["pred"] for r in got})
+    assert sum(r["iou"] for r in got) == pytest.approx(best_total(rows), abs=1e-5)
