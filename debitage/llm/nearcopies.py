@@ -1,7 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
 
-A similarity of 0.8 leaves about ten of 64 fingerprint bits different, too many for
-tables of bit blocks.  So texts meet where the least shingle hashes of a band agree
+SimHash comes first: fingerprints of the shingles meet in the tables of bit blocks
+and pivot distances of debitage.llm.simhash, and texts of linked fingerprints are
+candidates.  A similarity of 0.8 leaves about ten of 64 fingerprint bits different, too
+many for such tables.  So texts also meet where the least shingle hashes of a band agree
 (twelve bands of four: two texts of similarity 0.8 meet with probability 0.998), and
 fingerprints of radius ``RADIUS`` discard there what can't be linked.  What is left is
 verified by its exact shingle sets.  Members of a large bucket are first compared with
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from debitage.iterate import connected_components, materialise
+from debitage.llm import simhash
 from debitage.llm.wordhash import slices
 
 WORDS = 5
@@ -203,6 +206,17 @@ def _of(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(found, "th", "left").withColumn("component", F.coalesce("component", "th"))
 
 
+def _fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """a, b, turned: candidate pairs a < b of texts whose fingerprints are equal or linked by SimHash's tables.
+
+    The least text stands for its fingerprint, so an end of many partners is a representative: a, or b where turned.
+    """
+    reps = materialise(texts.groupBy("fp").agg(F.min("th").alias("rep"), F.count("*").alias("n")))
+    same = texts.join(reps.where("n > 1"), "fp").where("th <> rep").select(F.col("rep").alias("src"), F.col("th").alias("dst"))
+    met = simhash.links(reps.select("fp", "rep"), forests=True).unionByName(same)
+    return met.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("src") > F.col("dst")).alias("turned"))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, row (hash of all columns), component of every row of docs: links are exact Jaccard >= 0.8."""
     rows = docs.select(F.col("doc_id").cast("long"), row_hash(docs).alias("row"), F.col("text").cast("string").alias("text"))
@@ -212,7 +226,7 @@ def components(docs: DataFrame) -> DataFrame:
     sizes = materialise(dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     met = dealt.join(sizes, "key")
     buckets = met.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("th", "n", "fp")).alias("members")).select("members")
-    pairs = buckets.mapInArrow(_pairs, "a long, b long").withColumn("turned", F.lit(False))
+    pairs = _fingerprint_pairs(texts.select("th", "fp")).unionByName(buckets.mapInArrow(_pairs, "a long, b long").withColumn("turned", F.lit(False)))
     some_large = not sizes.where(F.col("size") > SMALL).isEmpty()
     if some_large:
         large = materialise(met.where(F.col("size") > SMALL))

@@ -125,14 +125,46 @@ def _hot_links(hot: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return out.join(star.where("hub is not null"), ["t", "key", "centre"]).where("rep <> hub").select(F.col("hub").alias("src"), F.col("rep").alias("dst")).distinct()
 
 
-def links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """src, dst: representatives of distinct fingerprints (columns fp, rep) that are linked, through others at least."""
+def linked_forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few of linked_pairs as join the same fps, each from the lesser index."""
+    i, j = linked_pairs(fps)
+    begin, component = np.searchsorted(i, np.arange(len(fps) + 1)), np.arange(len(fps))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(len(fps)):
+        to = j[begin[k] : begin[k + 1]]
+        to = to[component[to] != component[k]]
+        if len(to):
+            others, first = np.unique(component[to], return_index=True)
+            left.append(np.full(len(first), k))
+            right.append(to[first])
+            component[np.isin(component, others)] = component[k]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _bucket_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for members in b.column(0):
+            rows = members.values
+            rep = rows.field("rep").to_numpy(zero_copy_only=False)
+            order = np.argsort(rep)
+            i, j = linked_forest(rows.field("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[order])
+            src.append(rep[order][i])
+            dst.append(rep[order][j])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
+
+
+def links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET, forests: bool = False) -> DataFrame:
+    """src, dst: representatives of distinct fingerprints (columns fp, rep) that are linked, through others at least.
+
+    ``forests``: of the links inside a bucket only as many as join its members.
+    """
     tables = F.array(*(F.struct(F.lit(t).alias("t"), key_of(F.col("fp"), b).alias("key")) for t, b in enumerate(TABLES)))
     dealt = distinct.select("fp", "rep", F.explode(tables).alias("x")).select("x.t", "x.key", "fp", "rep")
     sizes = materialise(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
     met = dealt.join(sizes, ["t", "key"])
     cold = met.where(F.col("n") <= hot_bucket).groupBy("t", "key").agg(F.collect_list(F.struct("fp", "rep")).alias("members")).select("members")
-    found = cold.mapInArrow(_bucket_links, "src long, dst long")
+    found = cold.mapInArrow(_bucket_forests if forests else _bucket_links, "src long, dst long")
     if not sizes.where(F.col("n") > hot_bucket).isEmpty():
         found = found.unionByName(_hot_links(met.where(F.col("n") > hot_bucket)))
     return found

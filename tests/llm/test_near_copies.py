@@ -84,3 +84,52 @@ def test_centres_are_next_to_the_majority(spark):
         for c in sorted(own, key=lambda r: (apart(r[3], majority), r[1]))[: nearcopies.CENTRES]:
             want |= {(min(c[1], r[1]), max(c[1], r[1]), c[1] > r[1]) for r in own if r != c and min(r[2], c[2]) >= 0.8 * max(r[2], c[2]) and apart(r[3], c[3]) <= nearcopies.RADIUS}
     assert {tuple(r) for r in nearcopies._centre_pairs(large).collect()} == want
+
+
+def test_fingerprints_link_texts_that_share_no_band(spark, monkeypatch):
+    from debitage.llm import simhash
+
+    rng, signatures = random.Random(29), nearcopies._signatures
+
+    def bandless(batches):  # each text alone in its bands: SimHash's tables must find what is linked
+        import pyarrow as pa
+
+        for b in signatures(batches):
+            keys = [[th * 12 + k & (1 << 62) - 1 for k in range(12)] for th in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(keys, pa.list_(pa.int64()))], b.schema.names)
+
+    texts = []
+    for k in range(20):
+        base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join([*base[:-1], f"z{k}"]), " ".join([f"y{k}", *base[1:]]), " ".join(f"v{rng.randrange(3000)}" for _ in range(90))]
+    whole = [nearcopies.signature(t) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            near = ((whole[i][2] ^ whole[j][2]) & (2**64 - 1)).bit_count() <= simhash.MAX_BITS
+            if near and nearcopies.similarity(nearcopies.shingle_set(texts[i]), nearcopies.shingle_set(texts[j])) >= nearcopies.SIMILAR:
+                x, y = want[i], want[j]
+                want = [min(x, y) if w in (x, y) else w for w in want]
+    assert len(set(want)) < len(texts) - 20
+    monkeypatch.setattr(nearcopies, "_signatures", bandless)
+    kept = sorted(r["doc_id"] for r in nearcopies.drop_near_copies(table(spark, enumerate(texts))).collect())
+    assert kept == sorted(set(want))
+
+
+def test_forests_join_what_pairs_join():
+    import numpy as np
+
+    from debitage.llm import simhash
+
+    rng = np.random.default_rng(30)
+    base = rng.integers(0, 2**64, 6, dtype=np.uint64)
+    fps = np.array([base[k % 6] ^ (np.uint64(1) << np.uint64(rng.integers(64))) ^ (np.uint64(1) << np.uint64(rng.integers(64))) for k in range(90)])
+
+    def joined(pairs):
+        of = list(range(len(fps)))
+        for i, j in zip(*pairs, strict=True):
+            of = [min(of[i], of[j]) if x in (of[i], of[j]) else x for x in of]
+        return of
+
+    forest = simhash.linked_forest(fps)
+    assert joined(forest) == joined(simhash.linked_pairs(fps)) and len(forest[0]) == len(fps) - len(set(joined(forest)))
