@@ -71,3 +71,36 @@ def test_windows_that_win_equal_the_maxima(monkeypatch):
         wins, best = toxicity._won(table, t)
         want = m.maxima(table, t, np.array([0, n]))[0]
         assert np.allclose(best, want, atol=1e-5) and ((0 <= wins) & (wins < n)).all()
+
+
+def test_equal_texts_have_equal_maxima_wherever_they_stand():
+    rng = np.random.default_rng(34)
+    m = toxicity.model(toxicity.begin(rng.normal(0, 1, toxicity.BUCKETS)))
+    text = rng.integers(0, toxicity.BUCKETS, (37, 1 + len(toxicity.PREFIXES))).astype(np.uint16)
+    lone = m.logits(m.table(), text, np.array([0, 37]))
+    for before in range(40):
+        words = np.concatenate([rng.integers(0, toxicity.BUCKETS, (before, text.shape[1])).astype(np.uint16), text, text[:before]])
+        z = m.logits(m.table(), words, np.array([0, before, before + 37, len(words)]))
+        assert z[1] == lone[0]
+
+
+def test_each_part_has_a_task_and_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ROWS", 50)
+    d, labels = tables(spark, [f"word{i} common" for i in range(1000)], [i % 2 for i in range(1000)])
+    texts = []
+    write = toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, at: texts.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, at))
+    rows = toxicity.labelled(d, labels)
+    assert texts[0].count("Exchange ") == 1  # dealt and grouped at once
+    files = {}
+    for r in rows.selectExpr("part", "input_file_name() as f").distinct().collect():
+        files.setdefault(r["f"], set()).add(r["part"])
+    assert len(files) == 16 and all(len(p) == 1 for p in files.values())  # no two parts in a task
+    assert sum(fold(i) != 2 for i in range(1000)) == rows.count()
+
+
+def test_long_vectors_are_added_in_slices(spark):
+    v = [np.arange(1000) * k for k in range(1, 8)]
+    rows = spark.createDataFrame([(bytearray(x.astype("<i8").tobytes()),) for x in v], "v binary").repartition(7)
+    assert (toxicity._total(rows) == np.arange(1000) * 28).all()
+    assert len(toxicity._total(rows.limit(0))) == 0
