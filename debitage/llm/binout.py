@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from debitage.iterate import written
 from debitage.llm.wordhash import slices
 from debitage.llm.wordtok import PART, closed, text_ids
 
@@ -29,6 +30,8 @@ WINDOW = 512
 END = 0
 #: Records of a shard.
 SHARD = 1 << 14
+#: Runs in which shards are written.
+WAVES = 2
 ROUNDS = 4
 KEY = 0x5EED
 
@@ -166,9 +169,11 @@ class _Writer:
 def materialised(dealt: DataFrame, folder: str) -> DataFrame:
     """Write ordered() as files shard-NNNNNN.bin of records one after another; returns its rows with the file's path in place of the record.
 
-    A record stands at byte_offset of its path, so reading goes on from any slot.  Tasks
-    that run twice leave one whole file each; null and repeated doc_ids keep their
-    records; an empty table writes nothing.
+    The shards are written at once, in ``WAVES`` runs of every so manyth shard, so only
+    one run's records are in shuffle files at a time; the rows come from a table beside
+    the folder, so what reads them writes no shard again.  A record stands at byte_offset
+    of its path, so reading goes on from any slot.  Tasks that run twice leave one whole
+    file each; null and repeated doc_ids keep their records; an empty table writes nothing.
     """
     kept = ["doc_id", "piece", "length", "ids_crc32", "slot", "shard", "byte_offset"]
 
@@ -182,7 +187,11 @@ def materialised(dealt: DataFrame, folder: str) -> DataFrame:
         writer.close()
 
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
-    return dealt.select(*kept, "record").mapInArrow(write, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", path string")
+    at = f"{folder.rstrip('/')}-rows-{uuid.uuid4().hex}"
+    for wave in range(WAVES):
+        some = dealt.where(F.pmod("shard", F.lit(WAVES)) == wave).select(*kept, "record")
+        found = written(some.mapInArrow(write, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", path string"), at, "append")
+    return found
 
 
 def write_shards(dealt: DataFrame, folder: str) -> DataFrame:
