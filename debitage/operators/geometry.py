@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from debitage.operators.topology import M, corners, face_sides
+from debitage.operators.topology import M, corners, face_sides, per_mesh, spread
 
 TINY = 1e-10
 
 
 def face_points(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Faces with the coordinates x0 .. z2 of their corners: one join and one grouping."""
-    placed = corners(faces).join(vertices.select(M, "vertex_id", "x", "y", "z"), [M, "vertex_id"])
+    placed = corners(faces).join(spread(vertices.select(M, "vertex_id", "x", "y", "z")), [M, "vertex_id"])
     picks = [F.max(F.when(F.col("corner") == k, F.col(a))).alias(f"{a}{k}") for k in range(3) for a in "xyz"]
     ids = [F.max(F.when(F.col("corner") == k, F.col("vertex_id"))).alias(f"v{k}") for k in range(3)]
     return placed.groupBy(M, "face_id").agg(*ids, *picks)
@@ -48,7 +48,7 @@ def _angle(dot: Column) -> Column:
 
 def edge_angles(normals: DataFrame) -> DataFrame:
     """mesh_id, lo, hi, angle: of two faces the angle of their normals, of one pi, of more 0."""
-    sides = face_sides(normals).join(normals.select(M, "face_id", "nx", "ny", "nz"), [M, "face_id"])
+    sides = face_sides(normals).join(spread(normals.select(M, "face_id", "nx", "ny", "nz")), [M, "face_id"])
     one = F.struct("face_id", "slot", "nx", "ny", "nz")
     both = sides.groupBy(M, "lo", "hi").agg(F.count("*").alias("n"), F.min(one).alias("a"), F.max(one).alias("b"))
     dot = F.col("a.nx") * F.col("b.nx") + F.col("a.ny") * F.col("b.ny") + F.col("a.nz") * F.col("b.nz")
@@ -58,7 +58,7 @@ def edge_angles(normals: DataFrame) -> DataFrame:
 def vertex_max_angles(vertices: DataFrame, angles: DataFrame) -> DataFrame:
     """mesh_id, vertex_id, angle: the largest angle of a vertex's edges, 0 without any."""
     ends = angles.select(M, F.explode(F.array("lo", "hi")).alias("vertex_id"), "angle").groupBy(M, "vertex_id").agg(F.max("angle").alias("angle"))
-    return vertices.select(M, "vertex_id").join(ends, [M, "vertex_id"], "left").fillna(0.0, ["angle"])
+    return vertices.select(M, "vertex_id").join(spread(ends), [M, "vertex_id"], "left").fillna(0.0, ["angle"])
 
 
 def sharp_vertices(max_angles: DataFrame, threshold: float) -> DataFrame:
@@ -70,14 +70,14 @@ def face_sharpness(face_adj: DataFrame, normals: DataFrame) -> DataFrame:
     own = normals.select(M, "face_id", "nx", "ny", "nz")
     other = normals.select(M, F.col("face_id").alias("nbr"), F.col("nx").alias("ox"), F.col("ny").alias("oy"), F.col("nz").alias("oz"))
     angle = _angle(F.col("nx") * F.col("ox") + F.col("ny") * F.col("oy") + F.col("nz") * F.col("oz"))
-    worst = face_adj.join(own, [M, "face_id"]).join(other, [M, "nbr"]).groupBy(M, "face_id").agg(F.max(angle).alias("a"))
-    return normals.select(M, "face_id").join(worst, [M, "face_id"], "left").select(M, "face_id", F.exp(-F.coalesce("a", F.lit(0.0))).alias("sharpness"))
+    worst = face_adj.join(spread(own), [M, "face_id"]).join(spread(other), [M, "nbr"]).groupBy(M, "face_id").agg(F.max(angle).alias("a"))
+    return normals.select(M, "face_id").join(spread(worst), [M, "face_id"], "left").select(M, "face_id", F.exp(-F.coalesce("a", F.lit(0.0))).alias("sharpness"))
 
 
 def vertex_normals(points: DataFrame) -> DataFrame:
     """mesh_id, vertex_id, nx, ny, nz: normalised sums of the incident faces' cross products."""
     rows = crosses(points)
-    sums = corners(rows).join(rows.select(M, "face_id", "cx", "cy", "cz"), [M, "face_id"]).groupBy(M, "vertex_id").agg(*(F.sum(f"c{a}").alias(f"s{a}") for a in "xyz"))
+    sums = corners(rows).join(spread(rows.select(M, "face_id", "cx", "cy", "cz")), [M, "face_id"]).groupBy(M, "vertex_id").agg(*(F.sum(f"c{a}").alias(f"s{a}") for a in "xyz"))
     n = F.sqrt(F.col("sx") ** 2 + F.col("sy") ** 2 + F.col("sz") ** 2)
     return sums.select(M, "vertex_id", *((F.col(f"s{a}") / F.when(n > 0, n).otherwise(1.0)).alias(f"n{a}") for a in "xyz"))
 
@@ -116,7 +116,7 @@ def bounds(meshes: DataFrame, vertices: DataFrame) -> DataFrame:
 def centred(vertices: DataFrame) -> DataFrame:
     """vertices with each mesh's mean position taken off."""
     means = vertices.groupBy(M).agg(*(F.avg(a).alias(f"mean_{a}") for a in "xyz"))
-    return vertices.join(means, M).withColumns({a: F.col(a) - F.col(f"mean_{a}") for a in "xyz"}).drop("mean_x", "mean_y", "mean_z")
+    return vertices.join(per_mesh(means), M).withColumns({a: F.col(a) - F.col(f"mean_{a}") for a in "xyz"}).drop("mean_x", "mean_y", "mean_z")
 
 
 def rotated(vertices: DataFrame, views: DataFrame) -> DataFrame:
@@ -183,6 +183,6 @@ def pca_aligned(vertices: DataFrame) -> DataFrame:
     kind = dict(vertices.dtypes)[M]
     sums = c.groupBy(M).agg(*(F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")))
     axes = sums.mapInPandas(_axes, f"{M} {kind}, " + ", ".join(f"e{k} double" for k in range(9)))
-    flat = c.join(axes, M).select(M, "vertex_id", *((sum(F.col(f"e{3 * k + j}") * F.col(a) for j, a in enumerate("xyz"))).alias(b) for k, b in enumerate("xyz")))
+    flat = c.join(per_mesh(axes), M).select(M, "vertex_id", *((sum(F.col(f"e{3 * k + j}") * F.col(a) for j, a in enumerate("xyz"))).alias(b) for k, b in enumerate("xyz")))
     signs = flat.groupBy(M).agg(*(F.max_by(F.signum(a), F.struct(F.abs(F.col(a)), -F.col("vertex_id"))).alias(f"s{a}") for a in "xyz"))
-    return flat.join(signs, M).select(M, "vertex_id", *((F.col(a) * F.when(F.col(f"s{a}") < 0, -1.0).otherwise(1.0)).alias(a) for a in "xyz"))
+    return flat.join(per_mesh(signs), M).select(M, "vertex_id", *((F.col(a) * F.when(F.col(f"s{a}") < 0, -1.0).otherwise(1.0)).alias(a) for a in "xyz"))

@@ -278,7 +278,7 @@ def i6(spark, sf):
     seen = I.weighted_mean(f, I.view_scores(px, facing))
     sharp = G.face_sharpness(adj, G.face_normals(G.face_points(f, G.pca_aligned(v)), soft=True))
     p = I.propagate_gamma(seen, adj)
-    return rounded(p.join(sharp, ["mesh_id", "face_id"]))
+    return rounded(p.join(T.spread(sharp), ["mesh_id", "face_id"]))
 
 
 @query("i3_canonical_views", None)

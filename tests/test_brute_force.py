@@ -658,3 +658,45 @@ def test_large_components_go_by_auction(spark):
     got = E.optimal_matches(table, 1e-9, dense=500).collect()
     assert len({r["gt"] for r in got}) == len(got) == len({r["pred"] for r in got})
     assert sum(r["iou"] for r in got) == pytest.approx(best_total(rows), abs=1e-5)
+
+
+def layered(start, links, top):
+    """Layers of faces: the lowest layer counts, then the highest score."""
+    now = dict(start)
+    for _ in range(top):
+        new = {}
+        for a, b in links:
+            if a in now and b not in now:
+                new[b] = max(new.get(b, 0.0), 0.95 * now[a])
+        now |= new
+    return now
+
+
+def test_gamma_crosses_regions_in_a_few_jobs(spark):
+    rng = random.Random(4)
+    n, steps = 150, 60
+    pairs = [(i, (i + 1) % n) for i in range(n)] + [(rng.randrange(n), rng.randrange(n)) for _ in range(9)]
+    links = [*pairs, *((b, a) for a, b in pairs)]
+    start = {0: 0.9, 3: 0.2, 75: 0.5}
+    scores = spark.createDataFrame([(m, i, start.get(i, 0.0) if m == "a" else 0.0) for m in "ab" for i in range(n)] + [("a", n, None)], "mesh_id string, face_id long, p double")
+    near = spark.createDataFrame([("a", b, 0, a) for a, b in links], "mesh_id string, face_id long, slot int, nbr long")
+    want = {top: [layered(start, links, top - 1).get(i, 0.0) for i in range(n)] + [None] for top in (4, steps)}
+    for size in (1000, 20):
+        for top in (4, steps):
+            got = by_mesh(I.propagate_gamma(scores, near, 0.95, top, size), "face_id", "p")["a"]
+            assert [got[i] for i in range(n + 1)] == want[top]
+    began = set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    I.propagate_gamma(scores, near, 0.95, steps).collect()
+    assert len(set(spark.sparkContext.statusTracker().getJobIdsForGroup()) - began) < 10  # not a job a layer
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_face_tables_are_not_broadcast(spark, tables):
+    v, f = tables
+    assert broadcasts(G.pca_aligned(v)) == 0
+    points = G.face_points(f, v)
+    assert broadcasts(points) == 0
+    assert broadcasts(G.face_sharpness(T.face_adjacency(f), G.face_normals(points))) == 0
