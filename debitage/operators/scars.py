@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from debitage.iterate import tabled
 from debitage.operators.geometry import crosses, face_normals, face_points
 from debitage.operators.segment import _layers
-from debitage.operators.topology import M, corners, face_sides, vertex_edges
+from debitage.operators.topology import M, corners, face_sides, per_mesh, spread, vertex_edges
 
 
 def erode_by_majority(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -29,14 +30,14 @@ def identify(labels: DataFrame) -> DataFrame:
 
 def scar_vertices(labels: DataFrame, scars: DataFrame) -> DataFrame:
     """mesh_id, vertex_id, scar_id."""
-    return labels.join(scars.select(M, "label", "scar_id"), [M, "label"]).select(M, "vertex_id", "scar_id")
+    return labels.join(per_mesh(scars.select(M, "label", "scar_id")), [M, "label"]).select(M, "vertex_id", "scar_id")
 
 
 def adjacency(edges: DataFrame, members: DataFrame) -> DataFrame:
     """mesh_id, scar_a, scar_b, vertex_id: the vertices on either side of each touching pair of scars."""
     a = members.select(M, F.col("vertex_id").alias("src"), F.col("scar_id").alias("sa"))
     b = members.select(M, F.col("vertex_id").alias("dst"), F.col("scar_id").alias("sb"))
-    touch = edges.join(a, [M, "src"]).join(b, [M, "dst"]).where("sa <> sb")
+    touch = edges.join(spread(a), [M, "src"]).join(spread(b), [M, "dst"]).where("sa <> sb")
     return touch.select(M, F.least("sa", "sb").alias("scar_a"), F.greatest("sa", "sb").alias("scar_b"), F.col("src").alias("vertex_id")).distinct()
 
 
@@ -52,7 +53,7 @@ def majority_non_zero(a: Column, b: Column, c: Column) -> Column:
 
 def face_labels(faces: DataFrame, labels: DataFrame, rule=majority_with_zero) -> DataFrame:
     """mesh_id, face_id, label by a majority rule over the corners' labels."""
-    own = corners(faces).join(labels.select(M, "vertex_id", "label"), [M, "vertex_id"], "left").groupBy(M, "face_id")
+    own = corners(faces).join(spread(labels.select(M, "vertex_id", "label")), [M, "vertex_id"], "left").groupBy(M, "face_id")
     at = own.agg(*(F.coalesce(F.max(F.when(F.col("corner") == k, F.col("label"))), F.lit(0)).alias(f"l{k}") for k in range(3)))
     return at.select(M, "face_id", rule(F.col("l0"), F.col("l1"), F.col("l2")).alias("label"))
 
@@ -64,28 +65,33 @@ def boundary_statistics(faces: DataFrame, normals: DataFrame, labels: DataFrame,
     of exactly two candidates with different non-zero labels give the mean and the
     population deviation of the angle.  The faces' labels need not be the pair's own.
     """
-    candidates = corners(faces).join(boundary, [M, "vertex_id"]).select(M, "scar_a", "scar_b", "face_id").distinct()
-    known = normals.select(M, "face_id", "nx", "ny", "nz").join(face_labels(faces, labels, majority_non_zero), [M, "face_id"])
-    one = F.struct("face_id", "slot", "label", "nx", "ny", "nz")
+    both = F.shiftleft(F.col("scar_a").cast("long"), 32).bitwiseOR(F.col("scar_b").cast("long"))
+    at = boundary.groupBy(M, "vertex_id").agg(F.collect_set(both).alias("pairs"))
+    candidates = corners(faces).join(spread(at), [M, "vertex_id"]).groupBy(M, "face_id").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    known = normals.join(spread(face_labels(faces, labels, majority_non_zero)), [M, "face_id"]).join(spread(candidates), [M, "face_id"])
+    one = F.struct("face_id", "slot", "label", "nx", "ny", "nz", "pairs")
     # an edge whose faces all have one label can't cross, whatever the candidates
-    edges = face_sides(faces).join(known, [M, "face_id"]).groupBy(M, "lo", "hi").agg(F.collect_list(one).alias("sides"), F.min("label").alias("least"), F.max("label").alias("most"))
-    sides = candidates.join(edges.where("least <> most").select(M, "lo", "hi", F.inline("sides")), [M, "face_id"])
-    met = sides.groupBy(M, "scar_a", "scar_b", "lo", "hi").agg(F.count("*").alias("n"), F.min(one).alias("a"), F.max(one).alias("b"))
+    edges = face_sides(known, "label", "nx", "ny", "nz", "pairs").groupBy(M, "lo", "hi").agg(F.collect_list(one).alias("sides"), F.min("label").alias("least"), F.max("label").alias("most"))
+    met = edges.where("least <> most").withColumn("pair", F.explode(F.array_distinct(F.flatten("sides.pairs"))))
+    met = met.withColumn("own", F.filter("sides", lambda x: F.array_contains(x["pairs"], F.col("pair")))).where("size(own) = 2")
+    kinds = dict(boundary.dtypes)
+    scar = lambda c, name: c.cast(kinds[name]).alias(name)
+    met = met.select(M, scar(F.shiftright("pair", 32), "scar_a"), scar(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)), "scar_b"), F.array_min("own").alias("a"), F.array_max("own").alias("b"))
     dot = F.col("a.nx") * F.col("b.nx") + F.col("a.ny") * F.col("b.ny") + F.col("a.nz") * F.col("b.nz")
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
-    crossing = met.where("n = 2 and a.label <> b.label and a.label <> 0 and b.label <> 0").withColumn("angle", angle)
+    crossing = met.where("a.label <> b.label and a.label <> 0 and b.label <> 0").withColumn("angle", angle)
     stats = crossing.groupBy(M, "scar_a", "scar_b").agg(F.avg("angle").alias("sharpness"), F.stddev_pop("angle").alias("roughness"), F.count("*").alias("boundary_size"))
     pairs = boundary.select(M, "scar_a", "scar_b").distinct()
-    return pairs.join(stats, [M, "scar_a", "scar_b"], "left").fillna(0, ["sharpness", "roughness", "boundary_size"])
+    return pairs.join(per_mesh(stats), [M, "scar_a", "scar_b"], "left").fillna(0, ["sharpness", "roughness", "boundary_size"])
 
 
 def scar_graph(vertices: DataFrame, faces: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(working labels, scars, boundary vertices, scar edges) of vertex segments (0: edge)."""
     edges = vertex_edges(faces)
     working = erode_by_majority(segments, edges)
-    scars = identify(working)
-    boundary = adjacency(edges, scar_vertices(working, scars))
-    stats = boundary_statistics(faces, face_normals(face_points(faces, vertices)), working, boundary)
+    scars = tabled(identify(working))
+    boundary = tabled(adjacency(edges, scar_vertices(working, scars)))
+    stats = tabled(boundary_statistics(faces, face_normals(face_points(faces, vertices)), working, boundary))
     return working, scars, boundary, stats
 
 

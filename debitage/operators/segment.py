@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from debitage.iterate import MAX_ROUNDS, SMALL, connected_components, tabled
 from debitage.operators.geometry import remap_by_frequency
-from debitage.operators.topology import M, corners, edge_list, vertex_edges
+from debitage.operators.topology import M, corners, edge_list, spread, vertex_edges
 
 
 def edge_costs(edges: DataFrame, scores: DataFrame, how: str = "max") -> DataFrame:
@@ -196,12 +196,12 @@ def _layers(labels: DataFrame, edges: DataFrame, pick: Callable, max_rounds: int
     labelled sooner), so a round joins the last layer alone and stores the new one.
     """
     open_ = labels.where("label = 0").select(M, F.col("vertex_id").alias("src"))
-    hops = tabled(edges.join(open_, [M, "src"], "left_semi"))
+    hops = tabled(edges.join(spread(open_), [M, "src"], "left_semi"))
     last, layers = labels.where("label > 0").select(M, "vertex_id", "label"), []
     for _ in range(max_rounds):
-        votes = hops.join(last.withColumnRenamed("vertex_id", "dst"), [M, "dst"])
+        votes = hops.join(spread(last.withColumnRenamed("vertex_id", "dst")), [M, "dst"])
         for before in layers[-2:]:
-            votes = votes.join(before.select(M, F.col("vertex_id").alias("src")), [M, "src"], "left_anti")
+            votes = votes.join(spread(before.select(M, F.col("vertex_id").alias("src"))), [M, "src"], "left_anti")
         last = tabled(pick(votes).select(M, F.col("src").alias("vertex_id"), "label"))
         if last.isEmpty():
             break
@@ -211,7 +211,7 @@ def _layers(labels: DataFrame, edges: DataFrame, pick: Callable, max_rounds: int
     if not layers:
         return labels
     new = functools.reduce(DataFrame.unionByName, layers).withColumnRenamed("label", "new")
-    return tabled(labels.join(new, [M, "vertex_id"], "left").select(M, "vertex_id", F.coalesce("new", "label").alias("label")))
+    return tabled(labels.join(spread(new), [M, "vertex_id"], "left").select(M, "vertex_id", F.coalesce("new", "label").alias("label")))
 
 
 def erode_to_min(labels: DataFrame, edges: DataFrame) -> DataFrame:

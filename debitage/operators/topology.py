@@ -16,7 +16,7 @@ def spread(table: DataFrame) -> DataFrame:
 
 
 def per_mesh(table: DataFrame) -> DataFrame:
-    """A table of a row a mesh, for a join with a longer one: its tasks look their meshes up, and neither side is copied to the driver."""
+    """A table of a row a mesh or segment, for a join with a longer one: tasks look their meshes up, and neither side is copied to the driver."""
     return table.hint("shuffle_hash")
 
 
@@ -33,11 +33,11 @@ def vertex_edges(faces: DataFrame) -> DataFrame:
     return rows.groupBy(M, F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).agg(F.min(F.col("face_id") * 6 + F.col("k")).alias("first_rank"))
 
 
-def face_sides(faces: DataFrame) -> DataFrame:
-    """mesh_id, face_id, slot, lo, hi: slot i is the side opposite to corner i."""
+def face_sides(faces: DataFrame, *kept: str) -> DataFrame:
+    """mesh_id, face_id, slot, lo, hi and the columns kept: slot i is the side opposite to corner i."""
     sides = [("v1", "v2"), ("v2", "v0"), ("v0", "v1")]
     side = F.array(*(F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")) for a, b in sides))
-    return faces.select(M, "face_id", F.posexplode(side).alias("slot", "e")).select(M, "face_id", "slot", "e.lo", "e.hi")
+    return faces.select(M, "face_id", F.posexplode(side).alias("slot", "e"), *kept).select(M, "face_id", "slot", "e.lo", "e.hi", *kept)
 
 
 def face_adjacency(faces: DataFrame) -> DataFrame:

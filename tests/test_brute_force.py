@@ -700,3 +700,39 @@ def test_face_tables_are_not_broadcast(spark, tables):
     points = G.face_points(f, v)
     assert broadcasts(points) == 0
     assert broadcasts(G.face_sharpness(T.face_adjacency(f), G.face_normals(points))) == 0
+
+
+def test_boundary_statistics_of_any_triangles(spark):
+    """Sides of one to many faces, against plain loops; no table of vertices or faces is broadcast."""
+    rng = random.Random(8)
+    tris = [tuple(rng.sample(range(24), 3)) for _ in range(160)]
+    at = {i: tuple(rng.random() for _ in range(3)) for i in range(24)}
+    label = {i: rng.randrange(5) for i in range(24)}
+    v = spark.createDataFrame([(1, i, *p) for i, p in at.items()], "mesh_id long, vertex_id long, x double, y double, z double")
+    f = spark.createDataFrame([(1, i, *t) for i, t in enumerate(tris)], "mesh_id long, face_id long, v0 long, v1 long, v2 long")
+    labels = spark.createDataFrame([(1, i, x) for i, x in label.items()], "mesh_id long, vertex_id long, label int")
+    edges, normals = T.vertex_edges(f), G.face_normals(G.face_points(f, v))
+    members = S.scar_vertices(labels, S.identify(labels))
+    boundary = S.adjacency(edges, members)
+    stats = S.boundary_statistics(f, normals, labels, boundary)
+    got = {(r["scar_a"], r["scar_b"]): (r["sharpness"], r["roughness"], r["boundary_size"]) for r in stats.collect()}
+    normal = {r["face_id"]: np.array([r["nx"], r["ny"], r["nz"]]) for r in normals.collect()}
+
+    def most(t):
+        a, b, c = (label[i] for i in t)
+        return a if a and a in (b, c) else b if b and b == c else a or b or c
+
+    touching = {}
+    for r in boundary.collect():
+        touching.setdefault((r["scar_a"], r["scar_b"]), set()).add(r["vertex_id"])
+    assert got.keys() == touching.keys() and len(got) == 6
+    for pair, ends in touching.items():
+        sides = {}
+        for i, t in enumerate(tris):
+            if ends & set(t):
+                for e in (t[:2], t[1:], (t[2], t[0])):
+                    sides.setdefault(frozenset(e), []).append(i)
+        angles = [math.acos(max(-1, min(1, float(normal[a] @ normal[b])))) for a, b in (s for s in sides.values() if len(s) == 2) if most(tris[a]) != most(tris[b]) and most(tris[a]) and most(tris[b])]
+        assert got[pair] == pytest.approx((np.mean(angles), np.std(angles), len(angles)) if angles else (0, 0, 0))
+    assert broadcasts(stats) == 0 and broadcasts(boundary) == 0
+    assert broadcasts(S.erode_by_majority(labels, edges)) == 0
