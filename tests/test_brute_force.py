@@ -736,3 +736,19 @@ def test_boundary_statistics_of_any_triangles(spark):
         assert got[pair] == pytest.approx((np.mean(angles), np.std(angles), len(angles)) if angles else (0, 0, 0))
     assert broadcasts(stats) == 0 and broadcasts(boundary) == 0
     assert broadcasts(S.erode_by_majority(labels, edges)) == 0
+
+
+def test_requests_share_the_edges_of_a_region(spark):
+    asked = [(f"r{i}", "m", 0 if i < 50 else 1) for i in range(53)]
+    work = spark.createDataFrame(asked, "request string, mesh_id string, region long")
+    graph = spark.createDataFrame([("m", region, k, k + 1, region, 1.0) for region in (0, 1, 2) for k in range(4)], "mesh_id string, region long, src long, to long, to_region long, cost double")
+    seen = lambda key, rows, edges: pd.DataFrame({"region": [key[1]], "asked": [len(rows)], "edges": [len(edges)]})
+    got = [tuple(r) for r in P._by_region(work, graph, seen, "region long, asked int, edges int", 20).collect()]
+    assert len(got) <= 4 and all(edges == 4 for _, _, edges in got)
+    assert sum(n for region, n, _ in got if region == 0) == 50 and (1, 3, 4) in got
+
+
+def test_a_search_ends_at_its_target():
+    line = {k: [(k - 1, 0, 1.0), (k + 1, 0, 1.0)] for k in range(10_000)}
+    cost, before, _, beyond = P._within([(5000, 0.0)], line, math.inf, 0, 5003)
+    assert cost[5003] == 3 and before[5003] == 5002 and len(cost) < 12 and not beyond
