@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from debitage.functions.scalars import YEAR_2000_MS, YEAR_2100_MS, csv_escape
-from debitage.iterate import materialise
 from debitage.operators.topology import M
 
 A = "annotation_id"
@@ -190,22 +193,84 @@ def metadata_lines(entries: DataFrame) -> DataFrame:
     return rows.select(M, F.concat(mark, F.col("key"), F.lit(" "), F.col("value")).alias("line"))
 
 
+_STRING = r'"[^"\\]*(?:\\.[^"\\]*)*"'
+#: Objects that begin in one another at their first keys; a string; a bracket or a string; any other value; ends of objects.
+_OPEN, _TEXT, _LIST, _BARE, _CLOSE = (re.compile(x, re.DOTALL) for x in (r'(?:\{"[^"\\]*":)+', _STRING, rf"[\[\]]|{_STRING}", r"[^,}\]]+", r"\}+"))
+
+
+def _leaves(text: str) -> Iterator[tuple[str, str]]:
+    """(dotted path, value) of each leaf of an object, of its JSON as Spark writes it, without white space."""
+    keys: list[str] = []
+    at = 0
+
+    def key(at: int) -> tuple[str, int]:
+        end = _TEXT.match(text, at).end()
+        own = text[at + 1 : end - 1]
+        return (json.loads(f'"{own}"', strict=False) if "\\" in own else own), end + 1
+
+    while True:  # a value begins here
+        first = text[at]
+        if first == "{":
+            if run := _OPEN.match(text, at):
+                keys += text[at + 2 : run.end() - 2].split('":{"')
+                at = run.end()
+                continue
+            if text[at + 1] != "}":
+                own, at = key(at + 1)
+                keys.append(own)
+                continue
+            at += 2
+        else:
+            if first == "[":
+                depth = 0
+                for x in _LIST.finditer(text, at):
+                    depth += {"[": 1, "]": -1}.get(x.group(), 0)
+                    if not depth:
+                        end = x.end()
+                        break
+            else:
+                end = (_TEXT if first == '"' else _BARE).match(text, at).end()
+            yield ".".join(keys), text[at:end]
+            at = end
+        if keys and (run := _CLOSE.match(text, at)):
+            del keys[len(keys) - (run.end() - at) :]
+            at = run.end()
+        if not keys:
+            return
+        keys[-1], at = key(at + 1)
+
+
+#: Leaves that are handed on at a time.
+LEAVES = 50_000
+
+
 def flatten_metadata(documents: DataFrame, key: str = M) -> DataFrame:
     """key, path, value (JSON) of nested JSON objects (column ``json``): dotted paths, of any depth.
 
-    Arrays and null are leaves; an empty object has none.
+    Arrays and null are leaves; an empty object has none.  Spark parses and writes each
+    document once, and its text is taken apart in one pass.
     """
-    tvf = documents.sparkSession.tvf
-    level = documents.select(key, F.lit(None).cast("string").alias("path"), F.try_parse_json("json").alias("v"))
-    level, leaves = level.where("schema_of_variant(v) like 'OBJECT%'"), None
-    while True:  # one round a level of nesting
-        members = level.withColumnRenamed(key, "_id").lateralJoin(tvf.variant_explode(F.col("v").outer()))
-        members = materialise(members.select(F.col("_id").alias(key), F.concat_ws(".", "path", "key").alias("path"), F.col("value").alias("v")))
-        own = members.where("v is null or schema_of_variant(v) not like 'OBJECT%'").select(key, "path", F.coalesce(F.to_json("v"), F.lit("null")).alias("value"))
-        leaves = own if leaves is None else leaves.unionByName(own)
-        level = members.where("schema_of_variant(v) like 'OBJECT%'")
-        if level.isEmpty():
-            return leaves
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, paths, values = [], [], []
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.string())], [key, "path", "value"])
+
+            for i, text in enumerate(b.column(1).to_pylist()):
+                for path, value in _leaves(text) if text and text[0] == "{" else ():
+                    rows.append(i)
+                    paths.append(path)
+                    values.append(value)
+                    if len(rows) == LEAVES:
+                        yield out()
+                        rows, paths, values = [], [], []
+            if rows:
+                yield out()
+
+    # objects are told by their text: a condition on the parsed column would parse it once more
+    return documents.select(key, F.to_json(F.try_parse_json("json")).alias("text")).mapInArrow(run, StructType([documents.schema[key], *(StructField(c, StringType()) for c in ("path", "value"))]))
 
 
 def metadata_csv(mesh: DataFrame, annotation: DataFrame, sources: DataFrame, at: Column) -> DataFrame:
