@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from debitage.functions import metrics as R
 from debitage.operators import evaluate as E
 from debitage.operators import geometry as G
 from debitage.operators import morton
@@ -752,3 +753,19 @@ def test_a_search_ends_at_its_target():
     line = {k: [(k - 1, 0, 1.0), (k + 1, 0, 1.0)] for k in range(10_000)}
     cost, before, _, beyond = P._within([(5000, 0.0)], line, math.inf, 0, 5003)
     assert cost[5003] == 3 and before[5003] == 5002 and len(cost) < 12 and not beyond
+
+
+@pytest.fixture(scope="module")
+def graph(spark, tables):
+    v, f = tables
+    return S.scar_graph(v, f, table(spark, "label int", labels_of))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boundary_averages_read_the_statistics_as_a_table(graph):
+    _, scars, _, edges = graph
+    averages = R.boundary_averages(edges, O.preseed_by_size(edges, scars))
+    assert "Generate" not in plan(averages) and len(averages.collect()) == len(MESHES)  # no faces taken apart again
