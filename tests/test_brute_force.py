@@ -769,3 +769,11 @@ def test_boundary_averages_read_the_statistics_as_a_table(graph):
     _, scars, _, edges = graph
     averages = R.boundary_averages(edges, O.preseed_by_size(edges, scars))
     assert "Generate" not in plan(averages) and len(averages.collect()) == len(MESHES)  # no faces taken apart again
+
+
+def test_saved_orders_read_the_statistics_as_a_table(graph):
+    _, scars, _, edges = graph
+    comparisons = O.preseed_by_size(edges, scars)
+    restored = O.restorable(O.serialise(scars, edges, comparisons), scars)
+    assert "posexplode" not in plan(restored)  # no faces taken apart again
+    assert sorted(map(tuple, restored.collect())) == sorted(map(tuple, comparisons.collect()))
